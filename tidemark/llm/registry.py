@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, sharding, url_filter
+from . import language_id, mixing, packing, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2_mixing,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_packing": packing.op6_packing,
     "op8_sharding": sharding.op8_sharding,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE}
