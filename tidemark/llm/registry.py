@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, mixing, packing, sharding, url_filter
+from . import fingerprints, language_id, mixing, packing, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2_mixing,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_packing": packing.op6_packing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_sharding": sharding.op8_sharding,
     "op10_language_id": language_id.op10_language_id,
 }
