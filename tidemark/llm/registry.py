@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, mixing, packing, sharding, toxicity, url_filter
+from . import embedding_dedup, fingerprints, language_id, mixing, packing, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2_mixing,
@@ -15,7 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": packing.op6_packing,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_sharding": sharding.op8_sharding,
+    "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_language_id": language_id.op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE}
