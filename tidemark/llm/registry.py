@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, fingerprints, language_id, minhash_dedup, mixing, packing, sharding, toxicity, url_filter
+from . import embedding_dedup, fingerprints, language_id, line_dedup, minhash_dedup, mixing, packing, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
     "op4_fingerprints": fingerprints.op4_fingerprints,
