@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Accepted texts. ``\\z``: Java's ``$`` would let a last line end through.
 INTEGER = r"\A[0-9]+\z"
@@ -105,7 +106,7 @@ def fee_status(text: Column) -> Column:
 MARKERS = "[ÃÂâ]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _repaired(texts: pd.Series) -> pd.Series:
     def one(text):
         try:
