@@ -205,7 +205,7 @@ WITH RECURSIVE v AS (
       AND len(list_filter(embedding, x -> x <> 0)) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
     WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
-r AS (SELECT vec_id AS node, vec_id AS at FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.at = l.a)
+r AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a)
 SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
-FROM embeddings e JOIN (SELECT node, min(at) AS component_id FROM r GROUP BY node) c ON c.node = e.vec_id
+FROM embeddings e JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) c ON c.node = e.vec_id
 """
