@@ -94,8 +94,11 @@ register("distinct_rows", lambda m: m.t("lineitem").select("l_returnflag", "l_li
 register("distinct_on", lambda m: top_one(m.t("orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey"), "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderdate DESC, o_totalprice DESC, o_orderkey")
 
 # Windows ------------------------------------------------------------------------------------------------------------
-W = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-register("window_functions", lambda m: m.t("orders").select("o_orderkey", F.row_number().over(W).alias("rn"), F.count("*").over(Window.partitionBy("o_custkey")).alias("size"), F.lag("o_orderkey").over(W).alias("before"), F.rank().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderstatus"))).alias("rk"), F.round(F.cume_dist().over(Window.partitionBy("o_custkey").orderBy("o_orderstatus")) * 100, 6).alias("cd")),
+def by_date():
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+
+register("window_functions", lambda m: m.t("orders").select("o_orderkey", F.row_number().over(by_date()).alias("rn"), F.count("*").over(Window.partitionBy("o_custkey")).alias("size"), F.lag("o_orderkey").over(by_date()).alias("before"), F.rank().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderstatus"))).alias("rk"), F.round(F.cume_dist().over(Window.partitionBy("o_custkey").orderBy("o_orderstatus")) * 100, 6).alias("cd")),
     "SELECT o_orderkey, row_number() OVER w AS rn, count(*) OVER (PARTITION BY o_custkey) AS size, lag(o_orderkey) OVER w AS before, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus DESC) AS rk, round(cume_dist() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) * 100, 6) AS cd FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 register("local_median", lambda m: m.t("orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n")).withColumn("med", F.expr("percentile(n, 0.5) OVER (PARTITION BY o_custkey ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")), "SELECT *, quantile_cont(n, 0.5) OVER (PARTITION BY o_custkey ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS med FROM (SELECT o_custkey, year(o_orderdate)::INT AS y, count(*) AS n FROM orders GROUP BY 1, 2)")
 register("top_ten_per_group", lambda m: m.t("part").withColumn("k", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey"))).where("k <= 10").select("p_brand", "p_partkey", "k"), "SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part QUALIFY k <= 10")
