@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,38 @@ def _clean() -> None:
             return
 
 
+def runs_of(batches, keys: tuple[str, ...]):
+    """Tables of the rows that follow one another with equal whole-number ``keys``, from batches in the order of the keys."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        if not t.num_rows:
+            continue
+        values = np.stack([t[c].to_numpy() for c in keys])
+        starts = np.concatenate([[0], np.flatnonzero((values[:, 1:] != values[:, :-1]).any(0)) + 1])
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            yield t.slice(s, e - s)
+        rest = t.slice(starts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def blocks(rows: DataFrame, keys: list[str], member: str, size: int) -> DataFrame:
+    """Deals the rows of each key into blocks of about ``size`` and repeats them for each pair of blocks.
+
+    Adds block, i and j (int): the rows with one (keys, i, j) are two blocks, i <= j,
+    or one if i = j, so a task compares a bounded number whatever the size of the
+    group. Rows that are alone with their key go.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_tm_n")).where("_tm_n > 1").select(*keys, F.ceil(F.col("_tm_n") / size).cast("int").alias("_tm_b"))
+    out = rows.join(sizes.hint("merge"), keys).withColumn("block", F.pmod(F.xxhash64(member), F.col("_tm_b")).cast("int"))
+    out = out.withColumn("_tm_o", F.explode(F.sequence(F.lit(0), F.col("_tm_b") - 1)))
+    out = out.withColumn("i", F.least("block", "_tm_o")).withColumn("j", F.greatest("block", "_tm_o")).drop("_tm_b", "_tm_o")
+    n = 4 * parts(rows.sparkSession)
+    return out.repartition(n, *keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
+
+
 def parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, parts, table
+from .common import Cut, blocks, runs_of, table
 from .components import components
 
 COSINE = 0.93
@@ -70,7 +70,7 @@ def decode(x: np.ndarray, words: int, caps: int, code: int) -> list[np.ndarray]:
         # The best ``caps`` pairs lie among the best ``caps`` codewords of either block.
         i, j = np.argpartition(-p, k - 1)[:k], np.argpartition(-q, k - 1)[:k]
         height = np.partition((p[i][:, None] + q[j]).ravel(), -min(caps, k * k))[-min(caps, k * k)]
-        i, j = np.flatnonzero(p >= height - q.max()), np.flatnonzero(q >= height - p.max())
+        i, j = np.flatnonzero(p >= height - q.max() - 1e-9), np.flatnonzero(q >= height - p.max() - 1e-9)  # a margin for rounding
         u, v = np.nonzero(p[i][:, None] + q[j] >= height)
         out.append(np.sort((code * words + i[u]) * words + j[v]))
     return out
@@ -132,27 +132,12 @@ KEY = ("label", "dims", "cap", "i", "j")
 
 def compare(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
     """Goes through rows in the order of KEY and compares each bucket's."""
-    rest = None
-
-    def bucket(t: pa.Table) -> pa.RecordBatch:
+    for t in runs_of(batches, KEY):
         x = np.array([np.frombuffer(v) for v in t["vector"].to_pylist()])
         side = t["block"].to_numpy() != t["i"].to_numpy()
         caps = [np.array(c) for c in t["caps"].to_pylist()]
         a, b = links_of(t["vec_id"].to_numpy(), x, side, caps, t["cap"][0].as_py(), cosine)
-        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([rest, t]) if rest is not None else t
-        keys = np.stack([t[c].to_numpy() for c in KEY])
-        ends = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-        starts = np.concatenate([[0], ends])
-        for s, e in zip(starts[:-1], starts[1:], strict=True):
-            if e > s + 1:
-                yield bucket(t.slice(s, e - s))
-        rest = t.slice(starts[-1])
-    if rest is not None and rest.num_rows > 1:
-        yield bucket(rest)
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def links(rows: DataFrame, cut: Cut, cosine: float = COSINE, words: int | None = None, caps: int | None = None) -> DataFrame:
@@ -167,12 +152,8 @@ def links(rows: DataFrame, cut: Cut, cosine: float = COSINE, words: int | None =
     words = words or words_for(rows.count())
     known = cut(filtered(rows, words, caps or caps_for(words)))
     at = known.withColumn("dims", F.octet_length("vector")).withColumn("cap", F.explode("caps"))
-    sizes = at.groupBy("label", "dims", "cap").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    at = at.join(sizes, ["label", "dims", "cap"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    at = at.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    at = at.select(*KEY, "block", "vec_id", "vector", "caps")
-    dealt = at.repartition(4 * parts(rows.sparkSession), *KEY).sortWithinPartitions(*KEY)
+    at = at.select("label", "dims", "cap", "vec_id", "vector", "caps")
+    dealt = blocks(at, ["label", "dims", "cap"], "vec_id", BLOCK).select(*KEY, "block", "vec_id", "vector", "caps")
     return dealt.mapInArrow(lambda batches: compare(batches, cosine), "a bigint, b bigint").distinct()
 
 
