@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,22 @@ def _clean() -> None:
             return
 
 
+_forget: dict[str, Callable[[], object]] = {}
+
+
+def remembers(operator: str, forget: Callable[[], object]) -> None:
+    """Says that this operator now remembers things in this Python worker: what others remember there is forgotten.
+
+    A worker serves one stage after another; so its memory is that of the largest
+    operator, not of all.
+    """
+    if operator not in _forget:
+        for other in _forget.values():
+            other()
+        _forget.clear()
+        _forget[operator] = forget
+
+
 def runs_of(batches, keys: tuple[str, ...]):
     """Tables of the rows that follow one another with equal whole-number ``keys``, from batches in the order of the keys."""
     rest = None

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import remembers, table
 
 ORDER = 5
 #: Labelled documents of a language that the models are fitted on, about: all if there are fewer.
@@ -291,6 +291,7 @@ _scorers: dict[str, Scorer] = {}
 
 def scorer_of(model: Identifier) -> Scorer:
     """The worker's scorer of this model: what it remembers serves the worker's later tasks too."""
+    remembers("language_id", _scorers.clear)
     if model.key not in _scorers:
         _scorers.clear()
         _scorers[model.key] = Scorer(model.models, model.order)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import remembers, table
 
 CAPACITY = 4096
 #: Appended to each document.
@@ -27,7 +27,7 @@ END = 2
 #: Pieces in a group, about: large enough that the one sequence with room at its end weighs little.
 GROUP = 4096
 #: Words that a Python worker remembers the ids of; it forgets all of them when there are more.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -87,6 +87,7 @@ _encoders: dict[str, WordIds] = {}
 
 
 def encoder(path: str) -> WordIds:
+    remembers("packing", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = WordIds(path)
     return _encoders[path]

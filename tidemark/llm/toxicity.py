@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Cut, table
+from .common import Cut, remembers, table
 from .language_id import held_out
 
 #: Labelled documents of each class that the lexicon and the scale are learned from, about.
@@ -223,6 +223,7 @@ _grammars: dict[str, Grammar] = {}
 
 
 def grammar_of(lexicon: Lexicon) -> Grammar:
+    remembers("toxicity", _grammars.clear)
     if lexicon.key not in _grammars:
         _grammars.clear()
         _grammars[lexicon.key] = Grammar(lexicon)
