@@ -1,15 +1,17 @@
 """Near-duplicate documents by MinHash with tensored banding.
 
 A document's set is that of its distinct 5-word shingles. Two collections of m
-half keys, each of two minhashes, give m * m table keys, one for each pair of a
-left and a right half key: as selective as 4 minhashes each, from 4m minhashes
-instead of 4m^2. Two documents with similarity s meet in some table with
-probability (1 - (1 - s^2)^m)^2, 0.9998 for s = 0.75 and m = 13.
+half keys, each of four minhashes, give m * m table keys, one for each pair of a
+left and a right half key: as selective as 8 minhashes each, from 8m minhashes
+instead of 8m^2. Only the left half keys are shuffled; a task completes them. Two documents with similarity s meet in some table with
+probability (1 - (1 - s^4)^m)^2, 0.9998 for s = 0.75 and m = 25.
 
 Documents with equal sets form a class; the work is between classes. In a bucket
-not all pairs are compared: first each class with the bucket's leader, and what
-that links counts as one; then only pairs across what is still apart. All links
-are confirmed on full sets.
+classes are resembling if their signatures, a byte of each minhash, agree enough:
+first each is compared with the bucket's leader, then, block by block within a
+task, what that leaves apart. Only a forest comes out of a block, never its pairs.
+Two linked classes resemble each other, so all links lie within the components of
+that forest. In these, again block by block, all links are found on full sets.
 """
 
 from __future__ import annotations
@@ -22,34 +24,33 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, table
+from .common import Cut, blocks, remembers, runs_of, table
 from .components import components
 
 WORDS = 5
 #: Links have 100 * |A and B| >= PERCENT * |A or B|.
 PERCENT = 75
 #: Half keys on either side.
-HALVES = 13
+HALVES = 25
 #: Minhashes in a half key.
-IN_HALF = 2
-#: Rounds in which a bucket's classes are compared with a leader, before all that is still apart.
-ROUNDS = 3
-#: Of the minhashes, the share that a pair must have in common to be confirmed on full sets:
-#: at the threshold the chance of fewer is below 1e-6.
-AGREE = 0.42
+IN_HALF = 4
+#: The share of bytes that two resembling signatures have in common, at least: linked classes have less with a chance of 1e-7.
+AGREE = 0.59
+#: Classes that a task compares at once; larger groups are compared block by block.
+BLOCK = 512
 REMEMBERED = 400_000
 
 _hashes: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    global _hashes
     try:
         return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     except KeyError:
         new = set(words).difference(_hashes)
         if len(_hashes) + len(new) > REMEMBERED:
-            _hashes, new = {}, set(words)
+            _hashes.clear()
+            new = set(words)
         _hashes.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
         return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
@@ -65,6 +66,7 @@ def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     A-Z are lower-cased, words lie between ASCII white space. Fewer than k words
     are one shingle, none is none.
     """
+    remembers("minhash_dedup", _hashes.clear)
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
@@ -139,23 +141,31 @@ def sketches(docs: DataFrame, halves: int = HALVES, in_half: int = IN_HALF) -> D
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(each, schema)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, shingles (array of long)."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """rep, at, shingles (array of long) of ``texts`` (doc_id, text, at)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 some = b.slice(k, 256)
-                sets = [shingles(t.as_py()).view(np.int64) for t in some.column(1)]
-                yield pa.RecordBatch.from_pydict({"doc_id": some.column(0), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+                sets = [shingles(t.as_py()).view(np.int64) for t in some.column(2)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "at", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id bigint, shingles array<bigint>")
+    return texts.select("doc_id", "at", "text").mapInArrow(each, "rep bigint, at bigint, shingles array<bigint>")
 
 
-def alike(signatures_a: list[bytes], signatures_b: list[bytes]) -> np.ndarray:
-    """For each pair the share of equal bytes."""
-    a, b = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (signatures_a, signatures_b))
-    return (a == b).mean(1)
+def agreeing(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows of ``sig`` have enough bytes in common."""
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), 50_000):
+        i, j = a[k : k + 50_000], b[k : k + 50_000]
+        out[k : k + 50_000] = (sig[i] == sig[j]).sum(1) >= AGREE * sig.shape[1]
+    return out
+
+
+def bytes_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    said = column.to_pylist()
+    return np.frombuffer(b"".join(said), np.uint8).reshape(len(said), -1)
 
 
 def promising(pairs: DataFrame) -> DataFrame:
@@ -164,13 +174,86 @@ def promising(pairs: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             if t.num_rows:
-                keep = alike(t.column("ga").to_pylist(), t.column("gb").to_pylist()) >= AGREE
-                t = t.select(["a", "b"]).filter(pa.array(keep))
-                yield t
+                sig, n = np.concatenate([bytes_of(t.column("ga")), bytes_of(t.column("gb"))]), np.arange(t.num_rows)
+                yield t.select(["a", "b"]).filter(pa.array(agreeing(sig, n, n + t.num_rows)))
 
     return pairs.select("a", "b", "ga", "gb").mapInArrow(each, "a bigint, b bigint")
 
 
+def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what a symmetric matrix of neighbours joins: each index with the least that it reaches."""
+    own = np.arange(len(near))
+    label, before = own, None
+    while before is None or (label != before).any():
+        before = label
+        label = np.minimum(label, np.where(near, label, len(near)).min(1))
+        label = label[label]
+    to = np.flatnonzero(label != own)
+    return label[to], to
+
+
+def across(t: pa.Table) -> np.ndarray | bool:
+    """Which pairs of a table's rows are to be compared: those across two blocks, all if there is one."""
+    side = t["block"].to_numpy() != t["i"].to_numpy()
+    return side[:, None] != side if side.any() and not side.all() else True
+
+
+def edges_of(rep: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    a, b = forest(near)
+    return pa.RecordBatch.from_pydict({"a": pa.array(rep[a], pa.int64()), "b": pa.array(rep[b], pa.int64())})
+
+
+def resembling(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """A forest of the resembling rows (rep, n, at, right, signature) of each left half key, of those that differ in ``at``.
+
+    Two rows are compared if they have a table key in common: with the left half key any right one.
+    """
+    for t in runs_of(batches, ("key", "i", "j")):
+        rep, n, at, sig = *(t[c].to_numpy() for c in ("rep", "n", "at")), bytes_of(t["signature"])
+        right = np.array(t["right"].to_pylist(), np.int64)
+        fit = (at[:, None] != at) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)) & across(t)
+        a, b = np.nonzero(np.triu(fit, 1))
+        met = np.zeros(len(a), bool)
+        for k in range(0, len(a), 50_000):
+            met[k : k + 50_000] = (right[a[k : k + 50_000]] == right[b[k : k + 50_000]]).any(1)
+        a, b = a[met], b[met]
+        good = agreeing(sig, a, b)
+        near = np.zeros_like(fit)
+        near[a[good], b[good]] = near[b[good], a[good]] = True
+        yield edges_of(rep, near)
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all pairs' intersections."""
+    g = len(sets)
+    owner = np.repeat(np.arange(g), [len(s) for s in sets])
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[token] > 1
+    owner, token = owner[shared], token[shared]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    out, wide = np.zeros((g, g), np.float32), max(64, 4_000_000 // g)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1]) if len(token) else np.empty(0, int)
+    rank = np.cumsum(np.concatenate([[0], np.diff(token) > 0])) if len(token) else np.empty(0, int)
+    for k in range(0, len(starts), wide):  # some tokens at a time
+        lo, hi = starts[k], starts[k + wide] if k + wide < len(starts) else len(token)
+        has = np.zeros((g, min(wide, len(starts) - k)), np.float32)
+        has[owner[lo:hi], rank[lo:hi] - k] = 1
+        out += has @ has.T
+    return out
+
+
+def linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """A forest of the links among the rows (rep, shingles) of each group."""
+    for t in runs_of(batches, ("at", "i", "j")):
+        sets = [np.array(s, np.int64) for s in t["shingles"].to_pylist()]
+        size = np.array([len(s) for s in sets])
+        inter = intersections(sets)
+        near = (100 * inter >= percent * (size[:, None] + size - inter)) & across(t)
+        np.fill_diagonal(near, False)
+        yield edges_of(t["rep"].to_numpy(), near)
+
+
 class Nearest:
     """The stages of the search; every table it makes is written to the shared folder."""
 
@@ -188,73 +271,62 @@ class Nearest:
         return self.cut(mine.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "left", "right", "signature"))
 
     def buckets(self, classes: DataFrame) -> DataFrame:
-        """key, rep, n, score: the table keys that more than one class has.
+        """key, rep, n, score: the left half keys that more than one class has, one for each set of classes.
 
-        A half key that one class alone has makes no table key worth writing: left
-        ones are counted for all classes, right ones for those with a shared left
-        one. score: how many classes share the class's half keys; high for those
-        that much resembles.
+        A table key is a left half key with a right one. Rows are dealt by the left
+        one alone, m for a class and not m * m; the right ones complete the table
+        keys within a task. score: how many classes share the class's keys; high for
+        those that much resembles.
         """
-        def shared(rows: DataFrame, side: str) -> DataFrame:
-            keys = rows.select("rep", F.explode(side).alias("h"))
-            often = keys.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-            return keys.join(often, "h").groupBy("rep").agg(F.collect_list("h").alias(side), F.sum("c").alias(f"{side}_c"))
-
-        left = self.cut(shared(classes, "left"))
-        rest = classes.select("rep", "n", "right").join(left.select("rep"), "rep", "left_semi")
-        both = self.cut(left.join(shared(rest, "right"), "rep").join(classes.select("rep", "n"), "rep"))
-        keys = both.select("rep", "n", (F.col("left_c") + F.col("right_c")).alias("score"), "right", F.explode("left").alias("l"))
-        keys = keys.select("rep", "n", "score", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "rep", "n", "score")
-        often = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        return self.cut(keys.join(often, "key"))
-
-    def fits(self) -> str:
-        return f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)"
-
-    def with_leader(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Pairs (a, b) of each class of a bucket with its leader: the class with the highest score, in later turns one by hash."""
-        order = F.struct(F.col("score").alias("s"), (-F.col("rep")).alias("r")) if turn == 0 else F.struct(F.xxhash64("key", "rep", F.lit(turn)).alias("s"), (-F.col("rep")).alias("r"))
-        lead = rows.groupBy("key").agg(F.max(F.struct(order.alias("o"), "rep", "n", "at")).alias("x")).select("key", F.col("x.rep").alias("lead"), F.col("x.n").alias("nb"), F.col("x.at").alias("to"))
-        pairs = rows.join(lead, "key").withColumnRenamed("n", "na").where("at <> to").where(self.fits())
-        return pairs.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-
-    def apart(self, rows: DataFrame) -> DataFrame:
-        """All pairs of a bucket's classes that no link joins so far."""
-        other = rows.select("key", F.col("rep").alias("rep2"), F.col("n").alias("nb"), F.col("at").alias("to"))
-        pairs = rows.withColumnRenamed("n", "na").join(other, "key").where("rep < rep2 and at <> to").where(self.fits())
-        return pairs.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-
-    def confirmed(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """Those of the pairs that are links, by their full sets."""
-        sig = classes.select("rep", "signature")
-        pairs = pairs.join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("ga")), "a").join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("gb")), "b")
-        pairs = self.cut(promising(pairs))
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = self.cut(shingle_sets(self.docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-        inter = F.size(F.array_intersect("sa", "sb"))
-        out = self.cut(both.where(100 * inter >= self.percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b"))
-        self.cut.drop(sets)
-        return out
+        keys = classes.select("rep", "n", F.explode("left").alias("key"))
+        told = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"x{k}") for k in range(2)]
+        often = keys.groupBy("key").agg(F.count("*").alias("c"), *told).where("c > 1")
+        rows = self.cut(keys.join(often.hint("merge"), "key"))
+        # Many half keys are had by the very same classes: one stands for each set of them.
+        once = rows.groupBy("c", "x0", "x1").agg(F.min("key").alias("key")).select("key")
+        score = rows.groupBy("rep").agg(F.sum("c").alias("score"))
+        rows = rows.select("key", "rep", "n").join(once.hint("merge"), "key").join(score.hint("merge"), "rep")
+        return self.cut(rows.select("key", "rep", "n", "score"))
+
+    def with_leader(self, rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """Resembling pairs (a, b) of each class of a bucket and its leader, the class with the highest score."""
+        order = F.struct(F.col("score").alias("s"), (-F.col("rep")).alias("r"))
+        lead = rows.groupBy("key").agg(F.max(F.struct(order.alias("o"), "rep", "n")).alias("x")).select("key", F.col("x.rep").alias("lead"), F.col("x.n").alias("nb"))
+        pairs = rows.join(lead.hint("merge"), "key").where(f"rep <> lead AND 100 * least(n, nb) >= {self.percent} * greatest(n, nb)")
+        pairs = pairs.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+        sig = classes.select("rep", "signature").hint("merge")
+        for side in "ab":
+            pairs = pairs.join(sig.select(F.col("rep").alias(side), F.col("signature").alias(f"g{side}")), side)
+        return promising(pairs)
+
+    def apart(self, rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+        """A forest of the resembling classes of a bucket that lie in different components of ``found``."""
+        to = found.select(F.col("node").alias("rep"), F.col("component_id").alias("c")).hint("merge")
+        rows = rows.join(to, "rep", "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("at"))
+        several = rows.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("key")
+        rows = rows.join(several.hint("merge"), "key", "left_semi").join(classes.select("rep", "right", "signature").hint("merge"), "rep")
+        dealt = blocks(rows, ["key"], "rep", BLOCK).select("key", "i", "j", "block", "rep", "n", "at", "right", "signature")
+        percent = self.percent
+        return dealt.mapInArrow(lambda batches: resembling(batches, percent), "a bigint, b bigint").distinct()
+
+    def links(self, groups: DataFrame) -> DataFrame:
+        """A forest of the links within the groups (rep, at). The texts of their classes go through a shuffle once."""
+        texts = self.docs.join(groups.select(F.col("rep").alias("doc_id"), "at").hint("merge"), "doc_id").dropDuplicates(["doc_id"])
+        sets = self.cut(shingle_sets(texts))
+        rows = blocks(sets, ["at"], "rep", BLOCK).select("at", "i", "j", "block", "rep", "shingles")
+        percent = self.percent
+        return self.cut(rows.mapInArrow(lambda batches: linked(batches, percent), "a bigint, b bigint").distinct())
 
     def run(self) -> DataFrame:
         """rep, component_id of every class that a link joins to another."""
         classes = self.classes()
-        rows = self.buckets(classes).withColumn("at", F.col("rep"))
-        links = found = None
-        for turn in range(ROUNDS + 1):
-            pairs = self.with_leader(rows, turn) if turn < ROUNDS else self.apart(rows)
-            new = self.confirmed(pairs, classes)
-            links = new if links is None else links.unionByName(new)
-            found = components(links, self.cut)
-            if turn < ROUNDS:
-                to = found.select(F.col("node").alias("rep"), F.col("component_id").alias("c"))
-                rows = rows.join(to, "rep", "left").select("key", "rep", "n", "score", F.coalesce("c", "at").alias("at"))
-                several = rows.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("key")
-                rows = self.cut(rows.join(several, "key", "left_semi"))
-                if rows.isEmpty():
-                    break
-        return found.select(F.col("node").alias("rep"), "component_id")
+        rows = self.buckets(classes)
+        near = self.cut(self.with_leader(rows, classes))
+        found = components(near, self.cut)
+        more = self.cut(self.apart(rows, classes, found))
+        found = components(near.unionByName(more), self.cut)
+        links = self.links(self.cut(found.select(F.col("node").alias("rep"), F.col("component_id").alias("at"))))
+        return components(links, self.cut).select(F.col("node").alias("rep"), "component_id")
 
 
 def near_duplicates(docs: DataFrame, cut: Cut, percent: int = PERCENT, halves: int = HALVES) -> DataFrame:
