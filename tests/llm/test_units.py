@@ -83,6 +83,15 @@ def test_shared_run_is_found_in_both_texts():
     assert (h == ha).all() and (p == pa).all()
 
 
+def test_edited_copy_of_a_short_text_is_seen():
+    rng = np.random.default_rng(12)
+    text = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    prints = lambda t: np.unique(fingerprints.fingerprint(t)[0])
+    for n in range(36, 200):  # two thirds are a run of 23 at least
+        a, other = text(n), text(n)
+        assert fingerprints.likeness(prints(a), prints(fingerprints.edit(a, other))) > 0 == fingerprints.likeness(prints(a), prints(other))
+
+
 def test_rolling_hash_depends_on_the_gram_alone():
     code = fingerprints.points("abcdefgh" * 20)
     h = fingerprints.gram_hashes(code)

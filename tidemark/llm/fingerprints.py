@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 
 from .common import bucket_of, parts, splits, table
 
-#: Code points in a gram and grams in a window, both powers of two: shared runs of 95 code points are found for certain.
-K = 32
-W = 64
+#: Code points in a gram and grams in a window, both powers of two: shared runs of 23 code points are found for certain.
+K = 8
+W = 16
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -48,8 +48,8 @@ def gram_hashes(code: np.ndarray, k: int = K) -> np.ndarray:
     return h >> np.uint64(32)
 
 
-def winnow(hashes: np.ndarray, w: int = W) -> np.ndarray:
-    """Ascending positions of the selected hashes; with fewer than w hashes there is one window."""
+def winnow(hashes: np.ndarray, w: int = 64) -> np.ndarray:
+    """Ascending positions of the selected hashes; with fewer than w hashes there is one window. Fingerprints say their own w."""
     n = len(hashes)
     if not n:
         return np.empty(0, np.int64)
