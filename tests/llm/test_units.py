@@ -245,6 +245,18 @@ def test_link_graph(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_hosts_that_link_to_blocked_ones_alone_are_blocked(spark):
+    """However many others link there too."""
+    bad = lambda k, n: "".join(f'<a href="http://bad{n}x{x}.net/">' for x in range(k))
+    pages = [(f"http://farm{k}of{n}x{x}.com/", bad(k, n)) for n in (1, 2, 10, 200) for k in (1, 3) for x in range(n)]
+    pages += [(f"http://bad{n}x{x}.net/", "") for n in (1, 2, 10, 200) for x in range(3)]
+    links = "".join(f'<a href="http://plain{x}.io/">' for x in range(9))
+    pages += [("http://wide.com/", bad(1, 200) + links), ("http://www.sub.com/", bad(1, 200)), ("http://good.org/fr/", links + '<a href="http://known.com/">'), ("http://known.com/", links)]
+    rows = [(i, *p) for i, p in enumerate(pages)]
+    got = {r.host: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string"), Cut(spark, "t")).collect()}
+    assert {h for h, v in got.items() if v == "allow"} == {"wide.com", "good.org", "known.com"}
+
+
 def test_propagation_is_pagerank(spark):
     rng = np.random.default_rng(11)
     w = (rng.random((6, 6)) < 0.5) * rng.integers(1, 5, (6, 6))

@@ -2,8 +2,10 @@
 
 Trust flows along host edges from hosts whose pages the rules allow, distrust
 against them from hosts whose pages the rules block (personalised PageRank both
-ways, the reversed one as in anti-trust ranking). A host is blocked where
-distrust prevails and passes a threshold.
+ways, the reversed one as in anti-trust ranking). Reversed PageRank divides the
+distrust of a host among all that link to it, so verdicts go by harm: the chance
+that a walk along the links, which stops at each host with 1 - damping, stops at a
+blocked page. A host is blocked where harm prevails over trust and passes a threshold.
 """
 
 from __future__ import annotations
@@ -63,23 +65,26 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, cut: Cut, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust after ``rounds`` rounds; ``seeds`` has host, trust and distrust in [0, 1].
+    """host, trust, distrust, harm after ``rounds`` rounds; ``seeds`` has host, trust and distrust in [0, 1].
 
+    Trust is divided among the hosts that a host links to, distrust among those that
+    link to it. Harm comes against the links as distrust does, but by the share that a
+    link has of its own host's links, so it does not shrink with the number of linkers.
     Contributions are summed on the map side, so a host that many link to sends
     one row from each task. The table is written every other round.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("all"))
-    into = edges.groupBy("dst").agg(F.sum("weight").alias("all"))
-    along = edges.join(out, "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("weight") / F.col("all")).alias("t"), F.lit(0.0).alias("d"))
-    against = edges.join(into, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("weight") / F.col("all")).alias("d"))
-    flows = cut(along.unionByName(against).groupBy("host", "to").agg(F.sum("t").alias("t"), F.sum("d").alias("d")))
-    start = seeds.select("host", *[(F.col(c) * (1 - damping)).alias(c) for c in ("trust", "distrust")])
+    out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
+    into = edges.groupBy("dst").agg(F.sum("weight").alias("into"))
+    shares = edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("weight") / F.col("out")).alias("t"), (F.col("weight") / F.col("into")).alias("d"))
+    along = shares.select(F.col("src").alias("host"), F.col("dst").alias("to"), "t", F.lit(0.0).alias("d"), F.lit(0.0).alias("h"))
+    against = shares.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("t"), "d", F.col("t").alias("h"))
+    flows = cut(along.unionByName(against).groupBy("host", "to").agg(*[F.sum(c).alias(c) for c in "tdh"]))
+    carried = {"trust": "t", "distrust": "d", "harm": "h"}
+    start = seeds.select("host", *[(F.col(c) * (1 - damping)).alias(c) for c in ("trust", "distrust")]).withColumn("harm", F.col("distrust"))
     ranks = start
     for k in range(rounds):
-        sent = ranks.join(flows, "host").select(
-            F.col("to").alias("host"), (F.col("trust") * F.col("t") * damping).alias("trust"), (F.col("distrust") * F.col("d") * damping).alias("distrust")
-        )
-        ranks = start.unionByName(sent).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        sent = ranks.join(flows, "host").select(F.col("to").alias("host"), *[(F.col(c) * F.col(x) * damping).alias(c) for c, x in carried.items()])
+        ranks = start.unionByName(sent).groupBy("host").agg(*[F.sum(c).alias(c) for c in carried])
         if k % 2 and k < rounds - 1:
             ranks = cut(ranks)
     return ranks
@@ -89,7 +94,7 @@ def host_verdicts(pages: DataFrame, cut: Cut, rules=RULES, damping: float = DAMP
     """host, trust, distrust, verdict for every host of ``pages`` (url, html) and every host that they link to.
 
     A host's seeds are the shares of its pages that a rule allows and blocks. It
-    is blocked if its distrust is above its trust and at least what a share of
+    is blocked if its harm is above its trust and at least what a share of
     ``threshold`` gives by itself; otherwise, and with no evidence, allowed.
     """
     host, path = host_and_path(F.col("url"))
@@ -100,7 +105,7 @@ def host_verdicts(pages: DataFrame, cut: Cut, rules=RULES, damping: float = DAMP
     )
     seeds = cut(per.select("host", (F.col("a") / F.col("n")).alias("trust"), (F.col("b") / F.col("n")).alias("distrust")))
     ranks = propagate(seeds, cut(host_edges(own)), cut, damping, rounds)
-    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold * (1 - damping))
+    bad = (F.col("harm") > F.col("trust")) & (F.col("harm") >= threshold * (1 - damping))
     return ranks.select("host", "trust", "distrust", F.when(bad, "block").otherwise("allow").alias("verdict"))
 
 
