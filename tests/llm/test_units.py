@@ -110,6 +110,19 @@ def test_language_model_is_a_distribution():
         assert total == pytest.approx(1 - 0 * model.floor, abs=0.06)
 
 
+def test_copies_count_once_in_the_sample(spark, monkeypatch):
+    """A language of few texts with many copies is learned whole; a text with many of the rows is one of the sample."""
+    texts = lambda lang, n: [(lang, f"{lang} some words and " + "".join(chr(97 + int(d)) for d in f"{k:03}") + f"q{lang}") for k in range(n)]
+    rows = texts("aa", 10) * 200 + texts("bb", 400) + texts("bb", 20) * 100
+    given = {}
+    monkeypatch.setattr(language_id, "fit", lambda words, order: words)
+    monkeypatch.setattr(language_id, "calibrate", lambda langs, models, order, apart: given.update(langs=langs, models=models, apart=apart))
+    language_id.train(spark.createDataFrame(rows, "lang string, text string"), sample=100)
+    assert given["langs"] == ["aa", "bb"] and len(given["apart"]) == len(set(given["apart"]))
+    drawn = {lang: m["words"] + sum(x == lang for x, _ in given["apart"]) for lang, m in zip(given["langs"], given["models"], strict=True)}
+    assert drawn["aa"] == 10 and 60 <= drawn["bb"] <= 140
+
+
 def test_scorer_does_not_depend_on_the_order_of_words():
     model = language_id.fit(Counter({"banana": 3, "bandana": 2, "nab": 5}))
     a, b = language_id.Scorer([model], language_id.ORDER), language_id.Scorer([model], language_id.ORDER)

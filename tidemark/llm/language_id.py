@@ -249,22 +249,25 @@ def calibrate(langs: list[str], models: list[Model], order: int, texts: list[tup
 
 
 def train(labelled: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Identifier | None:
-    """Fits on about ``sample`` documents of each language of ``labelled`` (text, lang), chosen by a hash of the text.
+    """Fits on about ``sample`` texts of each language of ``labelled`` (text, lang), chosen by a hash of the text.
 
-    Rows without text or lang are left out. The hash keeps the choice alike in
+    Rows without text or lang are left out, and texts of a language that are alike
+    count once, in the rate of the choice too. The hash keeps the choice alike in
     every run. Words are counted on the executors; the driver gets the distinct
     words of the sample. None if there is no labelled row.
     """
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    counts = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     langs = sorted(counts)
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / (1 << 40)
+    share = F.pmod("h", F.lit(1 << 40)) / (1 << 40)
     limit = F.lit(None).cast("double")
     for lang in langs:
         limit = F.when(F.col("lang") == lang, sample / counts[lang]).otherwise(limit)
-    chosen = rows.withColumn("u", share).where(F.col("u") < limit)
+    # Copies of a drawn text go on the map side.
+    chosen = rows.withColumn("u", share).where(F.col("u") < limit).groupBy("lang", "h").agg(F.min("text").alias("text"))
     apart = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1000)) < 1000 * APART
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
