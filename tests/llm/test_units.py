@@ -229,6 +229,17 @@ def test_tensored_keys_find_near_pairs():
     assert np.mean(met) >= 0.99
 
 
+def test_rows_of_one_doc_id_are_joined(spark):
+    """By what each of their texts links with, where that id is the smallest of several classes, and where it is not."""
+    rng = np.random.default_rng(13)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 9999, 60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(1, a), (1, b), (7, a + " more"), (8, b + " more"), (2, c), (9, c), (9, d), (3, d + " more"), (4, None), (4, e), (5, e), (6, f), (10, f), (10, "")]
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), Cut(spark, "t")).collect()}
+    want = {1: 1, 7: 1, 8: 1, 2: 2, 9: 2, 3: 2, 4: 4, 5: 4, 6: 6, 10: 6}
+    assert {i: c for (i, _), (c, _) in got.items()} == want and all(c == want[i] and kept == (c == i) for (i, _), (c, kept) in got.items())
+
+
 def test_line_windows():
     hashes, n = np.array([5, 3, 9, 3, 7]), np.array([20, 20, 20, 60, 4])
     got = line_dedup.windows(hashes, n, 50)

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Cut, blocks, remembers, runs_of, table
@@ -102,11 +102,11 @@ class Sketcher:
 
 
 def sketches(docs: DataFrame, halves: int = HALVES, in_half: int = IN_HALF) -> DataFrame:
-    """doc_id, n_shingles, and of non-empty sets a 128-bit digest (s1, s2), left, right (arrays of half keys), signature."""
+    """doc_id, h (hash of the text), n_shingles, and of non-empty sets a 128-bit digest (s1, s2), left, right (arrays of half keys), signature."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketcher(halves, in_half)
-        ids, sets, size = [], [], 0
+        ids, marks, sets, size = [], [], [], 0
 
         def packet() -> pa.RecordBatch:
             full = [s for s in sets if len(s)]
@@ -122,27 +122,28 @@ def sketches(docs: DataFrame, halves: int = HALVES, in_half: int = IN_HALF) -> D
                 rows.append((len(s), *np.frombuffer(d, np.int64).tolist(), lo, r, g.tobytes()))
             c = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(c[0], pa.int64()), "s1": pa.array(c[1], pa.int64()), "s2": pa.array(c[2], pa.int64()),
+                "doc_id": pa.array(ids, pa.int64()), "h": pa.array(marks, pa.int64()), "n_shingles": pa.array(c[0], pa.int64()), "s1": pa.array(c[1], pa.int64()), "s2": pa.array(c[2], pa.int64()),
                 "left": pa.array(c[3], pa.list_(pa.int64())), "right": pa.array(c[4], pa.list_(pa.int64())), "signature": pa.array(c[5], pa.binary()),
             })
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc_id, text, h in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 ids.append(doc_id)
+                marks.append(h)
                 sets.append(shingles(text.as_py()))
                 size += len(sets[-1]) + 10
                 if size > 500_000:
                     yield packet()
-                    ids, sets, size = [], [], 0
+                    ids, marks, sets, size = [], [], [], 0
         if ids:
             yield packet()
 
-    schema = "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, left array<bigint>, right array<bigint>, signature binary"
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(each, schema)
+    schema = "doc_id bigint, h bigint, n_shingles bigint, s1 bigint, s2 bigint, left array<bigint>, right array<bigint>, signature binary"
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), "h").mapInArrow(each, schema)
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """rep, at, shingles (array of long) of ``texts`` (doc_id, text, at)."""
+    """rep, at, shingles (array of long) of ``texts`` (rep, text, at)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,7 +152,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                 sets = [shingles(t.as_py()).view(np.int64) for t in some.column(2)]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "at", "shingles"])
 
-    return texts.select("doc_id", "at", "text").mapInArrow(each, "rep bigint, at bigint, shingles array<bigint>")
+    return texts.select("rep", "at", "text").mapInArrow(each, "rep bigint, at bigint, shingles array<bigint>")
 
 
 def agreeing(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -259,16 +260,31 @@ class Nearest:
 
     def __init__(self, docs: DataFrame, cut: Cut, percent: int, halves: int):
         self.cut, self.percent = cut, percent
-        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
         self.sketch = cut(sketches(self.docs, halves))
 
     def classes(self) -> DataFrame:
-        """rep (the smallest doc_id of a class), n, left, right, signature of each class of equal, non-empty sets."""
-        whole = self.sketch.where("n_shingles > 0 and doc_id is not null")
-        rep = whole.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-        self.rep = self.cut(rep)
-        mine = whole.join(self.rep.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-        return self.cut(mine.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "left", "right", "signature"))
+        """rep, n, left, right, signature of each class of equal, non-empty sets.
+
+        A class stands by the text h of its smallest doc_id. rep is that doc_id; where
+        rows of one doc_id but of several texts stand for several classes, one has it
+        and the others a hash of both.
+        """
+        self.whole = self.sketch.where("n_shingles > 0 and doc_id is not null")
+        rep = self.whole.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "h")).alias("x")).select("s1", "s2", F.col("x.doc_id").alias("id"), F.col("x.h").alias("h"))
+        first = F.row_number().over(Window.partitionBy("id").orderBy("h")) == 1
+        self.rep = self.cut(rep.withColumn("rep", F.when(first, F.col("id")).otherwise(F.xxhash64("id", "h"))))
+        mine = self.whole.drop("s1", "s2").join(self.rep.select("rep", F.col("id").alias("doc_id"), "h"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+        return self.cut(mine.select("rep", F.col("n_shingles").alias("n"), "left", "right", "signature"))
+
+    def shared(self) -> DataFrame:
+        """doc_id, rep of the classes of every doc_id whose rows are not all of one class; empty sets have no class."""
+        of = self.sketch.where("doc_id is not null").groupBy("doc_id").agg(
+            *[f(c).alias(f"{c}_{f.__name__}") for c in ("s1", "s2") for f in (F.min, F.max)], F.count("s1").alias("some"), F.count("*").alias("all")
+        )
+        several = of.where("some > 0 AND (some < all OR s1_min < s1_max OR s2_min < s2_max)").select("doc_id")
+        rows = self.whole.select("doc_id", "s1", "s2").join(several, "doc_id")
+        return self.cut(rows.join(self.rep.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "rep").distinct())
 
     def buckets(self, classes: DataFrame) -> DataFrame:
         """key, rep, n, score: the left half keys that more than one class has, one for each set of classes.
@@ -311,14 +327,15 @@ class Nearest:
 
     def links(self, groups: DataFrame) -> DataFrame:
         """A forest of the links within the groups (rep, at). The texts of their classes go through a shuffle once."""
-        texts = self.docs.join(groups.select(F.col("rep").alias("doc_id"), "at").hint("merge"), "doc_id").dropDuplicates(["doc_id"])
+        named = groups.join(self.rep.select("rep", F.col("id").alias("doc_id"), "h"), "rep")
+        texts = self.docs.join(named.hint("merge"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
         sets = self.cut(shingle_sets(texts))
         rows = blocks(sets, ["at"], "rep", BLOCK).select("at", "i", "j", "block", "rep", "shingles")
         percent = self.percent
         return self.cut(rows.mapInArrow(lambda batches: linked(batches, percent), "a bigint, b bigint").distinct())
 
     def run(self) -> DataFrame:
-        """rep, component_id of every class that a link joins to another."""
+        """rep, component_id of every class that a link or a doc_id joins to another; also sets ``several``, what shared() finds."""
         classes = self.classes()
         rows = self.buckets(classes)
         near = self.cut(self.with_leader(rows, classes))
@@ -326,7 +343,14 @@ class Nearest:
         more = self.cut(self.apart(rows, classes, found))
         found = components(near.unionByName(more), self.cut)
         links = self.links(self.cut(found.select(F.col("node").alias("rep"), F.col("component_id").alias("at"))))
-        return components(links, self.cut).select(F.col("node").alias("rep"), "component_id")
+        self.several = self.shared()
+        low = self.several.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        same = self.several.join(low, "doc_id").select("a", F.col("rep").alias("b"))
+        found = components(links.unionByName(same), self.cut).select(F.col("node").alias("rep"), F.col("component_id").alias("at"))
+        if self.several.isEmpty():  # then every rep is a doc_id
+            return found.withColumnRenamed("at", "component_id")
+        least = found.join(self.rep.select("rep", "id"), "rep").groupBy("at").agg(F.min("id").alias("component_id"))
+        return self.cut(found.join(least, "at").select("rep", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, cut: Cut, percent: int = PERCENT, halves: int = HALVES) -> DataFrame:
@@ -338,9 +362,12 @@ def near_duplicates(docs: DataFrame, cut: Cut, percent: int = PERCENT, halves: i
     """
     search = Nearest(docs, cut, percent, halves)
     found = search.run()
-    rep = search.rep.join(found, "rep", "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.coalesce("component_id", "rep").alias("c"))
+    rep = search.rep.join(found, "rep", "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), "rep", F.coalesce("component_id", "id").alias("c"))
     rows = search.sketch.select("doc_id", "n_shingles", "s1", "s2")
     out = rows.join(rep, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & F.col("doc_id").isNotNull(), "left")
+    if not search.several.isEmpty():  # a row without a set goes with its doc_id
+        of = search.several.join(rep.select("rep", F.col("c").alias("of")), "rep").groupBy("doc_id").agg(F.min("of").alias("of"))
+        out = out.join(of, "doc_id", "left").withColumn("c", F.coalesce("c", "of"))
     out = out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
