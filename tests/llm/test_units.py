@@ -260,6 +260,13 @@ def test_slots_keep_shares_everywhere(spark):
     assert {r.source: r.slots for r in counts.collect()}[None] == 1
 
 
+def test_mix_counts_repeated_rows(spark):
+    rows = [(1, "a b c d", "x", 7)] * 3 + [(2, "e f", "x", 3), (None, "g h", "x", 3), (None, "g h", "x", 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
+    got = Counter(tuple(r) for r in mixing.mixed_documents(docs, Cut(spark, "t")).collect())
+    assert got == Counter(rows)  # one source gives all its words once
+
+
 def test_link_graph(spark):
     pages = spark.createDataFrame([
         (1, "http://bad.net/x", '<a href="http://bad.net/y">'), (2, "http://farm.com/x", '<a href="http://bad.net/y">'), (3, "http://good.org/fr/x", '<A HREF="https://friend.com/">'),

@@ -161,15 +161,17 @@ def mixed_documents(docs: DataFrame, cut: Cut, **how) -> DataFrame:
     """The documents of the mix, in the columns of ``docs``: a row each time that a document is taken.
 
     A document taken in part in a pass is cut after its last taken word. Rows
-    that are alike in every column count as one. Rows that the mix doesn't take go.
+    that are alike in every column are numbered, and each counts. Rows that the mix doesn't take go.
     """
     key = F.xxhash64(*docs.columns)
     whole = docs.select(F.struct(*docs.columns).alias("_tm_doc"), F.col("doc_id").alias("_tm_id"), key.alias("_tm_key"))
-    facts = cut(docs.select("doc_id", "source", words().alias("size"), key.alias("key")).distinct())
+    number = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(c[-1]))
+    whole = whole.withColumn("_tm_no", number("_tm_id", "_tm_key"))
+    facts = cut(docs.select("doc_id", "source", words().alias("size"), key.alias("key")).withColumn("no", number("doc_id", "key")))
     mixed = mix(facts, cut, **how).where("taken > 0")
-    mixed = mixed.select(F.col("doc_id").alias("i"), F.col("key").alias("h"), "size", F.filter("passes", lambda x: x > 0).alias("passes"))
-    same = F.col("_tm_id").eqNullSafe(F.col("i")) & (F.col("_tm_key") == F.col("h"))
-    out = whole.dropDuplicates(["_tm_id", "_tm_key"]).join(mixed, same)
+    mixed = mixed.select(F.col("doc_id").alias("i"), F.col("key").alias("h"), "no", "size", F.filter("passes", lambda x: x > 0).alias("passes"))
+    same = F.col("_tm_id").eqNullSafe(F.col("i")) & (F.col("_tm_key") == F.col("h")) & (F.col("_tm_no") == F.col("no"))
+    out = whole.join(mixed, same)
     out = out.select("_tm_doc", "size", F.explode("passes").alias("n"))
     # Each piece is a word with the white space before it, so the pieces put together are the text up to there.
     pieces = F.regexp_extract_all("_tm_doc.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
