@@ -33,6 +33,21 @@ def test_bucket_of(spark):
     assert got == [sum(c <= v for c in cuts) if v is not None else 0 for v in values]
 
 
+def test_cells_of_discrete_values(spark):
+    """Against brute force: no cell is empty between others, values keep their order, the cells span all coordinates."""
+    for values, bits in (([k % 8 for k in range(6400)], 3), ([k % 3 for k in range(90)], 5), ([7] * 50 + list(range(50)), 3), ([None, 4, 4, None], 2), ([5], 4)):
+        d = spark.createDataFrame([(v,) for v in values], "v int")
+        got = {r.v: r.c for r in d.select("v", sharding.cell(d, "v", bits).alias("c")).distinct().collect()}
+        known = sorted(v for v in got if v is not None)
+        cells = [got[v] for v in known]
+        assert cells == sorted(cells) and got.get(None, 0) == 0 == cells[0]
+        if len(known) <= 1 << bits and len(values) == len(known) * values.count(known[0]):
+            assert cells == [k * (1 << bits) // len(known) for k in range(len(known))]
+        assert max(cells) >= (1 << bits) * (len(set(cells)) - 1) // len(set(cells))
+        full = [sum(1 for x in values if x is not None and got[x] == c) for c in set(cells)]
+        assert max(full) <= 2 * max([values.count(v) for v in known] + [-(-len(values) // (1 << bits))])
+
+
 def test_rank_with_ties(spark):
     d = spark.range(500).select((F.col("id") % 3).alias("k"), "id")
     got = {(r.k, r.id): r.r for r in with_rank(d, "k", ["id"], "r").collect()}

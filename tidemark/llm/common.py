@@ -148,8 +148,8 @@ def splits(df: DataFrame, column: str, n: int) -> list[int]:
     return sorted({int(x) for x in found or []})
 
 
-def bucket_of(column: str | Column, cuts: list[int]) -> Column:
-    """How many of the ascending ``cuts`` lie at or below the value: 0 to len(cuts), 0 for null.
+def bucket_of(column: str | Column, cuts: list[int], below: bool = False) -> Column:
+    """How many of the ascending ``cuts`` lie at or below the value, with ``below`` below it: 0 to len(cuts), 0 for null.
 
     A binary search over a literal array; nothing is joined.
     """
@@ -160,8 +160,8 @@ def bucket_of(column: str | Column, cuts: list[int]) -> Column:
 
     def step(a: Column, _: Column) -> Column:
         mid = ((a.lo + a.hi) / 2).cast("int")
-        right = (a.lo < a.hi) & (col >= F.get(at, mid))
-        left = (a.lo < a.hi) & (col < F.get(at, mid))
+        past = col > F.get(at, mid) if below else col >= F.get(at, mid)
+        right, left = (a.lo < a.hi) & past, (a.lo < a.hi) & ~past
         return F.struct(F.when(right, mid + 1).otherwise(a.lo).alias("lo"), F.when(left, mid).otherwise(a.hi).alias("hi"))
 
     steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))

@@ -96,12 +96,20 @@ def _ordinal(df: DataFrame, column: str) -> Column:
 def cell(df: DataFrame, column: str, bits: int) -> Column:
     """The cell, 0 to 2^bits - 1, of a numeric or string column: near equal numbers of rows in each; null lies in 0.
 
-    A value lies in one cell, so a value of many rows makes its cell large.
+    A column of few values has a cell for each; of others, the cuts are quantiles. A cut belongs to the cell below it, and none lies at the highest value, so no
+    cell is empty. A value lies in one cell, so a value of many rows makes its
+    cell large and leaves fewer cells than there are coordinates: the cells are
+    spread over all of them, for the curve turns by the highest bits first.
     """
     kind = df.schema[column].dataType.simpleString()
     value = _ordinal(df, column) if kind == "string" else F.col(column).cast("bigint")
-    cuts = splits(df.select(value.alias("v")), "v", 1 << bits)
-    return bucket_of(value, cuts)
+    values = df.select(value.alias("v"))
+    about, highest = values.agg(F.approx_count_distinct("v"), F.max("v")).first()
+    if about <= 2 << bits:  # few values: a bounded list; each has its own cell if there are cells enough
+        cuts = sorted(r["v"] for r in values.where("v is not null").distinct().collect())[:-1]
+    if about > 2 << bits or len(cuts) >= 1 << bits:
+        cuts = [c for c in splits(values, "v", 1 << bits) if c < highest]
+    return F.floor(bucket_of(value, cuts, below=True) * (1 << bits) / (len(cuts) + 1)).cast("int")
 
 
 def shard_by_curve(df: DataFrame, by: list[str], ties: list[str], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
