@@ -116,6 +116,27 @@ def runs_of(batches, keys: tuple[str, ...]):
         yield rest
 
 
+#: A key is hot if it has more than this share of all rows; so fewer than 1 / HOT keys are.
+HOT = 1 / 1024
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], member: str, counts: DataFrame) -> DataFrame:
+    """The inner join of ``rows`` with ``facts``, one row for each key, where a few keys may have most of the rows.
+
+    ``counts`` has the keys and c, their number of rows. The keys above HOT of all
+    rows are fewer than 1 / HOT, so they are broadcast; their rows are salted by a
+    hash of ``member`` and their facts repeated for each salt.
+    """
+    salts = parts(rows.sparkSession)
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    hot = F.broadcast(counts.where(F.col("c") > max(total * HOT, 1000)).select(*keys, F.lit(True).alias("_tm_hot")))
+    salt = F.when(F.col("_tm_hot"), F.pmod(F.xxhash64(member), F.lit(salts))).otherwise(0).cast("int")
+    every = F.when(F.col("_tm_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, keys, "left").withColumn("_tm_salt", salt).drop("_tm_hot")
+    right = facts.join(hot, keys, "left").withColumn("_tm_salt", F.explode(every)).drop("_tm_hot")
+    return left.join(right.hint("merge"), [*keys, "_tm_salt"]).drop("_tm_salt")
+
+
 def blocks(rows: DataFrame, keys: list[str], member: str, size: int) -> DataFrame:
     """Deals the rows of each key into blocks of about ``size`` and repeats them for each pair of blocks.
 

@@ -2,10 +2,10 @@
 
 The mix is a sequence of slots. Slot k holds the point frac(k * golden ratio) of
 the unit interval, on which each source owns a stretch as long as its share of
-the words; so every run of slots holds each source in nearly its share. A
-source's words, in a shuffled order of its documents and repeated as often as its
-target asks, are cut into as many equal blocks as it owns slots, and its r-th
-slot takes its r-th block.
+the words; so every run of slots holds each source in nearly its share. All
+blocks have the same number of words. A source's words, in a shuffled order of its
+documents and repeated as often as its target asks, are cut into such blocks, and
+its r-th slot takes the r-th of them, the last as far as the target goes.
 """
 
 from __future__ import annotations
@@ -13,14 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Cut, table
+from .common import WORD, Cut, parts, table
 
 WEIGHTS = (5, 2, 1)
 #: Most times that a source's words are taken.
 PASSES = 3
-#: Words in a block, about; small corpora have smaller ones, so that each source has many.
+#: Words in a block, at most; small corpora have smaller ones, so that each source has many.
 BLOCK = 4096
 SLOTS_A_SOURCE = 64
+#: Blocks in the whole schedule, about, at most.
+MOST_SLOTS = 1 << 22
 GOLDEN = 0.6180339887498949
 #: Documents in a run of the shuffled order that one task sums up, about.
 RUN = 20_000
@@ -33,49 +35,74 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.call_function("regexp_count", F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
-    """source, source_size, target (double), goal (long): the words that each source gives.
+def in_ranges(sources: DataFrame, cut: Cut) -> DataFrame:
+    """``sources`` written in ranges of source by code point, null last, each with its number in _tm_part."""
+    ranges = sources.repartitionByRange(parts(sources.sparkSession), F.col("source").isNull(), "source")
+    return cut(ranges.withColumn("_tm_part", F.spark_partition_id()))
+
+
+def running(ranges: DataFrame, value: Column) -> Column:
+    """The sum of the whole number ``value`` over the sources up to this one: within a range, raised by the ranges before it."""
+    per = {r["_tm_part"]: r["v"] or 0 for r in ranges.groupBy("_tm_part").agg(F.sum(value).alias("v")).collect()}  # a row for each range
+    before = [sum(v for p, v in per.items() if p < k) for k in range(max(per, default=0) + 1)]
+    inside = Window.partitionBy("_tm_part").orderBy(F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, 0)
+    return F.sum(value).over(inside) + F.get(F.lit(before).cast("array<bigint>"), F.col("_tm_part"))
+
+
+def targets(sizes: DataFrame, cut: Cut, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
+    """source, source_size, target (double), goal (long): the words that each source gives; in ranges of source.
 
     ``sizes`` has source and source_size, a row for each source. The weights go
     round the sources by code point, null last. The targets share all words by
-    weight, none above ``passes`` times its source, the excess shared again by
-    weight. That fixed point has a closed form: in the order of size / weight the
-    sources at their limit come first. The table has a row per source; sources are
-    names in a configuration of weights, so one task orders them.
+    weight; a source above ``passes`` times its size is held there and the excess
+    is shared again by weight, round after round, until none is above. No task
+    sees all sources, so they can be as many as hosts.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    by_ratio = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").isNull(), "source")
-    everything = Window.partitionBy()
-    d = sizes.withColumn("_k", F.row_number().over(order) - 1)
-    d = d.withColumn("w", F.get(F.lit(list(weights)), F.col("_k") % len(weights)).cast("bigint"))
-    d = d.withColumn("_limit", F.col("source_size") * passes)
-    d = d.withColumn("_all", F.sum("source_size").over(everything))
-    d = d.withColumn("_given", F.coalesce(F.sum("_limit").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    d = d.withColumn("_open", F.sum("w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-    exact = lambda c: F.col(c).cast("decimal(19,0)")
-    d = d.withColumn("_full", (F.col("_all") - F.col("_given")).cast("decimal(19,0)") * exact("w") > exact("_limit") * exact("_open"))
-    left = F.col("_all") - F.coalesce(F.sum(F.when(F.col("_full"), F.col("_limit"))).over(everything), F.lit(0))
-    share = left.cast("double") / F.sum(F.when(~F.col("_full"), F.col("w"))).over(everything)
-    d = d.withColumn("target", F.when(F.col("_full"), F.col("_limit").cast("double")).otherwise(share * F.col("w")))
-    d = d.withColumn("goal", F.least(F.floor(F.col("target") + 0.5), F.col("_limit")))
-    return d.select("source", "source_size", "target", "goal")
-
-
-def schedule(goals: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(slots: source, r, k; counts: source, slots): which source each slot takes, and which of its blocks.
+    d = in_ranges(sizes, cut)
+    d = d.withColumn("w", F.get(F.lit(list(weights)), ((running(d, F.lit(1)) - 1) % len(weights)).cast("int")).cast("bigint"))
+    limit = F.col("source_size") * passes
+    full, held = F.lit(False), -1
+    while True:
+        sums = [F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("source_size"), F.when(full, limit), F.when(~full, F.col("w")))]
+        n, total, given, shared = d.agg(F.count_if(full), *sums).first()
+        if n == held or not shared:
+            break
+        held, left = n, total - given
+        exact = lambda c: c.cast("decimal(19,0)")
+        full = exact(F.lit(left)) * exact(F.col("w")) > exact(limit) * exact(F.lit(shared))
+    share = F.lit(float(total - given)) / float(max(shared or 0, 1))
+    d = d.withColumn("target", F.when(full, limit.cast("double")).otherwise(share * F.col("w")))
+    return cut(d.withColumn("goal", F.least(F.floor(F.col("target") + 0.5), limit)).select("source", "source_size", "target", "goal", "_tm_part"))
+
+
+def totals(goals: DataFrame) -> tuple[int, int, int]:
+    """(sum, number, least) of the goals above 0."""
+    return tuple(goals.where("goal > 0").agg(F.coalesce(F.sum("goal"), F.lit(0)), F.count("*"), F.coalesce(F.min("goal"), F.lit(1))).first())
+
+
+def block_for(total: int, least: int) -> int:
+    """Words in a block of the schedule: at most BLOCK, fewer if the smallest source would have less than SLOTS_A_SOURCE, at most MOST_SLOTS blocks in all."""
+    return max(1, min(BLOCK, least // SLOTS_A_SOURCE), -(-total // MOST_SLOTS))
+
+
+def schedule(goals: DataFrame, block: int = BLOCK, cut: Cut | None = None) -> tuple[DataFrame, DataFrame]:
+    """(slots: source, r, k; counts: source, slots): the source of each slot k, and which of its blocks of ``block`` words it takes.
 
     A point finds its stretch by an equality join: the unit interval is cut into
-    cells, a stretch lies in the cells that it meets. A source with a goal that
-    no point met gets one slot behind the others.
+    cells, a stretch lies in the cells that it meets. The sequence runs somewhat
+    longer than the mix, so that each source meets as many slots as its goal has
+    blocks; a source leaves the slots beyond them empty. Blocks that no point met,
+    as of a source smaller than a block, come behind the others.
     """
     spark = goals.sparkSession
     goals = goals.where("goal > 0")
-    total, n = goals.agg(F.coalesce(F.sum("goal"), F.lit(0)), F.count("*")).first()
-    length = max(-(-total // block), SLOTS_A_SOURCE * n)
+    if "_tm_part" not in goals.columns:
+        goals = in_ranges(goals, cut or Cut(spark, "schedule"))
+    total, n, least = totals(goals)
+    length = -(-total // block)
+    length += min(length, -(-4 * total // least))
     cells = max(256, 4 * n)
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    ends = F.sum("goal").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    own = goals.select("source", ((ends - F.col("goal")) / max(total, 1)).alias("lo"), (ends / max(total, 1)).alias("hi"))
+    own = goals.withColumn("end", running(goals, F.col("goal"))).select("source", ((F.col("end") - F.col("goal")) / max(total, 1)).alias("lo"), (F.col("end") / max(total, 1)).alias("hi"))
     own = own.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))))
     slots = spark.range(length).select(F.col("id").alias("k"), ((F.col("id") * GOLDEN) % 1.0).alias("u"))
     slots = slots.withColumn("cell", F.floor(F.col("u") * cells)).join(own, "cell").where("lo <= u and u < hi").select("source", "k")
@@ -86,81 +113,83 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame
     inside = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("k")) - 1
     slots = slots.withColumn("inside", inside).join(per, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
     slots = slots.select("source", (F.col("before") + F.col("inside")).alias("r"), "k")
-    met = slots.groupBy("source").agg(F.count("*").alias("slots")).withColumnRenamed("source", "s")
-    counts = goals.join(met, F.col("source").eqNullSafe(F.col("s")), "left").select("source", F.coalesce("slots", F.lit(0)).alias("slots"))
-    missed = counts.where("slots = 0").select("source", F.lit(0).cast("bigint").alias("r"), F.lit(length).cast("bigint").alias("k"))
-    return slots.unionByName(missed), counts.select("source", F.greatest("slots", F.lit(1)).alias("slots"))
+    needed = goals.select(F.col("source").alias("s"), F.ceil(F.col("goal") / block).alias("need"))
+    slots = slots.join(needed, F.col("source").eqNullSafe(F.col("s"))).where("r < need").select("source", "r", "k")
+    met = slots.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("slots"))
+    counts = goals.join(met, F.col("source").eqNullSafe(F.col("s")), "left").select("source", F.coalesce("slots", F.lit(0)).alias("slots"), F.ceil(F.col("goal") / block).alias("need"))
+    late = counts.where("slots < need").select("source", "slots", F.explode(F.sequence("slots", F.col("need") - 1)).alias("r"))
+    late = late.select("source", "r", (length + F.col("r") - F.col("slots")).alias("k"))
+    return slots.unionByName(late), counts.select("source", F.col("need").alias("slots"))
 
 
-def mix(docs: DataFrame, cut: Cut, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block: int = BLOCK) -> DataFrame:
-    """A row for each row of ``docs`` (doc_id, source, size, other columns with no leading _tm_): what the mix takes of it.
+def streamed(docs: DataFrame, cut: Cut, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(``docs`` with source_size, target, passes and _tm_from; the slots; the words in a block).
 
-    Adds source_size, target, passes (array of the words taken in each pass over
-    the source), taken (their sum) and first_slot (the first slot of the schedule
-    with words of this document; null if none). Words are taken from the start of
-    a document; at most one document of a source is taken in part in a pass. The
-    order inside a source follows the MD5 of doc_id, then size; rows alike in both
-    are interchangeable. Nulls: a null source is a source; a null doc_id sorts
-    first. A document of size 0 is never taken.
+    ``docs`` has doc_id, source, size and other columns with no leading _tm_.
+    passes: the words taken in each pass over the source; _tm_from: how many words
+    of the source lie before the document in its shuffled order.
     """
     docs = docs.withColumn("_tm_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     runs = max(64, -(-docs.count() // RUN))
     docs = docs.withColumn("_tm_run", F.floor(F.conv(F.substring("_tm_h", 1, 8), 16, 10).cast("bigint") * runs / (1 << 32)))
     per = docs.groupBy(F.col("source").alias("_tm_s"), F.col("_tm_run").alias("_tm_r")).agg(F.sum("size").alias("_tm_n"))
     along = Window.partitionBy("_tm_s").orderBy("_tm_r").rowsBetween(Window.unboundedPreceding, 0)
-    per = per.withColumn("_tm_before", F.sum("_tm_n").over(along) - F.col("_tm_n"))
+    per = cut(per.withColumn("_tm_before", F.sum("_tm_n").over(along) - F.col("_tm_n")))
     sizes = per.groupBy(F.col("_tm_s").alias("source")).agg(F.sum("_tm_n").alias("source_size"))
-    goals = cut(targets(sizes, weights, passes))
-    slots, counts = schedule(goals, block)
-    plan = goals.join(counts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    plan = plan.withColumnRenamed("source", "_tm_p")
-    per = per.join(plan, F.col("_tm_s").eqNullSafe(F.col("_tm_p"))).drop("_tm_n", "_tm_p")
+    goals = targets(sizes, cut, weights, passes)
+    total, _, least = totals(goals)
+    block = block or block_for(total, least)
+    slots = cut(schedule(goals, block)[0])
+    per = per.join(goals.withColumnRenamed("source", "_tm_p").drop("_tm_part"), F.col("_tm_s").eqNullSafe(F.col("_tm_p"))).drop("_tm_n", "_tm_p")
 
     in_run = Window.partitionBy("source", "_tm_run").orderBy("_tm_h", "doc_id", "size")
-    docs = docs.withColumn("_tm_pos", F.row_number().over(in_run))
     docs = docs.withColumn("_tm_to", F.sum("size").over(in_run.rowsBetween(Window.unboundedPreceding, 0)))
-    docs = docs.join(per, F.col("source").eqNullSafe(F.col("_tm_s")) & (F.col("_tm_run") == F.col("_tm_r"))).drop("_tm_s", "_tm_r")
-    docs = docs.withColumn("_tm_from", F.col("_tm_before") + F.col("_tm_to") - F.col("size")).drop("_tm_before", "_tm_to")
-
-    # The blocks that a document meets in each pass.
-    wide = F.col("goal") / F.col("slots")
+    docs = docs.join(per, F.col("source").eqNullSafe(F.col("_tm_s")) & (F.col("_tm_run") == F.col("_tm_r")))
+    docs = docs.withColumn("_tm_from", F.col("_tm_before") + F.col("_tm_to") - F.col("size"))
     lo = lambda p: F.col("source_size") * p + F.col("_tm_from")
-    found = F.transform(
-        F.sequence(F.lit(0), F.lit(passes - 1)),
-        lambda p: F.struct(p.alias("p"), lo(p).alias("lo"), F.least(lo(p) + F.col("size"), F.col("goal")).alias("hi")),
-    )
-    found = F.filter(found, lambda x: (x.lo < x.hi) & F.col("slots").isNotNull())
-    edge = lambda r: F.when(r >= F.col("slots"), F.col("goal")).otherwise(F.floor(r * wide))
-    pieces = docs.select("source", "_tm_run", "_tm_pos", "goal", "slots", F.explode(found).alias("x"))
-    first, last = F.floor(F.col("x.lo") / wide) - 1, F.floor(F.col("x.hi") / wide) + 1
-    pieces = pieces.withColumn("r", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.col("slots") - 1))))
-    part = F.least(F.col("x.hi"), edge(F.col("r") + 1)) - F.greatest(F.col("x.lo"), edge(F.col("r")))
-    pieces = pieces.select("source", "_tm_run", "_tm_pos", "r", F.col("x.p").alias("p"), part.alias("n")).where("n > 0")
-    slots = slots.select(F.col("source").alias("s"), F.col("r").alias("at"), "k")
-    pieces = pieces.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("r") == F.col("at")))
-    in_pass = [F.coalesce(F.sum(F.when(F.col("p") == p, F.col("n"))), F.lit(0)) for p in range(passes)]
-    taken = pieces.groupBy(F.col("source").alias("_tm_s"), F.col("_tm_run").alias("_tm_r"), F.col("_tm_pos").alias("_tm_i")).agg(
-        F.array(*in_pass).alias("passes"), F.min("k").alias("first_slot")
-    )
-    same = F.col("source").eqNullSafe(F.col("_tm_s")) & (F.col("_tm_run") == F.col("_tm_r")) & (F.col("_tm_pos") == F.col("_tm_i"))
-    out = docs.join(taken, same, "left")
-    none = F.lit([0] * passes).cast("array<bigint>")
-    out = out.withColumn("passes", F.coalesce("passes", none))
+    taken = F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), lambda p: F.greatest(F.least(lo(p) + F.col("size"), F.col("goal")) - lo(p), F.lit(0).cast("bigint")))
+    docs = docs.withColumn("passes", taken)
+    return docs.drop("goal", *[c for c in docs.columns if c.startswith("_tm_") and c != "_tm_from"]), slots, block
+
+
+def in_slots(rows: DataFrame, slots: DataFrame, block: int, start: Column, slot: str, place: str) -> DataFrame:
+    """``rows`` (source, ...) with the slot whose block holds the word ``start`` of the source, and that word's place in the block."""
+    at = slots.select(F.col("source").alias("_tm_s"), F.col("r").alias("_tm_r"), F.col("k").alias(slot))
+    rows = rows.withColumn("_tm_at", start).withColumn("_tm_b", F.floor(F.col("_tm_at") / block))
+    out = rows.join(at, F.col("source").eqNullSafe(F.col("_tm_s")) & (F.col("_tm_b") == F.col("_tm_r")), "left")
+    return out.withColumn(place, F.when(F.col(slot).isNotNull(), F.col("_tm_at") - F.col("_tm_b") * block)).drop("_tm_s", "_tm_r", "_tm_at", "_tm_b")
+
+
+def mix(docs: DataFrame, cut: Cut, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block: int | None = None) -> DataFrame:
+    """A row for each row of ``docs`` (doc_id, source, size, other columns with no leading _tm_): what the mix takes of it.
+
+    Adds source_size, target, passes (array of the words taken in each pass over
+    the source), taken (their sum), first_slot (the slot of the schedule that
+    takes its first word; null if none does) and place (that word's number in the
+    slot's block). The mix is the blocks in the order of their slots. Words are
+    taken from the start of a document; at most one document of a source is taken
+    in part in a pass. The order inside a source follows the MD5 of doc_id, then
+    size; rows alike in both are interchangeable. Nulls: a null source is a source;
+    a null doc_id sorts first. A document of size 0 is never taken.
+    """
+    out, slots, block = streamed(docs, cut, weights, passes, block)
     out = out.withColumn("taken", F.aggregate("passes", F.lit(0).cast("bigint"), lambda a, x: a + x))
-    return out.drop("goal", "slots", *[c for c in out.columns if c.startswith("_tm_")])
+    return in_slots(out, slots, block, F.when(F.col("taken") > 0, F.col("_tm_from")), "first_slot", "place").drop("_tm_from")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of all documents by the weights 5, 2, 1: what it takes of each."""
+    """The mix of all documents by the weights 5, 2, 1: what it takes of each, and where."""
     cut = Cut(spark, "op2")
     docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", words().alias("size")))
-    return mix(docs, cut).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, cut).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "place")
 
 
 def mixed_documents(docs: DataFrame, cut: Cut, **how) -> DataFrame:
-    """The documents of the mix, in the columns of ``docs``: a row each time that a document is taken.
+    """The mix in its order, in the columns of ``docs``: a row each time that a document is taken.
 
-    A document taken in part in a pass is cut after its last taken word. Rows
+    Rows lie in the order of the slot and the place of their first word; a
+    partition holds a run of slots, so about as many words as any other. A
+    document taken in part in a pass is cut after its last taken word. Rows
     that are alike in every column are numbered, and each counts. Rows that the mix doesn't take go.
     """
     key = F.xxhash64(*docs.columns)
@@ -168,15 +197,17 @@ def mixed_documents(docs: DataFrame, cut: Cut, **how) -> DataFrame:
     number = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(c[-1]))
     whole = whole.withColumn("_tm_no", number("_tm_id", "_tm_key"))
     facts = cut(docs.select("doc_id", "source", words().alias("size"), key.alias("key")).withColumn("no", number("doc_id", "key")))
-    mixed = mix(facts, cut, **how).where("taken > 0")
-    mixed = mixed.select(F.col("doc_id").alias("i"), F.col("key").alias("h"), "no", "size", F.filter("passes", lambda x: x > 0).alias("passes"))
-    same = F.col("_tm_id").eqNullSafe(F.col("i")) & (F.col("_tm_key") == F.col("h")) & (F.col("_tm_no") == F.col("no"))
-    out = whole.join(mixed, same)
-    out = out.select("_tm_doc", "size", F.explode("passes").alias("n"))
+    rows, slots, block = streamed(facts, cut, **how)
+    rows = rows.select("doc_id", "key", "no", "source", "size", "source_size", "_tm_from", F.posexplode("passes").alias("p", "n")).where("n > 0")
+    rows = cut(in_slots(rows, slots, block, F.col("_tm_from") + F.col("p") * F.col("source_size"), "slot", "place"))
+    last = rows.agg(F.coalesce(F.max("slot"), F.lit(0))).first()[0] + 1
+    taken = rows.select(F.col("doc_id").alias("i"), F.col("key").alias("h"), "no", "size", "n", "slot", "place")
+    out = whole.join(taken, F.col("_tm_id").eqNullSafe(F.col("i")) & (F.col("_tm_key") == F.col("h")) & (F.col("_tm_no") == F.col("no")))
     # Each piece is a word with the white space before it, so the pieces put together are the text up to there.
     pieces = F.regexp_extract_all("_tm_doc.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     text = F.when(F.col("n") < F.col("size"), F.array_join(F.slice(pieces, 1, F.col("n").cast("int")), "")).otherwise(F.col("_tm_doc.text"))
-    out = out.withColumn("_tm_text", text)
+    n = parts(docs.sparkSession)
+    out = out.repartitionById(n, F.floor(F.col("slot") * n / last).cast("int")).sortWithinPartitions("slot", "place", "_tm_id").withColumn("_tm_text", text)
     changed = {"text": F.col("_tm_text"), "n_chars": F.length("_tm_text").cast("bigint")}
     return out.select(*[changed.get(c, F.col(f"_tm_doc.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
@@ -191,11 +222,20 @@ c AS (SELECT *, 3 * source_size AS lim, sum(source_size) OVER () AS total,
 f AS (SELECT *, (total - given) * w > lim * open AS full_up FROM c),
 t AS (SELECT source, source_size, CASE WHEN full_up THEN lim::DOUBLE ELSE
     (total - coalesce(sum(CASE WHEN full_up THEN lim END) OVER (), 0))::DOUBLE / sum(CASE WHEN NOT full_up THEN w END) OVER () * w END AS target, lim FROM f),
-g AS (SELECT *, least(floor(target + 0.5)::BIGINT, lim) AS goal FROM t),
-o AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.goal,
+g AS (SELECT *, least(floor(target + 0.5)::BIGINT, lim)::BIGINT AS goal FROM t),
+y AS (SELECT sum(goal)::BIGINT AS total, min(goal) AS least, greatest(1, least(4096, min(goal) // 64), (sum(goal)::BIGINT + 4194303) // 4194304) AS block FROM g WHERE goal > 0),
+n AS (SELECT *, (total + block - 1) // block + least((total + block - 1) // block, (4 * total + least - 1) // least) AS length FROM y),
+own AS (SELECT source, (goal + block - 1) // block AS need, (ends - goal) / total AS lo, ends / total AS hi FROM
+    (SELECT *, sum(goal) OVER (ORDER BY source IS NULL, source)::BIGINT AS ends FROM g WHERE goal > 0) CROSS JOIN n),
+met AS (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS r, need FROM
+    (SELECT k, (k * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS u FROM (SELECT unnest(range(length)) AS k FROM n)) JOIN own ON lo <= u AND u < hi QUALIFY r < need),
+late AS (SELECT own.source, unnest(range(coalesce(x.c, 0), need)) AS r, coalesce(x.c, 0) AS c FROM own LEFT JOIN (SELECT source, count(*) AS c FROM met GROUP BY source) x ON own.source IS NOT DISTINCT FROM x.source),
+slots AS (SELECT source, r, k FROM met UNION ALL SELECT source, r, length + r - c FROM late CROSS JOIN n),
+o AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target, g.goal,
     (sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size)::BIGINT AS a
-    FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-    (greatest(0, least(a + size, goal) - a) + greatest(0, least(source_size + a + size, goal) - source_size - a)
-     + greatest(0, least(2 * source_size + a + size, goal) - 2 * source_size - a))::BIGINT AS taken FROM o
+    FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+p AS (SELECT *, (greatest(0, least(a + size, goal) - a) + greatest(0, least(source_size + a + size, goal) - source_size - a)
+     + greatest(0, least(2 * source_size + a + size, goal) - 2 * source_size - a))::BIGINT AS taken FROM o),
+q AS (SELECT p.*, CASE WHEN taken > 0 THEN a // block END AS b, CASE WHEN taken > 0 THEN a % block END AS place FROM p LEFT JOIN n ON true)
+SELECT doc_id, size, source_size, target, taken, k AS first_slot, place FROM q LEFT JOIN slots ON q.source IS NOT DISTINCT FROM slots.source AND b = r
 """
