@@ -263,6 +263,77 @@ def test_line_windows():
     assert line_dedup.without("a\n\nb\nc", [(1, 2)])[0] == "a\n\nc"
 
 
+def plain_line_dedup(docs, least=50):
+    """{doc_id: (text, words deleted, repeats of)} of {doc_id: text} without hashes, fingerprints or joins."""
+    lines = {i: [x.strip() for x in (t or "").split("\n") if x.split()] for i, t in docs.items()}
+    first, out = {}, {}
+    window = lambda p, i: next((e for e in range(i + 1, len(p) + 1) if sum(len(x.split()) for x in p[i:e]) >= least), None)
+    for d in sorted(docs):
+        for i in range(len(lines[d])):
+            if e := window(lines[d], i):
+                first.setdefault(tuple(lines[d][i:e]), (d, i))
+    for d in sorted(docs):
+        p, gone, of = lines[d], set(), set()
+        for i in range(len(p)):
+            e = window(p, i)
+            if not e or first[tuple(p[i:e])] == (d, i):
+                continue
+            o, j = first[tuple(p[i:e])]
+            q, s, t = lines[o], i, i
+            while s > 0 and s - i + j > 0 and p[s - 1] == q[s - 1 - i + j]:
+                s -= 1
+            while t < len(p) and t - i + j < len(q) and p[t] == q[t - i + j]:
+                t += 1
+            if o == d and t - i + j > s:
+                s = max(s, window(p, s - 1) or len(p) + 1)
+            if s < t:
+                gone |= set(range(s, t))
+                of.add(o)
+        text = docs[d]
+        if gone:
+            text, _, _ = line_dedup.without(text, [(k, k + 1) for k in gone])
+        out[d] = text, sum(len(p[k].split()) for k in gone), sorted(of)
+    return out
+
+
+def lined(spark, docs):
+    found = line_dedup.deduplicated(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), Cut(spark, "t")).collect()
+    assert all(r.n_lines - r.lines_deleted == (0 if r.text is None else r.text.count("\n") + 1 if r.text or not r.lines_deleted else 0) for r in found)
+    return {r.doc.doc_id: (r.text, r.words_deleted, sorted(r.repeats_of)) for r in found}
+
+
+def test_line_dedup_is_that_of_brute_force(spark):
+    rng = np.random.default_rng(21)
+    pool = [" ".join(f"w{x}" for x in rng.integers(0, 900, rng.integers(1, 30))) for _ in range(60)]
+    docs = {0: None, 1: "", 2: "\n \n"}
+    for d in range(3, 150):
+        own = [f"own {d} {k} " + "x " * int(rng.integers(0, 25)) for k in range(rng.integers(0, 6))]
+        start = int(rng.integers(0, 55))
+        run = pool[start : start + int(rng.integers(1, 9))] * int(rng.integers(1, 3))
+        at = int(rng.integers(0, len(own) + 1))
+        docs[d] = "\n".join(own[:at] + run + [""] * int(rng.integers(0, 2)) + own[at:])
+    want = plain_line_dedup(docs)
+    assert lined(spark, docs) == want and sum(w > 0 for _, w, _ in want.values()) > 30
+
+
+def test_a_run_does_not_eat_what_it_repeats(spark):
+    a, b = " ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20))
+    docs = {1: "\n".join([a] * 10), 2: "\n".join([a] * 3), 3: "\n".join([a, b] * 5), 4: "\n".join([b, a, b])}
+    got = lined(spark, docs)
+    assert got == plain_line_dedup(docs)
+    assert got[1] == ("\n".join([a] * 3), 140, [1]) and got[2] == ("", 60, [1])
+    assert got[3] == ("\n".join([a, b, a, b]), 120, [3]) and got[4][1] == 60
+
+
+def test_fingerprints_are_far_fewer_than_lines():
+    rng = np.random.default_rng(5)
+    hashes, words = rng.integers(-(1 << 62), 1 << 62, 4000), rng.integers(3, 12, 4000)
+    found = line_dedup.fingerprints(hashes, words)
+    starts = sum(len(w) for _, _, w in found)
+    assert starts > 3900 and len(found) < 0.4 * starts
+    assert [at for _, at, _ in found] == sorted({at for _, at, _ in found}) and all(h == hashes[at] for h, at, _ in found)
+
+
 def test_slots_keep_shares_everywhere(spark):
     goals = spark.createDataFrame([("a", 50_000), ("b", 30_000), ("c", 20_000), (None, 3)], "source string, goal bigint")
     slots, counts = mixing.schedule(goals, 100)
@@ -275,6 +346,35 @@ def test_slots_keep_shares_everywhere(spark):
     assert {r.source: r.slots for r in counts.collect()}[None] == 1
 
 
+def farthest(rows, share):
+    """By how many words source x strays from its share in any beginning of the rows (source, words)."""
+    seen, x, most = 0, 0, 0.0
+    for source, n in rows:
+        seen, x = seen + n, x + n * (source == "x")
+        most = max(most, abs(x - share * seen))
+    return most
+
+
+def test_the_mix_follows_its_schedule(spark, monkeypatch):
+    """Every beginning of the mix has the sources in their shares to a few blocks, by the golden ratio and not by another step."""
+    docs = spark.createDataFrame([(k, f"w{k} and four more words", "x" if k % 2 else "y", 7) for k in range(3000)], "doc_id bigint, text string, source string, n_chars bigint")
+    facts = docs.select("doc_id", "source", F.lit(5).cast("bigint").alias("size"))
+
+    def found():
+        return sorted(mixing.mix(facts, Cut(spark, "t")).where("taken > 0").collect(), key=lambda r: (r.first_slot, r.place))
+
+    def in_order():
+        return [(r.source, 5) for r in mixing.mixed_documents(docs, Cut(spark, "t")).collect()]
+
+    rows, block = found(), 15000 * 2 // 7 // mixing.SLOTS_A_SOURCE
+    assert {(r.source, round(r.target, 6)) for r in rows} == {("x", round(15000 * 5 / 7, 6)), ("y", round(15000 * 2 / 7, 6))}
+    assert len({(r.first_slot, r.place) for r in rows}) == len(rows)  # no two documents start at the same word
+    assert farthest(in_order(), 5 / 7) <= 3 * block
+    monkeypatch.setattr(mixing, "GOLDEN", 0.0001234)
+    assert [(r.doc_id, r.first_slot) for r in found()] != [(r.doc_id, r.first_slot) for r in rows]
+    assert farthest(in_order(), 5 / 7) > 20 * block
+
+
 def test_mix_counts_repeated_rows(spark):
     rows = [(1, "a b c d", "x", 7)] * 3 + [(2, "e f", "x", 3), (None, "g h", "x", 3), (None, "g h", "x", 3)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
