@@ -206,6 +206,40 @@ def test_embedding_recall(spark):
     assert len(want) > 100 and got <= want and len(got) >= 0.99 * len(want)
 
 
+@pytest.mark.parametrize("words", [64, 256, 1024, 4096])
+def test_caps_of_near_vectors_meet(words):
+    """The recall of the filters at the limit itself, whatever number of codewords the rows ask for."""
+    rng = np.random.default_rng(words)
+    x = rng.normal(size=(300, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(1)[:, None] * x
+    y = 0.931 * x + (1 - 0.931**2) ** 0.5 * z / np.linalg.norm(z, axis=1)[:, None]
+    found = np.zeros(len(x), bool)
+    for code in range(embedding_dedup.CODES):
+        a, b = (embedding_dedup.decode(v, words, embedding_dedup.caps_for(words), code) for v in (x, y))
+        found |= [len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]
+    assert found.mean() >= 0.99
+
+
+def test_degrees_and_components_are_those_of_the_pairs(spark):
+    """With vec_ids that stand for several vectors, and rows repeated."""
+    rng = np.random.default_rng(23)
+    base = rng.normal(size=(30, 24))
+    rows = [(int(rng.integers(0, 150)), (base[k % 30] + rng.normal(size=24) * 0.1).tolist(), k % 2) for k in range(240)]
+    d = spark.createDataFrame(rows + rows[:5], "vec_id bigint, embedding array<double>, label int")
+    pairs = {(r.a, r.b) for r in embedding_dedup.links(d, Cut(spark, "t")).collect()}
+    unit = [(i, np.array(v) / np.linalg.norm(v), lab) for i, v, lab in rows]
+    assert pairs == {(min(i, j), max(i, j)) for i, v, a in unit for j, w, b in unit if i != j and a == b and v @ w >= 0.93}
+    at = {i: i for i, _, _ in rows}
+    for _ in range(60):
+        for a, b in pairs:
+            at[a] = at[b] = min(at[a], at[b])
+    degree = Counter(x for p in pairs for x in p)
+    for r in embedding_dedup.near_duplicates(d, Cut(spark, "t")).collect():
+        assert (r.n_links, r.component_id) == (degree[r.vec_id], at[r.vec_id])
+
+
 def test_large_bucket_is_compared_in_blocks(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=16)
@@ -244,6 +278,40 @@ def test_tensored_keys_find_near_pairs():
     assert np.mean(met) >= 0.99
 
 
+def test_work_on_a_group_of_near_copies_grows_with_its_size(spark):
+    """Of n classes that all link, each is compared with few others on full sets."""
+    rng = np.random.default_rng(17)
+    base = [f"w{x}" for x in rng.integers(0, 9999, 120)]
+    for n in (200, 1600):
+        rows = [(k, " ".join([*base[: k % 120], f"edit{k}", *base[k % 120 + 1 :]])) for k in range(n)]
+        search = minhash_dedup.Nearest(spark.createDataFrame(rows, "doc_id bigint, text string"), Cut(spark, "t"), 75, minhash_dedup.HALVES)
+        assert {r.component_id for r in search.run().collect()} == {0}
+        compared = sum(f.count() for f in search.followers) + search.active.count()
+        assert n - 1 <= compared <= 2 * n
+
+
+def test_links_at_the_limit_are_those_of_brute_force(spark):
+    """Chains of texts whose neighbours are near the limit on either side, so that no leader links with all."""
+    rng = np.random.default_rng(19)
+    rows, k = [], 0
+    for _ in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 9999, 70)]
+        for _ in range(25):
+            rows.append((k, " ".join(words)))
+            words, k = [*words[int(rng.integers(5, 12)) :], *(f"w{x}" for x in rng.integers(0, 9999, 8))], k + 1
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    at = list(range(k))
+    for _ in range(30):
+        for a in range(k):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    at[a] = at[b] = min(at[a], at[b])
+        if all(at[x] == at[at[x]] for x in range(k)):
+            break
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), Cut(spark, "t")).collect()}
+    assert 12 < len(set(at)) < k and got == dict(enumerate(at))
+
+
 def test_rows_of_one_doc_id_are_joined(spark):
     """By what each of their texts links with, where that id is the smallest of several classes, and where it is not."""
     rng = np.random.default_rng(13)

@@ -116,6 +116,18 @@ def runs_of(batches, keys: tuple[str, ...]):
         yield rest
 
 
+def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what a symmetric matrix of neighbours joins: each index with the least that it reaches."""
+    own = np.arange(len(near))
+    label, before = own, None
+    while before is None or (label != before).any():
+        before = label
+        label = np.minimum(label, np.where(near, label, len(near)).min(1))
+        label = label[label]
+    to = np.flatnonzero(label != own)
+    return label[to], to
+
+
 #: A key is hot if it has more than this share of all rows; so fewer than 1 / HOT keys are.
 HOT = 1 / 1024
 
@@ -137,19 +149,27 @@ def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], member: str, co
     return left.join(right.hint("merge"), [*keys, "_tm_salt"]).drop("_tm_salt")
 
 
-def blocks(rows: DataFrame, keys: list[str], member: str, size: int) -> DataFrame:
+def in_blocks(rows: DataFrame, keys: list[str], member: str, size: int, cut: Cut | None = None) -> DataFrame:
     """Deals the rows of each key into blocks of about ``size`` and repeats them for each pair of blocks.
 
     Adds block, i and j (int): the rows with one (keys, i, j) are two blocks, i <= j,
     or one if i = j, so a task compares a bounded number whatever the size of the
     group. Rows that are alone with their key go.
     """
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_tm_n")).where("_tm_n > 1").select(*keys, F.ceil(F.col("_tm_n") / size).cast("int").alias("_tm_b"))
-    out = rows.join(sizes.hint("merge"), keys).withColumn("block", F.pmod(F.xxhash64(member), F.col("_tm_b")).cast("int"))
+    sizes = (cut or Cut(rows.sparkSession, "blocks"))(rows.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1"))
+    out = join_hot(rows, sizes.select(*keys, F.ceil(F.col("c") / size).cast("int").alias("_tm_b")), keys, member, sizes).withColumn("block", F.pmod(F.xxhash64(member), F.col("_tm_b")).cast("int"))
     out = out.withColumn("_tm_o", F.explode(F.sequence(F.lit(0), F.col("_tm_b") - 1)))
-    out = out.withColumn("i", F.least("block", "_tm_o")).withColumn("j", F.greatest("block", "_tm_o")).drop("_tm_b", "_tm_o")
-    n = 4 * parts(rows.sparkSession)
-    return out.repartition(n, *keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
+    return out.withColumn("i", F.least("block", "_tm_o")).withColumn("j", F.greatest("block", "_tm_o")).drop("_tm_b", "_tm_o")
+
+
+def together(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` of in_blocks so that those of one (keys, i, j) follow one another in a task."""
+    return rows.repartition(4 * parts(rows.sparkSession), *keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
+
+
+def blocks(rows: DataFrame, keys: list[str], member: str, size: int, cut: Cut | None = None) -> DataFrame:
+    """in_blocks, each pair of blocks together."""
+    return together(in_blocks(rows, keys, member, size, cut), keys)
 
 
 def parts(spark: SparkSession) -> int:

@@ -6,12 +6,13 @@ left and a right half key: as selective as 8 minhashes each, from 8m minhashes
 instead of 8m^2. Only the left half keys are shuffled; a task completes them. Two documents with similarity s meet in some table with
 probability (1 - (1 - s^4)^m)^2, 0.9998 for s = 0.75 and m = 25.
 
-Documents with equal sets form a class; the work is between classes. In a bucket
-classes are resembling if their signatures, a byte of each minhash, agree enough:
-first each is compared with the bucket's leader, then, block by block within a
-task, what that leaves apart. Only a forest comes out of a block, never its pairs.
-Two linked classes resemble each other, so all links lie within the components of
-that forest. In these, again block by block, all links are found on full sets.
+Documents with equal sets form a class; the work is between classes. Each class is
+compared on full sets with one leader of its buckets, and, where that leaves a
+bucket in several components, with another. So a group of near copies is joined by
+about as many comparisons as it has classes. What stays apart in a bucket resembles
+if its signatures, a byte of each minhash, agree enough; only the classes that
+resemble one of another component are compared on full sets again, block by block,
+and only a forest comes out of a block, never its pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Cut, blocks, remembers, runs_of, table
+from .common import Cut, blocks, forest, in_blocks, join_hot, parts, remembers, runs_of, table, together
 from .components import components
 
 WORDS = 5
@@ -38,6 +39,8 @@ IN_HALF = 4
 AGREE = 0.59
 #: Classes that a task compares at once; larger groups are compared block by block.
 BLOCK = 512
+#: Leaders that a class is compared with before what stays apart is compared in blocks.
+TURNS = 2
 REMEMBERED = 400_000
 
 _hashes: dict[bytes, int] = {}
@@ -143,16 +146,16 @@ def sketches(docs: DataFrame, halves: int = HALVES, in_half: int = IN_HALF) -> D
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """rep, at, shingles (array of long) of ``texts`` (rep, text, at)."""
+    """rep, shingles (array of long) of ``texts`` (rep, text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 some = b.slice(k, 256)
-                sets = [shingles(t.as_py()).view(np.int64) for t in some.column(2)]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "at", "shingles"])
+                sets = [shingles(t.as_py()).view(np.int64) for t in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
 
-    return texts.select("rep", "at", "text").mapInArrow(each, "rep bigint, at bigint, shingles array<bigint>")
+    return texts.select("rep", "text").mapInArrow(each, "rep bigint, shingles array<bigint>")
 
 
 def agreeing(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -169,30 +172,6 @@ def bytes_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(said), np.uint8).reshape(len(said), -1)
 
 
-def promising(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b, ga, gb) whose signatures agree enough, without them."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            if t.num_rows:
-                sig, n = np.concatenate([bytes_of(t.column("ga")), bytes_of(t.column("gb"))]), np.arange(t.num_rows)
-                yield t.select(["a", "b"]).filter(pa.array(agreeing(sig, n, n + t.num_rows)))
-
-    return pairs.select("a", "b", "ga", "gb").mapInArrow(each, "a bigint, b bigint")
-
-
-def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what a symmetric matrix of neighbours joins: each index with the least that it reaches."""
-    own = np.arange(len(near))
-    label, before = own, None
-    while before is None or (label != before).any():
-        before = label
-        label = np.minimum(label, np.where(near, label, len(near)).min(1))
-        label = label[label]
-    to = np.flatnonzero(label != own)
-    return label[to], to
-
-
 def across(t: pa.Table) -> np.ndarray | bool:
     """Which pairs of a table's rows are to be compared: those across two blocks, all if there is one."""
     side = t["block"].to_numpy() != t["i"].to_numpy()
@@ -204,8 +183,23 @@ def edges_of(rep: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(rep[a], pa.int64()), "b": pa.array(rep[b], pa.int64())})
 
 
+def confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The links of each leader's rows with it: rows (lead, member, rep, shingles), the leader's own first, member false."""
+    for batch in batches:
+        pairs = []
+        for lead, member, rep, said in zip(*(batch.column(c).to_pylist() for c in ("lead", "member", "rep")), batch.column("shingles"), strict=True):
+            own = np.array(said.values.to_numpy()) if said.is_valid else np.empty(0, np.int64)
+            if not member:
+                leader = own
+            else:
+                both = len(np.intersect1d(own, leader, assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(leader) - both):
+                    pairs.append((min(lead, rep), max(lead, rep)))
+        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+
 def resembling(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """A forest of the resembling rows (rep, n, at, right, signature) of each left half key, of those that differ in ``at``.
+    """(key, rep) of the rows (rep, n, at, right, signature) of each left half key that resemble one that differs in ``at``.
 
     Two rows are compared if they have a table key in common: with the left half key any right one.
     """
@@ -219,9 +213,8 @@ def resembling(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
             met[k : k + 50_000] = (right[a[k : k + 50_000]] == right[b[k : k + 50_000]]).any(1)
         a, b = a[met], b[met]
         good = agreeing(sig, a, b)
-        near = np.zeros_like(fit)
-        near[a[good], b[good]] = near[b[good], a[good]] = True
-        yield edges_of(rep, near)
+        some = np.unique(np.concatenate([a[good], b[good]]))
+        yield pa.RecordBatch.from_pydict({"key": pa.array(t["key"].to_numpy()[some], pa.int64()), "rep": pa.array(rep[some], pa.int64())})
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -233,25 +226,25 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     owner, token = owner[shared], token[shared]
     order = np.argsort(token, kind="stable")
     owner, token = owner[order], token[order]
-    out, wide = np.zeros((g, g), np.float32), max(64, 4_000_000 // g)
+    out, wide = np.zeros((g, g), np.int64), max(64, 4_000_000 // g)
     starts = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1]) if len(token) else np.empty(0, int)
     rank = np.cumsum(np.concatenate([[0], np.diff(token) > 0])) if len(token) else np.empty(0, int)
     for k in range(0, len(starts), wide):  # some tokens at a time
         lo, hi = starts[k], starts[k + wide] if k + wide < len(starts) else len(token)
         has = np.zeros((g, min(wide, len(starts) - k)), np.float32)
         has[owner[lo:hi], rank[lo:hi] - k] = 1
-        out += has @ has.T
+        out += (has @ has.T).astype(np.int64)  # exact: fewer tokens at a time than float32 counts
     return out
 
 
 def linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """A forest of the links among the rows (rep, shingles) of each group."""
-    for t in runs_of(batches, ("at", "i", "j")):
+    """A forest of the links among the rows (rep, at, shingles) of each half key that differ in ``at``."""
+    for t in runs_of(batches, ("key", "i", "j")):
         sets = [np.array(s, np.int64) for s in t["shingles"].to_pylist()]
         size = np.array([len(s) for s in sets])
         inter = intersections(sets)
-        near = (100 * inter >= percent * (size[:, None] + size - inter)) & across(t)
-        np.fill_diagonal(near, False)
+        at = t["at"].to_numpy()
+        near = (100 * inter >= percent * (size[:, None] + size - inter)) & (at[:, None] != at) & across(t)
         yield edges_of(t["rep"].to_numpy(), near)
 
 
@@ -297,56 +290,93 @@ class Nearest:
         keys = classes.select("rep", "n", F.explode("left").alias("key"))
         told = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"x{k}") for k in range(2)]
         often = keys.groupBy("key").agg(F.count("*").alias("c"), *told).where("c > 1")
-        rows = self.cut(keys.join(often.hint("merge"), "key"))
+        often = self.cut(often)
+        rows = self.cut(join_hot(keys, often, ["key"], "rep", often.select("key", "c")))
         # Many half keys are had by the very same classes: one stands for each set of them.
-        once = rows.groupBy("c", "x0", "x1").agg(F.min("key").alias("key")).select("key")
+        once = self.cut(rows.groupBy("c", "x0", "x1").agg(F.min("key").alias("key")).select("key", "c"))
         score = rows.groupBy("rep").agg(F.sum("c").alias("score"))
-        rows = rows.select("key", "rep", "n").join(once.hint("merge"), "key").join(score.hint("merge"), "rep")
+        rows = join_hot(rows.select("key", "rep", "n"), once.select("key"), ["key"], "rep", once).join(score.hint("merge"), "rep")
         return self.cut(rows.select("key", "rep", "n", "score"))
 
-    def with_leader(self, rows: DataFrame, classes: DataFrame) -> DataFrame:
-        """Resembling pairs (a, b) of each class of a bucket and its leader, the class with the highest score."""
-        order = F.struct(F.col("score").alias("s"), (-F.col("rep")).alias("r"))
-        lead = rows.groupBy("key").agg(F.max(F.struct(order.alias("o"), "rep", "n")).alias("x")).select("key", F.col("x.rep").alias("lead"), F.col("x.n").alias("nb"))
-        pairs = rows.join(lead.hint("merge"), "key").where(f"rep <> lead AND 100 * least(n, nb) >= {self.percent} * greatest(n, nb)")
-        pairs = pairs.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-        sig = classes.select("rep", "signature").hint("merge")
-        for side in "ab":
-            pairs = pairs.join(sig.select(F.col("rep").alias(side), F.col("signature").alias(f"g{side}")), side)
-        return promising(pairs)
-
-    def apart(self, rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-        """A forest of the resembling classes of a bucket that lie in different components of ``found``."""
+    def sets(self, rows: DataFrame) -> DataFrame:
+        """rep, shingles of every class in a bucket. Their texts go through a shuffle once."""
+        named = rows.select("rep").distinct().join(self.rep.select("rep", F.col("id").alias("doc_id"), "h"), "rep")
+        return self.cut(shingle_sets(self.docs.join(named.hint("merge"), ["doc_id", "h"]).dropDuplicates(["rep"])))
+
+    def with_component(self, rows: DataFrame, found: DataFrame | None) -> DataFrame:
+        """``rows`` with at: the component of the class, itself if it is in none yet."""
+        rows = rows.select("key", "rep", "n", "score")
+        if found is None:
+            return rows.withColumn("at", F.col("rep"))
         to = found.select(F.col("node").alias("rep"), F.col("component_id").alias("c")).hint("merge")
-        rows = rows.join(to, "rep", "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("at"))
-        several = rows.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("key")
-        rows = rows.join(several.hint("merge"), "key", "left_semi").join(classes.select("rep", "right", "signature").hint("merge"), "rep")
-        dealt = blocks(rows, ["key"], "rep", BLOCK).select("key", "i", "j", "block", "rep", "n", "at", "right", "signature")
+        return self.cut(rows.join(to, "rep", "left").select("key", "rep", "n", "score", F.coalesce("c", "rep").alias("at")))
+
+    def led(self, rows: DataFrame, turn: int) -> DataFrame:
+        """(rep, lead): for each class one leader of its buckets, of another component and of a size that can link.
+
+        A bucket's leader is at first the class with the highest score, in later
+        turns one by a hash; a class follows the leader that comes first in this order.
+        """
+        order = F.struct(F.col("score").alias("s") if not turn else F.xxhash64("rep", F.lit(turn)).alias("s"), (-F.col("rep")).alias("r"))
+        lead = rows.groupBy("key").agg(F.max(F.struct(order.alias("o"), "rep", "n", "at")).alias("x"), F.count("*").alias("c"), F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi")
+        lead = self.cut(lead)
+        facts = lead.select("key", F.col("x.o").alias("o"), F.col("x.rep").alias("lead"), F.col("x.n").alias("m"), F.col("x.at").alias("of"))
+        pairs = join_hot(rows, facts, ["key"], "rep", lead.select("key", "c")).where(f"at <> of AND 100 * least(n, m) >= {self.percent} * greatest(n, m)")
+        return self.cut(pairs.groupBy("rep").agg(F.max(F.struct("o", "lead")).alias("x")).select("rep", "x.lead"))
+
+    def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The links (a, b) among the pairs (rep, lead), on full sets.
+
+        The followers of a leader are dealt into groups of about BLOCK; each group
+        gets the leader's set once and passes by it one row at a time.
+        """
+        counts = self.cut(pairs.groupBy("lead").agg(F.count("*").alias("c")))
+        salted = join_hot(pairs, counts, ["lead"], "rep", counts).select("lead", F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / BLOCK)).alias("salt"), "rep")
+        salted = self.cut(salted)
+        heads = salted.select("lead", "salt").distinct().withColumn("rep", F.col("lead")).withColumn("member", F.lit(False))
+        dealt = salted.withColumn("member", F.lit(True)).unionByName(heads).join(sets.hint("merge"), "rep")
+        dealt = dealt.repartition(parts(sets.sparkSession), "lead", "salt").sortWithinPartitions("lead", "salt", "member").select("lead", "member", "rep", "shingles")
         percent = self.percent
-        return dealt.mapInArrow(lambda batches: resembling(batches, percent), "a bigint, b bigint").distinct()
-
-    def links(self, groups: DataFrame) -> DataFrame:
-        """A forest of the links within the groups (rep, at). The texts of their classes go through a shuffle once."""
-        named = groups.join(self.rep.select("rep", F.col("id").alias("doc_id"), "h"), "rep")
-        texts = self.docs.join(named.hint("merge"), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
-        sets = self.cut(shingle_sets(texts))
-        rows = blocks(sets, ["at"], "rep", BLOCK).select("at", "i", "j", "block", "rep", "shingles")
+        return self.cut(dealt.mapInArrow(lambda batches: confirmed(batches, percent), "a bigint, b bigint"))
+
+    def apart(self, rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """(key, rep) of the classes that resemble one of another component in a bucket."""
+        several = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("key", "c")
+        several = self.cut(several)
+        rows = join_hot(rows, several.select("key"), ["key"], "rep", several).join(classes.select("rep", "right", "signature").hint("merge"), "rep")
+        dealt = blocks(self.cut(rows), ["key"], "rep", BLOCK, self.cut).select("key", "i", "j", "block", "rep", "n", "at", "right", "signature")
         percent = self.percent
-        return self.cut(rows.mapInArrow(lambda batches: linked(batches, percent), "a bigint, b bigint").distinct())
+        return self.cut(dealt.mapInArrow(lambda batches: resembling(batches, percent), "key bigint, rep bigint").distinct())
+
+    def links(self, rows: DataFrame, active: DataFrame, sets: DataFrame) -> DataFrame:
+        """A forest of the links of different components among the classes (key, rep) of ``active``, on full sets."""
+        mine = self.cut(rows.select("key", "rep", "at").join(active, ["key", "rep"]))
+        dealt = in_blocks(mine, ["key"], "rep", BLOCK, self.cut).join(sets.hint("merge"), "rep")
+        dealt = together(dealt, ["key"]).select("key", "i", "j", "block", "rep", "at", "shingles")
+        percent = self.percent
+        return self.cut(dealt.mapInArrow(lambda batches: linked(batches, percent), "a bigint, b bigint").distinct())
 
     def run(self) -> DataFrame:
         """rep, component_id of every class that a link or a doc_id joins to another; also sets ``several``, what shared() finds."""
         classes = self.classes()
         rows = self.buckets(classes)
-        near = self.cut(self.with_leader(rows, classes))
-        found = components(near, self.cut)
-        more = self.cut(self.apart(rows, classes, found))
-        found = components(near.unionByName(more), self.cut)
-        links = self.links(self.cut(found.select(F.col("node").alias("rep"), F.col("component_id").alias("at"))))
+        sets = self.sets(rows)
+        found, edges, self.followers = None, None, []
+        for turn in range(TURNS):
+            self.followers.append(self.led(self.with_component(rows, found), turn))
+            if self.followers[-1].isEmpty():
+                break
+            new = self.confirm(self.followers[-1], sets)
+            edges = new if edges is None else edges.unionByName(new)
+            found = components(edges, self.cut)
+        rows = self.with_component(rows, found)
+        self.active = self.apart(rows, classes)
         self.several = self.shared()
         low = self.several.groupBy("doc_id").agg(F.min("rep").alias("a"))
         same = self.several.join(low, "doc_id").select("a", F.col("rep").alias("b"))
-        found = components(links.unionByName(same), self.cut).select(F.col("node").alias("rep"), F.col("component_id").alias("at"))
+        for more in (edges, None if self.active.isEmpty() else self.links(rows, self.active, sets)):
+            same = same if more is None else same.unionByName(more)
+        found = components(same, self.cut).select(F.col("node").alias("rep"), F.col("component_id").alias("at"))
         if self.several.isEmpty():  # then every rep is a doc_id
             return found.withColumnRenamed("at", "component_id")
         least = found.join(self.rep.select("rep", "id"), "rep").groupBy("at").agg(F.min("id").alias("component_id"))
@@ -375,3 +405,15 @@ def near_duplicates(docs: DataFrame, cut: Cut, percent: int = PERCENT, halves: i
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), Cut(spark, "op3"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) c ON c.node = d.doc_id
+"""
