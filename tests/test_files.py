@@ -30,3 +30,38 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
         write_table(d, str(tmp_path / "t"))
     write_table(d, str(tmp_path / "t"), replace=True)
+
+
+def test_json_and_markdown(spark, tmp_path):
+    from tidemark.sources.files import markdown, write_json
+
+    d = spark.createDataFrame([(1, "a|b", True), (2, None, False)], "k int, t string, f boolean")
+    write_json(d, str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in spark.read.schema(d.schema).json(str(tmp_path / "out")).collect()) == sorted(map(tuple, d.collect()), key=lambda r: r[0])
+    assert markdown(d) == "| k | t | f |\n| --- | --- | --- |\n| 1 | a\\|b | true |\n| 2 |  | false |"
+    with pytest.raises(ValueError, match="too many"):
+        markdown(d, 1)
+
+
+def test_manifest_tells_every_kind_of_difference(spark, tmp_path):
+    import hashlib
+
+    from tidemark.sources.files import manifest_check
+
+    for name in ("good", "changed", "extra"):
+        (tmp_path / name).write_text(name)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    listed = spark.createDataFrame([("good", 4, sha("good").upper()), ("changed", 7, sha("before")), ("absent", 1, sha("x"))], "file_name string, bytes int, sha256 string")
+    got = {r.file_name: r.status for r in manifest_check(spark, str(tmp_path), listed).collect()}
+    assert got == {"good": "MATCH", "changed": "MISMATCH", "absent": "MISSING", "extra": "UNLISTED"}
+
+
+def test_model_tables_are_not_overwritten(spark, tmp_path):
+    from tidemark.sources.files import write_table
+
+    d = spark.range(3)
+    write_table(d, str(tmp_path / "t"))
+    with pytest.raises(Exception, match="(?i)exists"):
+        write_table(d, str(tmp_path / "t"))
+    write_table(d.limit(1), str(tmp_path / "t"), replace=True)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1

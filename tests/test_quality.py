@@ -45,3 +45,29 @@ def test_ledger_lets_null_pass(spark):
 def test_mapping_takes_null_for_empty(spark):
     d, m = spark.createDataFrame([(None,), ("a",), ("b",)], "k string"), spark.createDataFrame([("",), ("a",)], "k string")
     assert {(r.k, r.is_mapped) for r in Q.mapping_coverage(d, m, ["k"]).collect()} == {(None, True), ("a", True), ("b", False)}
+
+
+def test_ledger_has_notes_and_an_exit_status(spark):
+    none, some = spark.range(0), spark.range(2)
+    fine = Q.contracts([("a", none)], [("n", some)])
+    assert {r.check_name: (r.expected, r.actual, r.status) for r in fine.collect()} == {"a": (0, 0, "PASS"), "n": (None, 2, "INFO")}
+    assert Q.exit_status(fine) == 0 and Q.exit_status(Q.contracts([("a", none), ("b", some)])) == 1
+
+
+def test_page_size_and_filters():
+    import pytest
+
+    from tidemark.plans.dashboard import checked, page_size
+
+    assert [page_size(n) for n in (None, 0, 5, 50, 5000)] == [600, 10, 10, 50, 2000]
+    assert checked({"season": 1997, "position": ""}, {"season": {1997}}) == {"season": 1997}
+    for bad in ({"season": 1890}, {"club": 1}):
+        with pytest.raises(ValueError, match="unsupported"):
+            checked(bad, {"season": {1997}})
+
+
+def test_adequate_periods(spark):
+    rows = [("a", k, n, 1) for k, n in enumerate([10, 10, 8, 10, 9])] + [("b", k, 5, int(k > 1)) for k in range(5)]
+    d = Q.period_coverage(spark.createDataFrame(rows, "g string, p int, n int, c int"), "g", "p", "n", "c")
+    assert {(r.g, r.p) for r in d.where("coverage_status = 'REVIEW'").collect()} == {("a", 2), ("b", 0), ("b", 1)}
+    assert [r.p for r in Q.common_periods(d, "g", "p", ["a", "b"]).collect()] == [4, 3]

@@ -65,3 +65,29 @@ def test_search(spark):
 def test_z_score_and_joined(spark):
     row = spark.range(1).select(S.z_score(F.lit(3.0), F.lit(1.0), F.lit(0.0)).alias("a"), S.z_score(F.lit(3.0), F.lit(1.0), F.lit(None)).alias("b"), S.joined(F.lit("a"), F.lit(None).cast("string"), F.lit("c")).alias("c")).first()
     assert (row.a, row.b, row.c) == (0.0, 0.0, "ac")
+
+
+def test_text_repair_is_that_of_the_codec(spark):
+    """Against Python's codec, for marked texts; texts without a mark stay."""
+    from tidemark.functions.scalar import repaired
+
+    def plain(t):
+        if t is None or not any(m in t for m in "ÃÂâ"):
+            return t
+        try:
+            return t.encode("windows-1252").decode("utf-8")
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            return t
+
+    good = ["Fußball", "ÉCOLE", "naïve “quotes” – €5", "Ž ž Š š Œ œ Ÿ ƒ ™", "日本", "Ðorđe"]
+    texts = [None, "", "plain", "é", "Â", "Ãx", "Ã\u0081", "Â\u0080", "â日", "Ã©\n", "â€™s"] + good + [g.encode().decode("windows-1252", "ignore") for g in good] + [chr(c) + "Ã©" for c in range(0x7E, 0x180)]
+    got = [r.t for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", repaired(F.col("t")).alias("t")).orderBy("k").collect()]
+    assert got == [plain(t) for t in texts] and got != texts
+
+
+def test_height_status(spark):
+    from tidemark.functions.scalar import height_status
+
+    texts = [(None,), ("tall",), ("99.9",), ("100",), ("230",), ("230.1",), ("-5",), ("180.5\n",)]
+    got = [r.s for r in spark.createDataFrame(texts, "t string").select(height_status(F.col("t")).alias("s")).collect()]
+    assert got == ["missing", "invalid_format", "out_of_range", "valid", "valid", "out_of_range", "invalid_format", "invalid_format"]

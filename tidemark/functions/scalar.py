@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Accepted texts. ``\\z``: Java's ``$`` would let a last line end through.
 INTEGER = r"\A[0-9]+\z"
@@ -86,6 +84,7 @@ def joined(*parts: Column) -> Column:
     return F.concat_ws("", *parts)
 
 
+# The labels of lag_status, fee_status and height_status are fixed values of the method.
 def lag_status(days: Column, same_day: bool = False) -> Column:
     """How fresh a value is that was observed so many days before."""
     out = F.when(days.isNull(), "no_prior_valuation")
@@ -103,23 +102,32 @@ def fee_status(text: Column) -> Column:
     )
 
 
-MARKERS = "[ÃÂâ]"
+def height_status(text: Column) -> Column:
+    """What a height in centimetres says; the first that holds."""
+    value = text.try_cast("decimal(38,10)")
+    out = F.when(text.isNull(), "missing").when(~text.rlike(DECIMAL), "invalid_format")
+    return out.when(~value.between(100, 230), "out_of_range").otherwise("valid")
+
 
+#: The characters that Windows-1252 has at bytes 80 to 9F, and those bytes as characters; five bytes have none.
+SPECIALS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+AT_BYTES = "".join(map(chr, [0x80, *range(0x82, 0x8D), 0x8E, *range(0x91, 0x9D), 0x9E, 0x9F]))
 
-@F.pandas_udf(T.StringType())
-def _repaired(texts: pd.Series) -> pd.Series:
-    def one(text):
-        try:
-            return text.encode("windows-1252").decode("utf-8")
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            return text
 
-    return texts.map(one, na_action="ignore")
+MARKERS = "[ÃÂâ]"
 
 
 def repaired(text: Column) -> Column:
-    """UTF-8 that was once read as Windows-1252, put right; any other text unchanged. Only marked texts go through Python."""
-    return F.when(text.rlike(MARKERS), _repaired(F.when(text.rlike(MARKERS), text))).otherwise(text)
+    """UTF-8 that was once read as Windows-1252, put right; any other text unchanged.
+
+    A text is such if it has one of the MARKERS, all its characters are bytes of
+    that code page and the bytes are valid UTF-8.
+    """
+    bytes_as_text = F.translate(text, SPECIALS, AT_BYTES)
+    encodable = text.rlike(MARKERS) & ~text.rlike("[\u0080-\u009F]") & bytes_as_text.rlike(r"\A[\u0000-\u00FF]*\z")
+    # Only what can be encoded is: an error otherwise.
+    read_again = F.encode(F.when(encodable, bytes_as_text), "ISO-8859-1").cast("string")
+    return F.coalesce(F.when(F.is_valid_utf8(read_again), read_again), text)
 
 
 def like_text(column: Column, query: str) -> Column:

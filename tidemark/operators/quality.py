@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ISO_DATE, SIGNED
@@ -75,10 +75,64 @@ def number_check(df: DataFrame, column: str, name: str, low: float | None, high:
     ).select(F.lit(name).alias("check_name"), "*")
 
 
-def contracts(checks: list[tuple[str, DataFrame]]) -> DataFrame:
-    """The ledger: a row for each (name, violating rows); PASS if there is none."""
-    rows = [bad.agg(F.count("*").alias("actual")).select(F.lit(n).alias("check_name"), "actual") for n, bad in checks]
-    return union_all(rows).select("check_name", F.lit(0).cast("bigint").alias("expected"), "actual", F.when(F.col("actual") == 0, "PASS").otherwise("FAIL").alias("status"))
+def contracts(checks: list[tuple[str, DataFrame]], notes: list[tuple[str, DataFrame]] = ()) -> DataFrame:
+    """The ledger: a row for each (name, violating rows); PASS if there is none. ``notes`` are counted without judgement, as INFO."""
+    rows = [bad.agg(F.count("*").alias("actual")).select(F.lit(n).alias("check_name"), "actual", F.lit(0).cast("bigint").alias("expected")) for n, bad in checks]
+    rows += [d.agg(F.count("*").alias("actual")).select(F.lit(n).alias("check_name"), "actual", F.lit(None).cast("bigint").alias("expected")) for n, d in notes]
+    status = F.when(F.col("expected").isNull(), "INFO").when(F.col("actual") == F.col("expected"), "PASS").otherwise("FAIL")
+    return union_all(rows).select("check_name", "expected", "actual", status.alias("status"))
+
+
+def exit_status(ledger: DataFrame) -> int:
+    """What a validation run ends with: 1 if any check failed."""
+    return 0 if ledger.where(F.col("status") == "FAIL").isEmpty() else 1
+
+
+def catalog(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_name, ordinal_position of every column. Schemas are metadata: no table is scanned."""
+    rows = [(n, c, k) for n, df in tables.items() for k, c in enumerate(df.columns, 1)]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(rows, "table_name string, column_name string, ordinal_position int")
+
+
+def period_coverage(periods: DataFrame, group: str, period: str, count: str, covered: str, ratio: float = 0.85) -> DataFrame:
+    """``periods`` (a row for each group and period) with the median of ``count`` over the five periods around it and a status.
+
+    ADEQUATE: at least ``ratio`` of that median, and something covered.
+    """
+    around = Window.partitionBy(group).orderBy(period).rowsBetween(-2, 2)
+    d = periods.withColumn("local_median", F.percentile(count, F.lit(0.5)).over(around))
+    fine = (F.col("local_median") > 0) & (F.col(count) >= ratio * F.col("local_median")) & (F.col(covered) > 0)
+    return d.withColumn("coverage_status", F.when(fine, "ADEQUATE").otherwise("REVIEW"))
+
+
+def common_periods(coverage: DataFrame, group: str, period: str, members: list[str], last: int = 3) -> DataFrame:
+    """The latest periods that are adequate in every one of these groups."""
+    d = coverage.where((F.col("coverage_status") == "ADEQUATE") & F.col(group).isin(members))
+    d = d.groupBy(period).agg(F.countDistinct(group).alias("n")).where(F.col("n") == len(members))
+    return d.orderBy(F.desc(period)).limit(last).select(period)
+
+
+def outliers(df: DataFrame, column: str, low: float | None, high: float | None, keep: list[str]) -> DataFrame:
+    """The rows whose text is a number outside [low, high]."""
+    value = F.when(F.col(column).rlike(SIGNED), F.col(column).try_cast("double"))
+    bad = F.lit(False)
+    for limit in (None if low is None else value < low, None if high is None else value > high):
+        bad = bad if limit is None else bad | limit
+    return df.where(bad).select(*keep, column)
+
+
+def orphan_groups(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, date: str) -> DataFrame:
+    """The child's keys without a parent: rows, first and last date."""
+    lost = child.where(F.col(child_key).isNotNull()).join(parent.select(F.col(parent_key).alias("_p")), F.col(child_key) == F.col("_p"), "left_anti")
+    return lost.groupBy(child_key).agg(F.count("*").alias("row_count"), F.min(date).alias("min_date"), F.max(date).alias("max_date"))
+
+
+def orphan_samples(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, order: list[Column], keep: list[str], each: int = 3) -> DataFrame:
+    """Of each key without a parent, the first rows in this order."""
+    lost = child.where(F.col(child_key).isNotNull()).join(parent.select(F.col(parent_key).alias("_p")), F.col(child_key) == F.col("_p"), "left_anti")
+    nth = F.row_number().over(Window.partitionBy(child_key).orderBy(*order))
+    return lost.withColumn("nth", nth).where(F.col("nth") <= each).select(child_key, "nth", *keep)
 
 
 def mapping_coverage(df: DataFrame, mapping: DataFrame, columns: list[str]) -> DataFrame:

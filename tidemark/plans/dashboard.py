@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import age_band, age_band_order, like_text
+from ..functions.scalar import age, age_band, age_band_order, like_text
 from ..operators.asof import top_one
+from ..operators.quality import union_all
+from ..sources.files import stored
+from .params import METRICS, Params
 
 FILTERS = {"competition": "competition_key", "season": "season_key", "position": "position_group"}
 
@@ -29,7 +32,8 @@ def condition(filters: dict) -> Column:
 
 
 def page_size(asked: int | None) -> int:
-    return min(max(asked or 600, 10), 2000)
+    """Rows of a page: 600 unless asked otherwise, 10 at least, 2000 at most."""
+    return min(max(600 if asked is None else asked, 10), 2000)
 
 
 def overview(scores: DataFrame, filters: dict) -> DataFrame:
@@ -121,5 +125,53 @@ def team_benchmark(stints: DataFrame, filters: dict) -> DataFrame:
         F.sum(F.when(fine, F.col("stint_value"))).alias("squad_value"), F.percentile(F.when(fine, F.col("stint_value")), F.lit(0.5)).alias("median_value"),
     )
     names = ("contributors", "total_minutes", "contributions", "squad_value", "median_value")
+    per = stored(per)  # read twice: each club, and all of them
     all_clubs = per.agg(F.count("*").alias("clubs"), *[F.percentile(c, F.lit(0.5)).alias(f"all_{c}") for c in names])
     return per.join(F.broadcast(all_clubs))  # one row
+
+
+def profile(players: DataFrame, player_key: int) -> DataFrame:
+    """One player's description; no row is the caller's "not found"."""
+    names = ("player_key", "player_name", "date_of_birth", "position_group", "height_cm", "height_quality_status")
+    return players.where(F.col("player_key") == player_key).select(*names)
+
+
+def valuations_of(valuations: DataFrame, entities: DataFrame, entity_key: int) -> DataFrame:
+    born = entities.where(F.col("entity_key") == entity_key).select("entity_key", "date_of_birth")
+    d = valuations.where(F.col("entity_key") == entity_key).join(born, "entity_key")
+    return d.select("valuation_date", "market_value", age(F.col("valuation_date"), F.col("date_of_birth")).alias("age_at_valuation")).orderBy("valuation_date")
+
+
+def transfers_of(transfers: DataFrame, entity_key: int) -> DataFrame:
+    d = transfers.where((F.col("entity_key") == entity_key) & F.col("is_historical"))
+    return d.select("transfer_key", "transfer_date", "fee_status", "fee", "value_at_transfer", "matched_date").orderBy("transfer_date", "transfer_key")
+
+
+def validation_summary(ledgers: dict[str, DataFrame]) -> DataFrame:
+    """How many checks of each phase's ledger passed and failed."""
+    rows = [
+        d.agg(F.count("*").alias("checks"), F.count_if(F.col("status") == "PASS").alias("passed"), F.count_if(F.col("status") == "FAIL").alias("failed")).withColumn("phase", F.lit(n))
+        for n, d in ledgers.items()
+    ]
+    return union_all(rows).select("phase", "checks", "passed", "failed").orderBy("phase")
+
+
+def parameters(spark: SparkSession, p: Params) -> DataFrame:
+    """The method's parameters, one row."""
+    row = (p.version, p.minimum_minutes, p.maximum_valuation_lag_days, p.minimum_peers, p.low, p.high, p.maximum_target_lag_days, list(p.horizons))
+    return spark.createDataFrame([row], "version string, minimum_minutes int, maximum_valuation_lag_days int, minimum_peers int, low double, high double, maximum_target_lag_days int, horizons array<int>")
+
+
+def metric_weights(spark: SparkSession, p: Params) -> DataFrame:
+    """A row for each group and metric of the score."""
+    rows = [(g, m, w, "negative" if m == "cards_per_90" else "positive") for g, ws in p.weights.items() for m, w in zip(METRICS, ws, strict=True)]
+    return spark.createDataFrame(rows, "position_group string, metric_name string, metric_weight double, direction string").orderBy("position_group", "metric_name")
+
+
+def meta(scores: DataFrame) -> DataFrame:
+    """What can be chosen: the competitions, seasons and groups with scores, each as a sorted array."""
+    return scores.agg(*[F.array_sort(F.collect_set(c)).alias(n) for n, c in (("competitions", "competition_key"), ("seasons", "season_key"), ("positions", "position_group"))])
+
+
+def health(spark: SparkSession) -> dict[str, str]:
+    return {"status": "ok" if spark.range(1).count() == 1 else "failing", "engine": f"Spark {spark.version}"}

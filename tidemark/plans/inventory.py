@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import age, fee_status, joined, like_text, repaired, sounds_like, to_amount, to_date, to_long
 from ..operators import quality
 from ..operators.asof import asof_backward, peak_to_date, top_one
-from ..sources.files import read_csv, scratch, write_csv
+from ..sources.files import read_csv, scratch, stored, write_csv
 from .bindings import Model, age_sql, sql
 from . import dashboard as D
 from .registry import ORACLE_SQL, QUERIES, register, six
@@ -48,8 +48,9 @@ register(
     lambda m: m.t("part").select("p_partkey", F.left("p_name", F.lit(5)).alias("l"), F.right("p_name", F.lit(2)).alias("r"), joined(F.col("p_brand"), F.expr("CASE WHEN p_size > 20 THEN p_type END")).alias("c"), F.concat_ws("|", "p_brand", "p_type").alias("w"), F.nullif(F.trim(F.expr("CASE WHEN p_size > 25 THEN '  ' ELSE p_name END")), F.lit("")).alias("n")),
     "SELECT p_partkey, left(p_name, 5) AS l, right(p_name, 2) AS r, concat(p_brand, CASE WHEN p_size > 20 THEN p_type END) AS c, concat_ws('|', p_brand, p_type) AS w, nullif(trim(CASE WHEN p_size > 25 THEN '  ' ELSE p_name END), '') AS n FROM part",
 )
-register("text_repair", lambda m: m.t("nation").select("n_nationkey", repaired(F.when(F.col("n_nationkey") % 3 == 0, F.lit("FuÃŸballclub")).when(F.col("n_nationkey") % 3 == 1, F.lit("Âx")).otherwise(F.col("n_name"))).alias("name")))
-register("accent_search", lambda m: m.t("documents").where(sounds_like(F.col("text"), "eau")).select("doc_id", "lang"))
+register("text_repair", lambda m: m.t("nation").select("n_nationkey", repaired(F.when(F.col("n_nationkey") % 3 == 0, F.lit("FuÃŸballclub")).when(F.col("n_nationkey") % 3 == 1, F.lit("Âx")).otherwise(F.col("n_name"))).alias("name")),
+    "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'Fußballclub' WHEN 1 THEN 'Âx' ELSE n_name END AS name FROM nation")
+register("accent_search", lambda m: m.t("documents").where(sounds_like(F.col("text"), "eau")).select("doc_id", "lang"), "SELECT doc_id, lang FROM documents WHERE contains(strip_accents(lower(text)), 'eau')")
 register("composite_keys", lambda m: m.valuations().select("entity_key", "valuation_date", (F.col("entity_key") * 100000000 + F.date_format("valuation_date", "yyyyMMdd").cast("bigint")).alias("valuation_key"), F.greatest(F.col("market_value"), F.lit(100000)).alias("g"), F.least(F.col("market_value"), F.lit(100000)).alias("l")), sql("val", "SELECT entity_key, valuation_date, entity_key * 100000000 + strftime(valuation_date, '%Y%m%d')::BIGINT AS valuation_key, greatest(market_value, 100000) AS g, least(market_value, 100000) AS l FROM val"))
 register("add_months", lambda m: m.t("orders").select("o_orderkey", *[F.add_months(F.col("o_orderdate").cast("date"), k).alias(f"m{k}") for k in (1, 6, 12, 24)]), f"SELECT o_orderkey, {', '.join(f'({DAY} + INTERVAL {k} MONTH)::DATE AS m{k}' for k in (1, 6, 12, 24))} FROM orders")
 register("json_rows", lambda m: m.t("region").select("r_regionkey", F.to_json(F.struct("r_regionkey", "r_name")).alias("j")), "SELECT r_regionkey, to_json({'r_regionkey': r_regionkey, 'r_name': r_name})::VARCHAR AS j FROM region")
@@ -58,7 +59,7 @@ register("json_rows", lambda m: m.t("region").select("r_regionkey", F.to_json(F.
 register("ranges_and_members", lambda m: m.t("part").where(F.col("p_size").between(5, 15) & F.col("p_type").isin("ECONOMY", "STANDARD") & F.array_contains(F.lit([5, 6, 7, 8, 9, 10]), F.col("p_size"))).select("p_partkey", "p_size", "p_type"), "SELECT p_partkey, p_size, p_type FROM part WHERE p_size BETWEEN 5 AND 15 AND p_type IN ('ECONOMY', 'STANDARD') AND list_contains([5, 6, 7, 8, 9, 10], p_size)")
 register("pattern_search", lambda m: m.t("part").where(like_text(F.col("p_name"), "RED%w")).select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RED%w%'")
 register("three_valued_flags", lambda m: m.observations().groupBy((F.col("is_starter") & (F.col("goals") > 3)).alias("flag")).agg(F.count("*").alias("n")), sql("obs", "SELECT is_starter AND goals > 3 AS flag, count(*) AS n FROM obs GROUP BY 1"))
-register("dynamic_filters", lambda m: m.kpi().where(D.condition(D.checked({"season": 1997, "position": "BUILDING", "competition": ""}, {}))).select("entity_key", "competition_key", "season_key"), sql("kpi", "SELECT entity_key, competition_key, season_key FROM kpi WHERE season_key = 1997 AND position_group = 'BUILDING'"))
+register("dynamic_filters", lambda m: m.kpi().where(D.condition(D.checked({"season": 1997, "position": "BUILDING", "competition": ""}, {"season": {1996, 1997}, "position": {"BUILDING", "FURNITURE"}}))).select("entity_key", "competition_key", "season_key"), sql("kpi", "SELECT entity_key, competition_key, season_key FROM kpi WHERE season_key = 1997 AND position_group = 'BUILDING'"))
 
 # Joins --------------------------------------------------------------------------------------------------------------
 register("role_playing_joins", lambda m: m.t("lineitem").join(m.t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(m.t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(m.t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -108,7 +109,7 @@ register("top_k", lambda m: m.t("customer").orderBy(F.desc_nulls_last("c_acctbal
 register("custom_order", lambda m: m.t("orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.expr("CASE o_orderpriority WHEN '1-URGENT' THEN 5 WHEN '5-LOW' THEN 1 ELSE 3 END"), "o_orderpriority"))), "SELECT *, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 5 WHEN '5-LOW' THEN 1 ELSE 3 END, o_orderpriority) AS place FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)")
 register("union_all", lambda m: m.t("customer").select(F.col("c_nationkey").alias("k")).unionAll(m.t("supplier").select("s_nationkey")), "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
 register("union_distinct", lambda m: m.t("customer").select(F.col("c_nationkey").alias("k")).union(m.t("supplier").select("s_nationkey")).distinct(), "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
-register("set_difference", lambda m: m.t("customer").select(F.col("c_nationkey").alias("k")).subtract(m.t("supplier").select("s_nationkey")), "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+register("set_difference", lambda m: m.t("customer").select(F.col("c_custkey").alias("k")).subtract(m.t("supplier").select("s_suppkey")), "SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier")
 register("recommended_seasons", lambda m: m.kpi().groupBy("season_key", "competition_key").agg(F.count("*").alias("n")).where("n >= 20").groupBy("season_key").agg(F.countDistinct("competition_key").alias("c")).where("c = 5").orderBy(F.desc("season_key")).limit(3).select("season_key"), sql("kpi", "SELECT season_key FROM (SELECT season_key, competition_key FROM kpi GROUP BY ALL HAVING count(*) >= 20) GROUP BY 1 HAVING count(DISTINCT competition_key) = 5 ORDER BY 1 DESC LIMIT 3"))
 register("inline_rows", lambda m: m.t("region").sparkSession.sql("SELECT * FROM VALUES (6, 'half'), (12, 'one'), (24, 'two') AS t(months, name)"), "SELECT * FROM (VALUES (6, 'half'), (12, 'one'), (24, 'two')) t(months, name)")
 
@@ -128,16 +129,29 @@ BAD_VALUES = "value_date > season_end_date"
 
 
 def ledger(m: Model) -> DataFrame:
-    s, k = m.seasons(), ["entity_key", "competition_key", "season_key"]
+    s, k = stored(m.seasons()), ["entity_key", "competition_key", "season_key"]
+    shipped = m.t("lineitem").join(m.t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return quality.contracts([
         ("season_grain", s.groupBy(*k).count().where("count > 1")),
         ("value_not_after_season_end", s.where(BAD_VALUES)),
         ("season_entity_known", s.join(m.entities(), "entity_key", "left_anti")),
-        ("ship_not_before_order", m.t("lineitem").join(m.t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate < o_orderdate")),
-    ])
-
-
-register("contract_ledger", ledger, "SELECT n AS check_name, 0::BIGINT AS expected, a AS actual, CASE WHEN a = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT 'season_grain' AS n, 0::BIGINT AS a UNION ALL SELECT 'value_not_after_season_end', 0 UNION ALL SELECT 'season_entity_known', 0 UNION ALL SELECT 'ship_not_before_order', (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate))")
+        ("ship_not_before_order", shipped.where("l_shipdate < o_orderdate")),
+        ("shipped_within_30_days", shipped.where("datediff(l_shipdate, o_orderdate) > 30")),
+        ("one_club_a_season", s.where("club_count > 1")),
+        ("value_in_range", s.where("value NOT BETWEEN 1000 AND 300000")),
+    ], [("seasons_without_value", s.where("value IS NULL"))])
+
+
+LEDGER = {
+    "season_grain": "(SELECT count(*) FROM (SELECT 1 FROM season GROUP BY entity_key, competition_key, season_key HAVING count(*) > 1))",
+    "value_not_after_season_end": f"(SELECT count(*) FROM season WHERE {BAD_VALUES})",
+    "season_entity_known": "(SELECT count(*) FROM season WHERE entity_key NOT IN (SELECT entity_key FROM ent))",
+    "ship_not_before_order": "(SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate)",
+    "shipped_within_30_days": "(SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate::DATE - o_orderdate::DATE > 30)",
+    "one_club_a_season": "(SELECT count(*) FROM season WHERE club_count > 1)",
+    "value_in_range": "(SELECT count(*) FROM season WHERE value NOT BETWEEN 1000 AND 300000)",
+}
+register("contract_ledger", ledger, sql("season ent", "SELECT n AS check_name, 0::BIGINT AS expected, a AS actual, CASE WHEN a = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS n, {q}::BIGINT AS a" for n, q in LEDGER.items()) + ") UNION ALL SELECT 'seasons_without_value', NULL, count(*), 'INFO' FROM season WHERE value IS NULL"))
 register("coverage", lambda m: m.t("orders").withColumn("y", F.year("o_orderdate")).join(m.t("lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("seen", F.lit(True)), "o_orderkey", "left").groupBy("y").agg(F.count("*").alias("games"), F.count("seen").alias("covered")).withColumn("pct", F.expr("CAST((2 * covered * 10000 + games) div (2 * games) AS DOUBLE) / 100")).withColumn("status", F.expr("CASE WHEN games = covered THEN 'FULL' WHEN pct >= 99 THEN 'HIGH' ELSE 'REVIEW' END")),
     "SELECT *, CASE WHEN games = covered THEN 'FULL' WHEN pct >= 99 THEN 'HIGH' ELSE 'REVIEW' END AS status FROM (SELECT *, ((2 * covered * 10000 + games) // (2 * games))::DOUBLE / 100 AS pct FROM (SELECT year(o_orderdate)::INT AS y, count(*) AS games, count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem)) AS covered FROM orders GROUP BY 1))")
 register("eligibility_funnel", lambda m: m.kpi().groupBy("eligibility_status").agg(F.count("*").alias("n")), sql("kpi", "SELECT eligibility_status, count(*) AS n FROM kpi GROUP BY 1"))
@@ -178,4 +192,6 @@ def csv_round_trip(m: Model) -> DataFrame:
 
 register("csv_round_trip", csv_round_trip, "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey, row_number() OVER (ORDER BY nation.n_nationkey) AS _source_row_number FROM nation")
 
+from . import inventory_model  # noqa: E402, F401  registers its queries
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import SIGNED, age, age_band, fee_status, lag_status, ratio, to_amount
+from ..functions.scalar import DECIMAL, SIGNED, age, age_band, fee_status, lag_status, ratio, to_amount
 from ..operators.asof import asof_backward
 from .params import Params
 
@@ -18,7 +18,14 @@ def transfers(raw: DataFrame, valuations: DataFrame, cutoff) -> DataFrame:
     priced = (F.col("fee_status") == "numeric_fee") & (F.col("value_at_transfer") > 0)
     d = d.withColumns({"lag_days": lag, "match_status": lag_status(lag, same_day=True), "fee_vs_value": F.when(priced, F.col("fee") - F.col("value_at_transfer"))})
     d = d.withColumn("fee_premium_pct", ratio("fee_vs_value * 100", "CASE WHEN fee_vs_value IS NOT NULL THEN value_at_transfer END", 4))
-    return d.withColumn("is_historical", F.col("transfer_date") <= cutoff)
+    eligible = F.coalesce(F.col("fee_text").rlike(DECIMAL) & (F.col("fee_text").try_cast("decimal(38,10)") > 0), F.lit(False))
+    return d.withColumns({"is_fee_analysis_eligible": eligible, "is_historical": F.col("transfer_date") <= cutoff})
+
+
+def club_match(after: Column, to: Column) -> Column:
+    """Whether the club of a later valuation is that of the transfer. The labels are fixed values of the method."""
+    unknown = after.isNull() | to.isNull()
+    return F.when(unknown, "club_comparison_unavailable").when(after == to, "matches_destination_club").otherwise("different_club_at_post_valuation")
 
 
 def outcomes(transfer: DataFrame, valuations: DataFrame, entities: DataFrame, snapshot, p: Params) -> DataFrame:

@@ -24,10 +24,10 @@ def value_efficiency(kpi: DataFrame, p: Params) -> DataFrame:
     peers = Window.partitionBy(*GROUP)
     d = kpi.where("is_eligible").withColumn("peers", F.count("*").over(peers)).where(F.col("peers") >= p.minimum_peers)
     d = d.withColumn("log_value", F.log1p(F.col("value").cast("double"))).withColumn("minutes_played", F.col("minutes_played").cast("double"))
-    bounds = d.groupBy(*GROUP).agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{n}") for c in INPUTS for n, q in (("lo", p.low), ("hi", p.high))])
-    d = d.join(bounds, GROUP).withColumns({f"w_{c}": clamp(F.col(c), F.col(f"{c}_lo"), F.col(f"{c}_hi")) for c in INPUTS})
-    stats = d.groupBy(*GROUP).agg(*[f.alias(f"{c}_{n}") for c in INPUTS for n, f in (("mean", F.avg(f"w_{c}")), ("sd", F.stddev_samp(f"w_{c}")))])
-    d = d.join(stats, GROUP).withColumns({f"{c}_z": z_score(F.col(f"w_{c}"), F.col(f"{c}_mean"), F.col(f"{c}_sd")) for c in INPUTS})
+    # Aggregates over one partitioning by group: the rows are shuffled once, and never joined with their own summary.
+    d = d.withColumns({f"{c}_{n}": F.percentile(c, F.lit(q)).over(peers) for c in INPUTS for n, q in (("lo", p.low), ("hi", p.high))})
+    d = d.withColumns({f"w_{c}": clamp(F.col(c), F.col(f"{c}_lo"), F.col(f"{c}_hi")) for c in INPUTS})
+    d = d.withColumns({f"{c}_z": z_score(F.col(f"w_{c}"), F.avg(f"w_{c}").over(peers), F.stddev_samp(f"w_{c}").over(peers)) for c in INPUTS})
     rows = [(g, *w) for g, w in p.weights.items()]
     weights = kpi.sparkSession.createDataFrame(rows, "position_group string, " + ", ".join(f"{c}_weight double" for c in METRICS))
     d = d.join(F.broadcast(weights), "position_group")  # a row for each group of the method
@@ -38,7 +38,7 @@ def value_efficiency(kpi: DataFrame, p: Params) -> DataFrame:
     d = d.withColumn("efficiency_rank", F.rank().over(peers.orderBy(F.desc("score")))).withColumn("efficiency_pct", F.cume_dist().over(peers.orderBy("score")) * 100)
     band = F.when(F.col("efficiency_pct") >= 90, "high_relative_efficiency").when(F.col("efficiency_pct") >= 75, "above_peer_range").when(F.col("efficiency_pct") >= 25, "within_peer_range").otherwise("low_relative_efficiency")
     d = d.withColumn("efficiency_band", band).withColumn("version", F.lit(p.version))
-    return d.drop(*[f"{c}_{n}" for c in INPUTS for n in ("lo", "hi", "mean", "sd")])
+    return d.drop(*[f"{c}_{n}" for c in INPUTS for n in ("lo", "hi")])
 
 
 def peer_benchmark(scores: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,10 +64,46 @@ def markdown(df: DataFrame, limit: int = 1000) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: in spark.checkpoint.dir, in local mode a temporary one if that is unset."""
+    """A fresh folder that driver and executors share: in spark.checkpoint.dir, in local mode a temporary one if that is unset."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
-        return own.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+        return f"{own.rstrip('/')}/tidemark-{uuid.uuid4().hex[:12]}"
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="tidemark-")
+    return f"{tempfile.mkdtemp(prefix='tidemark-')}/work"
+
+
+_stored: list[tuple[SparkSession, str]] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once and read again: what several readers share is computed once. Deleted when the driver ends."""
+    path = scratch(df.sparkSession)
+    _stored.append((df.sparkSession, path))
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _stored:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session may have ended before
+            continue
+
+
+def manifest_check(spark: SparkSession, folder: str, manifest: DataFrame, pattern: str = "*") -> DataFrame:
+    """file_name, expected_bytes, expected_sha256, actual_bytes, actual_sha256, status of each file of ``manifest`` or of the folder.
+
+    ``manifest`` has file_name, bytes and sha256. MATCH, MISMATCH, MISSING (not in
+    the folder) or UNLISTED. Files are hashed where they are read, not on the driver.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    found = files.select(F.element_at(F.split("path", "/"), -1).alias("f"), F.col("length").alias("actual_bytes"), F.sha2("content", 256).alias("actual_sha256"))
+    said = manifest.select("file_name", F.col("bytes").cast("bigint").alias("expected_bytes"), F.lower("sha256").alias("expected_sha256"))
+    d = said.join(found, F.col("file_name") == F.col("f"), "full")
+    same = (F.col("expected_bytes") == F.col("actual_bytes")) & (F.col("expected_sha256") == F.col("actual_sha256"))
+    status = F.when(F.col("f").isNull(), "MISSING").when(F.col("file_name").isNull(), "UNLISTED").when(same, "MATCH").otherwise("MISMATCH")
+    return d.select(F.coalesce("file_name", "f").alias("file_name"), "expected_bytes", "expected_sha256", "actual_bytes", "actual_sha256", status.alias("status"))
