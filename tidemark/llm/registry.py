@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": language_id.op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_minhash_dedup": minhash_dedup.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_minhash_dedup": minhash_dedup.ORACLE, "op5_url_filter": url_filter.ORACLE, "op9_embedding_dedup": embedding_dedup.ORACLE}

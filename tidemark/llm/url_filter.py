@@ -23,6 +23,11 @@ DAMPING = 0.85
 ROUNDS = 10
 #: Share of a host's own pages that must be blocked, if nothing else speaks for or against it.
 THRESHOLD = 0.5
+#: Suffixes under which anyone can have a host: their hosts have nothing to do with one another.
+SHARED = (
+    "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "com.tr", "co.in", "co.kr", "co.nz", "co.za",
+    "appspot.com", "blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "tumblr.com", "vercel.app", "web.app", "wixsite.com", "wordpress.com",
+)
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>\\]+)"""
 
 
@@ -50,14 +55,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """src, dst, weight: pages of a host that link to another host, and a host's pages to its parent domain.
+def host_edges(pages: DataFrame, shared: tuple[str, ...] = SHARED) -> DataFrame:
+    """src, dst, weight: pages of a host that link to another host, and a host's pages to its parent domain and back.
 
-    ``pages`` has host and html; html may be null or empty.
+    ``pages`` has host and html; html may be null or empty. A domain of ``shared``
+    is no parent: trust and distrust don't pass between those who share it.
     """
     links = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), _lower))).alias("dst"))
     parent = F.regexp_extract("host", r"\A[^.]+\.([^.]+\.[^.].*)", 1)
-    up = pages.select(F.col("host").alias("src"), parent.alias("dst")).where("dst <> ''")
+    up = pages.select(F.col("host").alias("src"), parent.alias("dst")).where((F.col("dst") != "") & ~F.col("dst").isin(*shared))
     edges = links.where("src <> dst and src <> ''").groupBy("src", "dst").agg(F.count("*").alias("weight"))
     tree = up.groupBy("src", "dst").agg(F.count("*").alias("weight"))
     back = tree.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
@@ -110,7 +116,13 @@ def host_verdicts(pages: DataFrame, cut: Cut, rules=RULES, damping: float = DAMP
 
 
 def judge(pages: DataFrame, cut: Cut, rules=RULES, **how) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust of every row of ``pages`` (page_id, url, html)."""
+    """page_id, host, path, rule, verdict, trust, distrust of every row of ``pages`` (page_id, url, html).
+
+    A row for each row: repeated ones count as so many pages of their host. A null
+    url, and one without ``://``, has an empty host and path: no rule fits it, it
+    links to nothing and nothing links to it, so it is allowed; null html has no
+    links. A very long page costs one pass of a pattern.
+    """
     hosts = host_verdicts(pages, cut, rules, **how).withColumnRenamed("verdict", "found")
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -122,4 +134,35 @@ def judge(pages: DataFrame, cut: Cut, rules=RULES, **how) -> DataFrame:
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return judge(pages, Cut(spark, "op5")).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    nine = [F.round(c, 9).alias(c) for c in ("trust", "distrust")]
+    return judge(pages, Cut(spark, "op5")).select("page_id", "host", "path", "rule", "verdict", *nine)
+
+
+def oracle() -> str:
+    """The query in DuckDB's SQL, its rounds unrolled."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    lower = lambda c: f"translate({c}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    fits = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    case = lambda out: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{out(v, h + p)}'" for v, h, p in fits) + " END"
+    steps = [f"""r{k + 1} AS MATERIALIZED (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust, sum(harm) AS harm FROM (SELECT * FROM s UNION ALL
+        SELECT dst, r.trust * t * {DAMPING}, 0, 0 FROM r{k} r JOIN e ON r.host = e.src UNION ALL
+        SELECT src, 0, r.distrust * d * {DAMPING}, r.harm * t * {DAMPING} FROM r{k} r JOIN e ON r.host = e.dst) GROUP BY host)""" for k in range(ROUNDS)]
+    return f"""
+WITH u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS MATERIALIZED (SELECT *, {case(lambda v, n: n)} AS rule, {case(lambda v, n: v)} AS said FROM (
+    SELECT page_id, html, {lower("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)),
+l AS (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, {quoted(LINK)}, 1), lambda x: {lower("x")}))) AS dst FROM p),
+up AS (SELECT host AS src, regexp_extract(host, '^[^.]+\\.([^.]+\\.[^.].*)', 1) AS dst FROM p),
+tree AS (SELECT src, dst, count(*) AS w FROM up WHERE dst <> '' AND dst NOT IN ({', '.join(map(quoted, SHARED))}) GROUP BY ALL),
+w AS (SELECT src, dst, sum(w)::DOUBLE AS w FROM (SELECT src, dst, count(*) AS w FROM l WHERE src <> dst AND src <> '' GROUP BY ALL UNION ALL SELECT * FROM tree UNION ALL SELECT dst, src, w FROM tree) GROUP BY ALL),
+e AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS t, w / sum(w) OVER (PARTITION BY dst) AS d FROM w),
+s AS MATERIALIZED (SELECT host, {1 - DAMPING} * a / n AS trust, {1 - DAMPING} * b / n AS distrust, {1 - DAMPING} * b / n AS harm FROM
+    (SELECT host, count(*) AS n, count(*) FILTER (said = 'allow') AS a, count(*) FILTER (said = 'block') AS b FROM p GROUP BY 1)),
+r0 AS (SELECT * FROM s),
+{', '.join(steps)}
+SELECT page_id, p.host, path, rule, coalesce(said, CASE WHEN harm > trust AND harm >= {THRESHOLD * (1 - DAMPING)} THEN 'block' ELSE 'allow' END) AS verdict,
+    round(trust, 9) AS trust, round(distrust, 9) AS distrust FROM p LEFT JOIN r{ROUNDS} r ON r.host = p.host
+"""
+
+
+ORACLE = oracle()
