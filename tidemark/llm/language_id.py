@@ -31,10 +31,13 @@ ORDER = 5
 SAMPLE = 1_000
 #: Of the sample, the share kept apart to calibrate confidence and rejection.
 APART = 0.2
-#: A text is rejected if its cross-entropy is above the mean of its language's calibration
-#: texts by this many standard deviations of a text of its length, and by SLACK bits.
-DEVIATIONS = 8.0
+#: A text is rejected if its cross-entropy is above the mean of its language's calibration texts
+#: by this many standard deviations of a text of its length; by SLACK bits a symbol at least, and
+#: whatever the deviations by MOST bits and SHORT more divided by the symbols of the text.
+DEVIATIONS = 6.0
 SLACK = 1.0
+MOST = 1.75
+SHORT = 8.0
 REMEMBERED = 400_000
 UNKNOWN = "und"
 
@@ -220,7 +223,7 @@ class Identifier:
         gap = (x - least[:, None]) * np.sqrt(np.maximum(n, 1))[:, None] * self.sharpness
         sure = 1 / np.exp2(-np.minimum(gap, 1000)).sum(1)
         over = least - np.array(self.mean)[best]
-        limit = np.maximum(DEVIATIONS * np.array(self.deviation)[best] / np.sqrt(np.maximum(n, 1)), SLACK)
+        limit = np.clip(DEVIATIONS * np.array(self.deviation)[best] / np.sqrt(np.maximum(n, 1)), SLACK, MOST + SHORT / np.maximum(n, 1))
         return np.where(some, best, -1), least, np.where(some, sure, 0.0), some & (over <= limit)
 
 
