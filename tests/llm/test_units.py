@@ -125,6 +125,69 @@ def test_language_model_is_a_distribution():
         assert total == pytest.approx(1 - 0 * model.floor, abs=0.06)
 
 
+def plain_kneser_ney(words, order):
+    """log2 of each symbol of a word by interpolated Kneser-Ney over tuples in dictionaries."""
+    edged = {w: ("<", *w, "<") for w in words}
+    grams = [Counter() for _ in range(order + 1)]
+    for w, n in words.items():
+        s = edged[w]
+        for i in range(1, len(s)):
+            for k in range(1, order + 1):
+                if i >= k - 1:
+                    grams[k][s[i - k + 1 : i + 1]] += n
+    counts = [None]
+    for k in range(1, order + 1):
+        if k < order:
+            longer = Counter(g[1:] for g in grams[k + 1])
+            counts.append({g: longer.get(g, 1) for g in grams[k]})
+        else:
+            counts.append(dict(grams[k]))
+    discount, total, kinds = [0.0], [None], [None]
+    for k in range(1, order + 1):
+        ones, twos = (sum(c == x for c in counts[k].values()) for x in (1, 2))
+        discount.append(min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95))
+        total.append(Counter())
+        kinds.append(Counter())
+        for g, c in counts[k].items():
+            total[k][g[:-1]] += c
+            kinds[k][g[:-1]] += 1
+
+    def score(word):
+        s, out = ("<", *word, "<"), []
+        for i in range(1, len(s)):
+            p = 1 / (len(counts[1]) + 1)
+            for k in range(1, order + 1):
+                context = s[i - k + 1 : i]
+                if i >= k - 1 and total[k][context]:
+                    p = max(counts[k].get((*context, s[i]), 0) - discount[k], 0) / total[k][context] + discount[k] * kinds[k][context] / total[k][context] * p
+            out.append(np.log2(p))
+        return out
+
+    return score
+
+
+def test_language_model_is_that_of_plain_kneser_ney():
+    rng = np.random.default_rng(31)
+    words = Counter({"".join(rng.choice(list("abcde"), rng.integers(1, 9))): int(rng.integers(1, 6)) for _ in range(300)})
+    model, score = language_id.fit(words), plain_kneser_ney(words, language_id.ORDER)
+    for w in [*list(words)[:60], "abcdeabcde", "zz", "azb", "e"]:
+        s, _ = language_id.symbols([w])
+        got = model.log2(language_id.gram_hashes(s, language_id.ORDER), np.arange(len(s)))[1:]
+        assert got == pytest.approx(score(w), abs=1e-9)
+
+
+def test_unknown_languages_and_scripts_are_rejected(spark):
+    rng = np.random.default_rng(33)
+    parts = {"aa": ["ba", "to", "ri", "nel", "sa", "mo"], "bb": ["kek", "zu", "pli", "gro", "wax", "ny"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang], rng.integers(1, 4))) for _ in range(n))
+    model = language_id.train(spark.createDataFrame([(lang, text(lang, 60)) for lang in parts for _ in range(200)], "lang string, text string"))
+    known = [text(lang, n) for lang in parts for n in (2, 3, 8, 40, 400)]
+    strange = ["私は今日学校に行きます", "日本", "Καλημέρα κόσμε", "Быстрая лиса", "Быстрая коричневая лиса прыгает " * 30, "שלום עולם", "uhq jfvd cyqh uvjj " * 4, "il cheudu voff hiddj " * 100]
+    got = language_id.identify(spark.createDataFrame([(k, t) for k, t in enumerate(known + strange)], "k int, text string"), model).collect()
+    assert {r.k for r in got if r.accepted} == set(range(len(known)))
+    assert all(r.lang_pred == ("aa" if r.k < 5 else "bb") for r in got if r.k < len(known))
+
+
 def test_copies_count_once_in_the_sample(spark, monkeypatch):
     """A language of few texts with many copies is learned whole; a text with many of the rows is one of the sample."""
     texts = lambda lang, n: [(lang, f"{lang} some words and " + "".join(chr(97 + int(d)) for d in f"{k:03}") + f"q{lang}") for k in range(n)]
@@ -178,6 +241,62 @@ def test_grammar():
     assert weight("a nice day for you") == weight("") == 0
 
 
+def test_grammar_of_speech_and_later_negation():
+    def weight(text, without=""):
+        return toxicity.Grammar(toxicity.Lexicon(toxicity.seeds()), without).features(text)[1]
+
+    aimed, plain = 2.0 * toxicity.TARGETED, 2.0
+    assert weight('"you idiot", he said') == weight('"You idiot!" he said.') == weight('she wrote: "you idiot!"') == pytest.approx(aimed * toxicity.REPORTED)
+    assert weight('he said "hello" to you idiot') == pytest.approx(aimed)  # after what he said
+    assert weight('an "idiot"') == plain  # quoted, but nobody says it
+    assert weight("ein trottel bist du nicht") == pytest.approx(plain * toxicity.DENIED)
+    assert weight("the idiot did not come") == plain  # this negation doesn't end the clause
+    assert weight("he kills you") == weight("I am killing them") == weight("mataré a ellos") == toxicity.THREAT_WEIGHT
+    assert weight("I will not kill you") == pytest.approx(toxicity.THREAT_WEIGHT * toxicity.DENIED)
+    assert weight('"I will kill you", she said') == pytest.approx(toxicity.THREAT_WEIGHT * toxicity.REPORTED)
+    assert weight('"unclosed you idiot\nstill an idiot') == pytest.approx(aimed + plain)
+
+
+def test_each_part_of_the_grammar_adds_something():
+    """Right decisions on clauses apart from those that it was written by, with a part left out and with none."""
+    toxic = ["you moron", "du arschloch", "he is pathetic and you are scum", "she said hello. you bastard", "we will strangle him", "I destroy you", "tu es un connard", "je vais te tuer toi", "vosotros y tú gilipollas"]
+    clean = [
+        "you are not a loser", "he never was stupid", "du bist kein vollidiot", "ein idiot ist er nicht", 'he called: "you are a bastard"', '"du trottel", sagte sie', "she wrote that he is a moron",
+        "the word idiot is greek", "they destroy old houses", "kill the process", "a stab in the dark, no more", "not one stupid question from you",
+    ]
+
+    def right(without):
+        g = toxicity.Grammar(toxicity.Lexicon(toxicity.seeds()), without)
+        return sum(g.features(t)[0] >= 2.5 for t in toxic) + sum(g.features(t)[0] < 2.5 for t in clean)
+
+    full = right("")
+    assert full == len(toxic) + len(clean)
+    assert all(right(part) < full for part in ("negation", "reported", "target"))
+
+
+def test_machines_are_those_of_their_parts_one_after_another():
+    """The composed machine against reading the same symbols by its parts in turn, over all clauses of five symbols."""
+    from itertools import product
+
+    def read(t, symbols):
+        state, out, weights = t.start, [], []
+        for x in symbols:
+            state, y, w = t.arcs[state, x]
+            out.append(y)
+            weights.append(w)
+        return out, np.array(weights)
+
+    _, whole = toxicity.machine()
+    parts = [toxicity.negation(), toxicity.reported(), toxicity.target(), toxicity.insult(), toxicity.threat()]
+    for clause in product("oTRQNIH", repeat=5):
+        symbols, weights = list(clause), np.ones(5)
+        for t in parts:
+            symbols, w = read(t, symbols)
+            weights = weights * w
+        got, w = read(whole, clause)
+        assert got == symbols and np.allclose(w, weights)
+
+
 def test_stems_are_learned(spark):
     rows = [(f"some vorble{x} talk number {k}", 1) for k, x in enumerate(["a", "en", "ing", "ed"] * 20)] + [(f"some plain talk number {k} vore", 0) for k in range(300)]
     found = toxicity.learn_stems(spark.createDataFrame(rows, "text string, toxic int"))
@@ -471,6 +590,17 @@ def test_hosts_that_link_to_blocked_ones_alone_are_blocked(spark):
     assert {h for h, v in got.items() if v == "allow"} == {"wide.com", "good.org", "known.com"}
 
 
+def test_tenants_of_a_shared_domain_are_apart(spark):
+    """Distrust passes from a host to its siblings through their own domain, not through one that anyone can have a host under."""
+    rules = (("block", "bad.mine.com", "/"), ("block", "bad.github.io", "/"))
+    urls = [f"http://{name}.{domain}/" for domain in ("mine.com", "github.io") for name in ("bad", "other")]
+    pages = spark.createDataFrame([(k, u, "") for k, u in enumerate(urls)], "page_id bigint, url string, html string")
+    edges = {(r.src, r.dst) for r in url_filter.host_edges(pages.select(F.regexp_extract("url", "//([^/]+)", 1).alias("host"), "html")).collect()}
+    assert edges == {(a, b) for x in ("bad.mine.com", "other.mine.com") for a, b in ((x, "mine.com"), ("mine.com", x))}
+    got = {r.host: r for r in url_filter.judge(pages, Cut(spark, "t"), rules).collect()}
+    assert got["other.mine.com"].distrust > 0 == got["other.github.io"].distrust and got["other.github.io"].verdict == "allow"
+
+
 def test_propagation_is_pagerank(spark):
     rng = np.random.default_rng(11)
     w = (rng.random((6, 6)) < 0.5) * rng.integers(1, 5, (6, 6))

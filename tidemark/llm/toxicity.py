@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state grammar over the clauses of a text.
 
 A lexicon gives words their classes: insult, threat, target, negation, reporting
-verb. Five small transducers, composed into one machine, read the classes of a
-clause and put out a weight for each matched insult or threat: less where it is
-denied or reported, more where it has a target, none for a threat without one. A
-text's score follows from the weights of its matched clauses.
+verb. Small transducers read the classes of a clause, two from its end and five
+from its start, each set composed into one machine. They put out a weight for each
+matched insult or threat: less where it is denied, before or at the end of the
+clause, or reported, in speech with or without quotation marks; more where it has a
+target; none for a threat without one. A text's score follows from the weights of
+its matched clauses.
 
 The lexicon has a few seeds; the rest of the insults are stems learned from
 labelled texts, as is the step from clause weights to a probability.
@@ -46,15 +48,24 @@ TOKENS = re.compile(r"[^\W\d_]+|[.!?;:|\n\"“”«»„]")
 
 SEEDS = {
     "insult": "idiot moron stupid loser scum worthless pathetic disgusting imbecile bastard dumbass arschloch trottel vollidiot connard imbécile salaud gilipollas imbécil pendejo",
-    "threat": "kill murder strangle stab hurt destroy töten umbringen ermorden tuer étrangler frapper matar golpear",
     "target": "you your you're yours he she they him her them du dich dir ihr euch sie er tu toi te vous il elle ils elles tú usted ustedes él ella ellos",
     "negation": "not no never isn aren wasn don doesn without nicht kein keine niemals pas jamais ni sin nunca jamás",
     "report": "said says say wrote writes claimed called calls quoted sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó",
 }
+#: Threats as stems with the endings that they take.
+THREATS = (
+    ("kill murder hurt threaten", ("", "s", "ed", "ing")), ("strangl destroy", ("", "e", "es", "s", "ed", "ing")), ("stab", ("", "s", "bed", "bing")),
+    ("töt ermord erstech", ("en", "e", "est", "et", "ete")), ("umbring", ("en", "e", "st", "t")),
+    ("tu étrangl frapp", ("er", "e", "es", "ez", "ent", "é", "erai", "era")), ("mat golpe", ("ar", "o", "as", "a", "an", "aré", "ará")),
+)
 SYMBOL = {"insult": "I", "threat": "H", "target": "T", "negation": "N", "report": "R"}
+#: Marks that open or close what is quoted.
+QUOTES = '"“”«»„'
 
 #: What a matched insult or threat weighs times its word's weight.
 DENIED, REPORTED, TARGETED, THREAT_WEIGHT = 0.5, 0.6, 1.5, 4.0
+#: Words between an insult or threat and the negation that ends its clause, at most.
+REACH = 4
 
 
 class Transducer:
@@ -89,6 +100,7 @@ def negation() -> Transducer:
     for s in range(4):
         for x in "oTR":
             t.arc(s, x, max(s - 1, 0), x)
+        t.arc(s, "Q", s, "Q")
         t.arc(s, "N", 3, "o")
         for x in "IH":
             t.arc(s, x, max(s - 1, 0), x, DENIED if s else 1.0)
@@ -96,14 +108,44 @@ def negation() -> Transducer:
 
 
 def reported() -> Transducer:
-    """Lowers what follows a reporting verb in the clause."""
-    t = Transducer(0)
-    for s in (0, 1):
+    """Lowers what follows a reporting verb: what it quotes if a quotation follows, else the rest of the clause.
+
+    States: nothing said, said, in a quotation that was announced, in any other.
+    """
+    t = Transducer("none")
+    for state, at_quote in (("none", "other"), ("said", "quoted"), ("quoted", "none"), ("other", "none")):
         for x in "oT":
-            t.arc(s, x, s, x)
-        t.arc(s, "R", 1, "o")
+            t.arc(state, x, state, x)
+        t.arc(state, "R", "said" if state in ("none", "said") else state, "o")
+        t.arc(state, "Q", at_quote, "o")
+        for x in "IH":
+            t.arc(state, x, state, x, REPORTED if state in ("said", "quoted") else 1.0)
+    return t
+
+
+def denied_later() -> Transducer:
+    """Reads a clause from its end: denies an insult or threat a few words before a negation that ends the clause."""
+    t = Transducer("end")
+    for state in ("end", *range(REACH + 1)):
+        left = 0 if state == "end" else state
+        for x in "oTRQ":
+            t.arc(state, x, max(left - 1, 0) if x != "Q" else state, x)
+        t.arc(state, "N", REACH if state == "end" else max(left - 1, 0), "N")
         for x in "IH":
-            t.arc(s, x, s, x, REPORTED if s else 1.0)
+            t.arc(state, x, max(left - 1, 0), x, DENIED if left else 1.0)
+    return t
+
+
+def reported_later() -> Transducer:
+    """Reads a clause from its end: lowers what is quoted before a reporting verb."""
+    t = Transducer("none")
+    for state, at_quote in (("none", "other"), ("said", "quoted"), ("quoted", "none"), ("other", "none")):
+        for x in "oTN":
+            t.arc(state, x, state, x)
+        t.arc(state, "R", "said" if state in ("none", "said") else state, "R")
+        t.arc(state, "Q", at_quote, "Q")
+        for x in "IH":
+            t.arc(state, x, state, x, REPORTED if state == "quoted" else 1.0)
     return t
 
 
@@ -138,11 +180,24 @@ def threat() -> Transducer:
     return t
 
 
-def machine() -> Transducer:
-    found = negation()
-    for t in (reported(), target(), insult(), threat()):
+def plain(symbols: str, out: str | None = None) -> Transducer:
+    """Passes every symbol on as it is, or those of ``out`` as themselves and the rest as o."""
+    t = Transducer(0)
+    for x in symbols:
+        t.arc(0, x, 0, x if out is None or x in out else "o")
+    return t
+
+
+def machine(without: str = "") -> tuple[Transducer, Transducer]:
+    """(the one that reads a clause from its end, the one that reads it from its start); ``without`` leaves a part out, to see what it adds."""
+    back = plain("oTNRQIH") if without == "negation" else denied_later()
+    if without != "reported":
+        back = back.compose(reported_later())
+    found = plain("oTRQNIH", "oTRQIH") if without == "negation" else negation()
+    found = found.compose(plain("oTRQIH", "oTIH") if without == "reported" else reported())
+    for t in (plain("oTIH", "oI") if without == "target" else target(), insult(), threat()):
         found = found.compose(t)
-    return found
+    return back, found
 
 
 def patterns(word: str) -> list[str]:
@@ -163,14 +218,15 @@ class Lexicon:
 
 
 def seeds() -> dict[str, tuple[str, float]]:
-    return {w: (SYMBOL[kind], 2.0) for kind, words in SEEDS.items() for w in words.split()}
+    found = {stem + end: (SYMBOL["threat"], 2.0) for stems, ends in THREATS for stem in stems.split() for end in ends}
+    return found | {w: (SYMBOL[kind], 2.0) for kind, words in SEEDS.items() for w in words.split()}
 
 
 class Grammar:
     """Scores texts; remembers the entries of words."""
 
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.machine = lexicon, machine()
+    def __init__(self, lexicon: Lexicon, without: str = ""):
+        self.lexicon, (self.back, self.machine) = lexicon, machine(without)
         self.known: dict[str, tuple[str, float] | None] = {}
 
     def entry(self, word: str):
@@ -197,26 +253,55 @@ class Grammar:
         text = (text or "").lower()
         if not self.heavy(text):
             return 0.0, 0.0, 0.0
-        most = total = matched = 0.0
-        state, clause, weight = self.machine.start, 0.0, 0.0
+        found = [w for w in map(self.weight, self.clauses(text)) if w]
+        return max(found, default=0.0), sum(found, 0.0), float(len(found))
+
+    def clauses(self, text: str) -> Iterator[list[tuple[str, float]]]:
+        """The symbols and weights of each clause that can match.
+
+        A clause ends at a sign or a line end. Signs inside a quotation don't end it,
+        nor does a colon before one.
+        """
+        clause: list[tuple[str, float]] = []
+        heavy = quoted = colon = False
         for m in TOKENS.finditer(text):
             word = m.group()
-            if not word[0].isalpha():
-                if word not in '"“”«»„':
-                    if clause:
-                        most, total, matched = max(most, clause), total + clause, matched + 1
-                    state, clause = self.machine.start, 0.0
+            if colon and word not in QUOTES:
+                if heavy:
+                    yield clause
+                clause, heavy = [], False
+            colon = word == ":" and not quoted
+            if colon:
                 continue
-            e = self.entry(word)
-            symbol, weight = e if e else ("o", 0.0)
+            if word[0].isalpha():
+                e = self.entry(word) or ("o", 0.0)
+                clause.append(e)
+                heavy |= e[0] in "IH"
+            elif word in QUOTES:
+                clause.append(("Q", 0.0))
+                quoted = not quoted
+            elif word == "\n" or not quoted:
+                if heavy:
+                    yield clause
+                clause, heavy, quoted = [], False, False
+        if heavy:
+            yield clause
+
+    def weight(self, clause: list[tuple[str, float]]) -> float:
+        state, factors = self.back.start, []
+        for symbol, _ in reversed(clause):
+            state, _, factor = self.back.arcs[state, symbol]
+            factors.append(factor)
+        state, total, waiting = self.machine.start, 0.0, 1.0
+        for (symbol, weight), later in zip(clause, reversed(factors), strict=True):
             state, out, factor = self.machine.arcs[state, symbol]
+            if symbol == "H":
+                waiting = later * factor  # a threat counts where its target follows
             if out == "hit":
-                clause += weight * factor
+                total += weight * factor * later
             elif out == "threat":
-                clause += factor
-        if clause:
-            most, total, matched = max(most, clause), total + clause, matched + 1
-        return most, total, matched
+                total += factor * waiting
+        return total
 
 
 _grammars: dict[str, Grammar] = {}
@@ -372,7 +457,11 @@ def train(docs: DataFrame, labels: DataFrame, cut: Cut, sample: int = SAMPLE) ->
 
 
 def score(docs: DataFrame, judge: Judge, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with score, predicted and matched (clauses) of its text. Null and empty texts match nothing."""
+    """The columns ``keep`` of ``docs`` with score, predicted and matched (clauses) of its text.
+
+    A row for each row: repeated ones score alike. Null and empty texts match
+    nothing; a very long text is read clause by clause.
+    """
     rows = featured(docs, judge.lexicon, keep)
     b = judge.beta
     z = b[0] + b[1] * F.least(F.col("most"), F.lit(20.0)) / 4 + b[2] * F.log1p("total") + b[3] * F.log1p("matched")
