@@ -192,17 +192,20 @@ def mixed_documents(docs: DataFrame, cut: Cut, **how) -> DataFrame:
     document taken in part in a pass is cut after its last taken word. Rows
     that are alike in every column are numbered, and each counts. Rows that the mix doesn't take go.
     """
-    key = F.xxhash64(*docs.columns)
-    whole = docs.select(F.struct(*docs.columns).alias("_tm_doc"), F.col("doc_id").alias("_tm_id"), key.alias("_tm_key"))
-    number = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(c[-1]))
-    whole = whole.withColumn("_tm_no", number("_tm_id", "_tm_key"))
-    facts = cut(docs.select("doc_id", "source", words().alias("size"), key.alias("key")).withColumn("no", number("doc_id", "key")))
+    # Both non-null, so that the numbering and the join share one shuffle of the texts.
+    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_tm_id"), F.xxhash64(*docs.columns).alias("_tm_key")]
+    number = F.row_number().over(Window.partitionBy("_tm_id", "_tm_key").orderBy("_tm_key"))
+    whole = docs.select(F.struct(*docs.columns).alias("_tm_doc"), *key).withColumn("_tm_no", number)
+    facts = docs.select("doc_id", "source", words().alias("size"), *key).withColumn("_tm_no", number)
+    facts = cut(facts.select("doc_id", "source", "size", F.col("_tm_id").alias("id"), F.col("_tm_key").alias("key"), F.col("_tm_no").alias("no")))
     rows, slots, block = streamed(facts, cut, **how)
-    rows = rows.select("doc_id", "key", "no", "source", "size", "source_size", "_tm_from", F.posexplode("passes").alias("p", "n")).where("n > 0")
+    rows = rows.select("id", "key", "no", "source", "size", "source_size", "_tm_from", F.posexplode("passes").alias("p", "n")).where("n > 0")
     rows = cut(in_slots(rows, slots, block, F.col("_tm_from") + F.col("p") * F.col("source_size"), "slot", "place"))
     last = rows.agg(F.coalesce(F.max("slot"), F.lit(0))).first()[0] + 1
-    taken = rows.select(F.col("doc_id").alias("i"), F.col("key").alias("h"), "no", "size", "n", "slot", "place")
-    out = whole.join(taken, F.col("_tm_id").eqNullSafe(F.col("i")) & (F.col("_tm_key") == F.col("h")) & (F.col("_tm_no") == F.col("no")))
+    each = rows.groupBy("id", "key", "no").agg(F.collect_list(F.struct("slot", "place", "n", "size")).alias("x"))  # one for each pass
+    taken = each.groupBy(F.col("id").alias("_tm_id"), F.col("key").alias("_tm_key")).agg(F.map_from_entries(F.collect_list(F.struct("no", "x"))).alias("_tm_taken"))
+    out = whole.join(taken.hint("merge"), ["_tm_id", "_tm_key"]).withColumn("_tm_x", F.explode(F.element_at("_tm_taken", F.col("_tm_no"))))
+    out = out.select("_tm_doc", "_tm_id", "_tm_x.*")
     # Each piece is a word with the white space before it, so the pieces put together are the text up to there.
     pieces = F.regexp_extract_all("_tm_doc.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     text = F.when(F.col("n") < F.col("size"), F.array_join(F.slice(pieces, 1, F.col("n").cast("int")), "")).otherwise(F.col("_tm_doc.text"))
