@@ -68,7 +68,8 @@ def scratch(spark: SparkSession) -> str:
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return f"{own.rstrip('/')}/tidemark-{uuid.uuid4().hex[:12]}"
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{tempfile.mkdtemp(prefix='tidemark-')}/work"
 
