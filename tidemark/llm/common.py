@@ -32,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _local:
         _local["dir"] = tempfile.mkdtemp(prefix="tidemark-")
@@ -80,7 +81,7 @@ def _clean() -> None:
         try:
             _delete(spark, path)
         except Exception:  # the session may have ended before
-            return
+            continue
 
 
 _forget: dict[str, Callable[[], object]] = {}
