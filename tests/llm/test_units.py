@@ -1,5 +1,6 @@
 """The parts of the operators against brute force."""
 
+import json
 from collections import Counter
 
 import numpy as np
@@ -227,6 +228,39 @@ def test_word_ids_are_those_of_the_whole_text():
         assert np.frombuffer(w.encode(t), "<u4").tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_a_cased_tokenizer_reads_whole_texts(tmp_path):
+    with open(packing.tokenizer_path()) as f:
+        said = json.load(f)
+    said["normalizer"]["normalizers"] = said["normalizer"]["normalizers"][:2]  # no lower case
+    (tmp_path / "cased.json").write_text(json.dumps(said))
+    w, small = packing.WordIds(str(tmp_path / "cased.json")), packing.WordIds(packing.tokenizer_path())
+    assert w.whole and not small.whole
+    for t in ("", "Ab cd. EF", "It's A\nb"):
+        assert np.frombuffer(w.encode(t), "<u4").tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids
+    assert w.encode("Ab") != small.encode("Ab")
+
+
+def test_full_pieces_pass_by_the_packing(spark):
+    docs = spark.createDataFrame([(1, "a " * 1000), (2, "b " * 39), (2, "b " * 39), (None, None)], "doc_id bigint, text string")
+    out = packing.pack_documents(docs, capacity=64, group=3, with_ids=True).collect()
+    assert sum(r.length == 64 for r in out) == 15 and len(out) == 19 and all(len(r.ids) == 4 * r.length for r in out)
+    full = [r for r in out if r.length == 64]
+    assert len({r.sequence_id for r in full}) == 15 and all(r.sequence_id >= packing.FULL and r.offset == 0 for r in full)
+    used: dict[int, list] = {}
+    for r in out:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in used.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 64
+
+
+def test_ranges_of_fingerprints_do_not_change_them(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 40, f"text number {i} " * (i % 7)) for i in range(200)] + [(None, "x" * 50), (None, None), (7, None)], "doc_id bigint, text string")
+    order = ["doc_id", "n_chars", "edited_sha256"]
+    want = sorted(map(str, fingerprints.against_next(docs).select(*order, "near_edited", "near_next").collect()))
+    monkeypatch.setattr(fingerprints, "ROWS", 3)
+    assert sorted(map(str, fingerprints.against_next(docs).select(*order, "near_edited", "near_next").collect())) == want and len(want) == 203
+
+
 def test_grammar():
     def weight(text):
         lexicon = toxicity.Lexicon(toxicity.seeds())

@@ -1,13 +1,14 @@
 """Packing: documents as token ids, cut to pieces and packed into sequences by first-fit decreasing.
 
 A document longer than a sequence is cut into full sequences and a rest. The
-pieces are dealt at random into groups, and each group is packed on its own:
+rests are dealt at random into groups, and each group is packed on its own:
 longest piece first, into the first sequence with room, which a tournament tree
 over the room left in each sequence finds in logarithmic time.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remembers, table
+from .common import Cut, remembers, table
 
 CAPACITY = 4096
 #: Appended to each document.
@@ -29,16 +30,31 @@ GROUP = 4096
 #: Words that a Python worker remembers the ids of; it forgets all of them when there are more.
 REMEMBERED = 600_000
 
+#: The normaliser and the pre-tokenizer, as a tokenizer file states them, under which a
+#: text's ids are those of its words, and neither a plain capital nor a sign at a word's end matters.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+#: Full sequences are numbered from here on, the others below.
+FULL = 1 << 62
+
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
+def by_words(said: dict) -> bool:
+    """Whether a tokenizer, as its file states it, has the normaliser and the cuts that reading word by word takes for granted."""
+    pre = (said["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    plain = said["truncation"] is None and said["padding"] is None and not any(set(" \t\r\n") & set(t["content"]) for t in said["added_tokens"])
+    return plain and (said["normalizer"] or {}).get("normalizers") == NORMALIZERS and pre[0] == SPLIT
+
+
 class WordIds:
-    """Ids of whole texts, word by word, from a tokenizer whose pieces never span white space.
+    """Ids of whole texts.
 
-    Such a tokenizer gives a text the ids of its words one after another, so the
-    ids of a word are computed once and remembered. Words are cut at space, tab
-    and line ends only; any other white space stays inside and the tokenizer
-    cuts there itself.
+    A tokenizer that is known to cut at white space (``by_words``) gives a text the
+    ids of its words one after another, so the ids of a word are computed once and
+    remembered. Words are cut at space, tab and line ends only; any other white
+    space stays inside and the tokenizer cuts there itself. Any other tokenizer
+    reads whole texts.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -46,6 +62,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered, self.ids = Tokenizer.from_file(path), remembered, {"": b""}
+        self.whole = not by_words(json.loads(self.tokenizer.to_str()))
 
     def words(self, text: str) -> list[str]:
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
@@ -71,6 +88,8 @@ class WordIds:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
+        if self.whole:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words, out = self.words(text), []
         for k in range(0, len(words), 100_000):
             some = words[k : k + 100_000]
@@ -147,12 +166,14 @@ def first_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return bins, offsets
 
 
-def pack(parts: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to the pieces, packed in ``groups`` random groups.
+def pack(parts: DataFrame, group: int = GROUP, capacity: int = CAPACITY) -> DataFrame:
+    """Adds sequence_id and offset to ``parts``, a table on disk: a full piece is a sequence, the others are packed in random groups.
 
-    A group is chosen by a hash of the piece, so a retried task deals alike.
-    Pieces alike in length follow doc_id, start and checksum; sequences are
-    numbered within their group, the group in the upper 32 bits.
+    The groups have about ``group`` pieces each, however many full ones there are.
+    A group is chosen by a hash of the piece and its place in the table, so a
+    retried task deals alike and repeated rows don't meet in one group. Pieces
+    alike in length follow doc_id, start and checksum; sequences are numbered
+    within their group, the group in the upper 32 bits.
     """
 
     def fill(t: pa.Table) -> pa.Table:
@@ -162,17 +183,25 @@ def pack(parts: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
         t = t.append_column("sequence_id", pa.array(first + np.array(bins, "int64"))).append_column("offset", pa.array(np.array(offsets, "int64")))
         return t.drop_columns(["_tm_group"])
 
-    dealt = parts.withColumn("_tm_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    rests, place = parts.where(F.col("length") < capacity), F.monotonically_increasing_id()
+    groups = max(1, round(rests.count() / group))
+    dealt = rests.withColumn("_tm_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", place), F.lit(groups)))
     schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return dealt.groupBy("_tm_group").applyInArrow(fill, schema)
+    full = parts.where(F.col("length") == capacity).select("*", (place + FULL).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    return full.unionByName(dealt.groupBy("_tm_group").applyInArrow(fill, schema))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, group: int = GROUP, with_ids: bool = False) -> DataFrame:
-    """The pieces of all rows of ``docs`` (doc_id, text), each with its sequence and offset there."""
-    groups = max(1, round(docs.count() / group))
-    return pack(pieces(docs, tokenizer, capacity, with_ids=with_ids), groups, capacity)
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, group: int = GROUP, with_ids: bool = False, cut: Cut | None = None) -> DataFrame:
+    """The pieces of all rows of ``docs`` (doc_id, text), each with its sequence and offset there.
+
+    Every row counts, repeated ones too; a null or empty text is the end id alone;
+    a very long text is mostly full pieces, which pass by the packing. An empty
+    table gives no pieces. The pieces are written once, so no text is read twice.
+    """
+    cut = cut or Cut(docs.sparkSession, "packing")
+    return pack(cut(pieces(docs, tokenizer, capacity, with_ids=with_ids)), group, capacity)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 ids."""
-    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), cut=Cut(spark, "op6"))
