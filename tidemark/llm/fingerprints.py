@@ -24,6 +24,8 @@ from .common import bucket_of, parts, splits, table
 #: Code points in a gram and grams in a window, both powers of two: shared runs of 23 code points are found for certain.
 K = 8
 W = 16
+#: Rows of a range that one task walks through, about, at most.
+ROWS = 1_000_000
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -129,7 +131,8 @@ def against_next(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     another's rows. A range's rows pass through one task in order, one at a time.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = max(1, min(4096, parts(docs.sparkSession)))
+    spark = docs.sparkSession
+    n = max(parts(spark), -(-docs.count() // ROWS))
     own = docs.select(F.col("doc_id").alias("id"))
     cuts = splits(own, "id", n)
     last = len(cuts)
@@ -140,16 +143,11 @@ def against_next(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     filled = sorted(first)
     # The ranges before which a range's first rows are read again: that of every id that starts one.
     readers: dict[int | None, int] = {first[at]: filled[i - 1] for i, at in enumerate(filled)}
-    to = F.lit(None).cast("int")
-    for i, at in readers.items():
-        to = F.when(F.col("doc_id").isNull() if i is None else F.col("doc_id") == i, F.lit(at)).otherwise(to)
-    guests = docs
-    known = [i for i in readers if i is not None]
-    if None not in readers:
-        guests = docs.where(F.col("doc_id").isin(known)) if known else docs.limit(0)
+    told = spark.createDataFrame(list(readers.items()), "_tm_id bigint, at int")  # a row for each range
     # Of the rows that share a starting doc_id, only the first is a guest.
     key = F.struct(F.xxhash64("text").alias("h"), "text")
-    guests = guests.groupBy("doc_id").agg(F.min(key).alias("x")).select("doc_id", "x.text", to.alias("at")).where("at is not null")
+    guests = docs.join(F.broadcast(told), F.col("doc_id").eqNullSafe(F.col("_tm_id")))
+    guests = guests.groupBy("doc_id", "at").agg(F.min(key).alias("x")).select("doc_id", "x.text", "at")
     rows = docs.withColumn("at", which("doc_id")).withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
     rows = rows.repartitionById(last + 1, F.col("at")).sortWithinPartitions("at", "guest", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text")
 
