@@ -43,7 +43,11 @@ def odd(spark, tmp_path_factory):
     vectors += [(100, None, 1), (101, [0.0] * 16, 1), (102, [float("nan")] + [1.0] * 15, 1), (103, base[0], None), (104, base[1] + [1.0], 7), (None, base[0], 7), (105, [], 1), vectors[3], vectors[3]]
     pages = [(0, "https://A.Example.NET/en/x?q#f", '<a href="http://Good.org/x">'), (1, "http://b.example.com/de/1", None), (2, "http://b.example.com/en/1", ""), (3, None, "<a href='//bad.net/'>"), (4, "nothing", "x"), (5, "ftp://good.org/fr/", '<a href="https://other.io">'), (6, "http://", ""), (None, "http://other.io?x", '<a href="http://b.example.com">')]
     labels = [(i, 1, int(i % 5 == 0)) for i in range(0, 60, 2)] + [(None, 1, 1), (3, None, None), (999, 1, 0)]
+    said = [(c, t, "user" if t % 2 else "assistant" if c % 3 else "system", rnd.choice(["Yes.", "No", "well", " \n", "why?", "a.b.c"])) for c in range(80) for t in range(c % 9)]
+    said += [(500, t, "ua"[t % 2] + "x", f"turn {t}.") for t in range(600)] + [(501, None, None, None), (501, 3, "tool", "x."), (501, 3, "user", "y"), (502, None, "user", ""), (503, -5, "", "z!"), (503, 9, "User", "z!")]
+    said += [(None, 1, "user", "hi."), (None, 2, "assistant", "ho!"), (504, 1, "user", "end.\u2028"), (504, 2, "assistant", "\x85"), said[40], said[40], said[41]]
     frames = {
+        "conversations": spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", *[f"'clash' AS `{c}`" for c in ("gone", "kind", "copy", "seen", "place", "turns", "best")]),
         "documents": spark.createDataFrame(docs, DOCUMENTS).selectExpr("*", *[f"'clash' AS `{c}`" for c in CLASHES]),
         "embeddings": spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").selectExpr("*", *[f"'clash' AS `{c}`" for c in CLASHES]),
         "pages": spark.createDataFrame(pages, "page_id bigint, url string, html string").selectExpr("*", "'clash' AS host", "'clash' AS rule", "'clash' AS trust"),
