@@ -157,22 +157,24 @@ def spans_of(covered: np.ndarray, least: int) -> list[tuple[int, int]]:
 def met(rows: DataFrame) -> DataFrame:
     """``rows`` (key, ref, _i, _r, ...) with first, the smallest _i of the key's reference rows, and last, its greatest _i of all.
 
-    ``key`` is a mixed hash. Rows are counted by 65,536 runs of it; runs with more than HOT of all
-    rows, of which there are fewer than 1 / HOT, are aggregated before they are
-    shuffled and their rows are joined salted. The others meet in one shuffle, in a
-    window that spills.
+    ``key`` is a mixed hash. Rows meet in one shuffle, in a window that spills. Keys
+    with more than HOT of all rows, of which there are fewer than 1 / HOT, are
+    aggregated before that: their rows know what they need from a broadcast and are
+    dealt over the window's tasks. They are looked for where the 65,536 runs of
+    hashes have as many rows.
     """
-    run = F.shiftrightunsigned("key", 48).cast("int")
-    often = rows.groupBy(run.alias("b")).count().where(F.col("count") > max(rows.count() * HOT, 1000))
-    hot = [r["b"] for r in often.collect()]  # fewer than 1 / HOT
+    run, many = F.shiftrightunsigned("key", 48).cast("int"), F.lit(max(rows.count() * HOT, 1000))
+    runs = [r["b"] for r in rows.groupBy(run.alias("b")).count().where(F.col("count") > many).collect()]  # fewer than 1 / HOT
     first, last = F.min(F.when(F.col("ref"), F.col("_i"))), F.max("_i")
-    along = Window.partitionBy("key")
-    out = rows.where(~run.isin(hot)).withColumns({"first": first.over(along), "last": last.over(along)})
-    if not hot:
-        return out
-    many = rows.where(run.isin(hot))
-    facts = many.groupBy("key").agg(first.alias("first"), last.alias("last"), F.count("*").alias("c"))
-    return out.unionByName(join_hot(many, facts.drop("c"), ["key"], F.xxhash64("_i", "_r"), facts.select("key", "c")))
+    if not runs:
+        along = Window.partitionBy("key")
+        return rows.withColumns({"first": first.over(along), "last": last.over(along)})
+    hot = rows.where(run.isin(runs)).groupBy("key").agg(first.alias("_first"), last.alias("_last"), F.count("*").alias("c")).where(F.col("c") > many)
+    rows = rows.join(F.broadcast(hot.drop("c")), "key", "left")
+    along = Window.partitionBy("key", F.when(F.col("_last").isNotNull(), F.xxhash64("_i", "_r")))
+    known = F.col("_last").isNotNull()
+    facts = {"first": F.when(known, F.col("_first")).otherwise(first.over(along)), "last": F.coalesce("_last", last.over(along))}
+    return rows.withColumns(facts).drop("_first", "_last")
 
 
 SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
