@@ -51,3 +51,36 @@ def test_nothing_on_either_side(spark):
 def test_top_one(spark):
     d = spark.createDataFrame([(1, None, "a"), (1, 3, "b"), (1, 3, "c"), (2, None, "d")], "g int, n int, x string")
     assert {r.x for r in top_one(d, ["g"], [F.desc_nulls_last("n"), F.col("x")]).collect()} == {"b", "d"}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hot_keys_are_split_and_nothing_else_changes(spark, seed, monkeypatch):
+    """Half of all rows under one key: the same rows come out, and the hot key's largest span has a bounded share."""
+    from tidemark.operators import asof
+
+    left, right, l, r = frames(spark, seed)
+    hot = spark.range(3000).select((F.col("id") + 1000).cast("int").alias("id"), F.lit(2).alias("k"), F.date_add(F.lit(D), (F.col("id") % 997).cast("int")).alias("at"))
+    seen = spark.range(2000).select(F.lit(2).alias("k"), F.date_add(F.lit(D), F.pmod(F.col("id") * 7, F.lit(991)).cast("int")).alias("t"), (F.col("id") % 5).cast("int").alias("v")).dropDuplicates(["k", "t"])
+    l, r = l.unionAll(hot), r.where("k <> 2 or k is null").unionAll(seen)
+    plain = [f(l, r) for f in (lambda l, r: asof_backward(l, r, "k", "at", "t", {"hit": "t", "hv": "v"}), lambda l, r: peak_to_date(l, r, "k", "at", "t", "v", {"hit": "t", "hv": "v"}))]
+    monkeypatch.setattr(asof, "FLOOR", 50)
+    cuts = asof.hot_cuts(l.select("k", "at"), r, "k", "t").collect()
+    assert 2 in {c._tm_key for c in cuts}
+    split = [asof_backward(l, r, "k", "at", "t", {"hit": "t", "hv": "v"}, like=l.select("k", "at")), peak_to_date(l, r, "k", "at", "t", "v", {"hit": "t", "hv": "v"}, like=l.select("k", "at"))]
+    for a, b in zip(plain, split, strict=True):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    r = r.where("v is not null")
+    fused = asof.latest_and_peak(l, r, "k", "at", "t", "v", {"a": "t", "b": "v"}, {"c": "t", "d": "v"}, like=l.select("k", "at"))
+    apart = peak_to_date(asof_backward(l, r, "k", "at", "t", {"a": "t", "b": "v"}), r, "k", "at", "t", "v", {"c": "t", "d": "v"})
+    assert sorted(map(str, fused.collect())) == sorted(map(str, apart.collect()))
+    both = l.select(F.col("k"), F.col("at").alias("t")).unionAll(r.select("k", "t")).where("k = 2")
+    own = next(c._tm_cuts for c in cuts if c._tm_key == 2)
+    span = F.size(F.filter(F.lit(own), lambda c: c < asof.micros(F.col("t"))))
+    assert both.groupBy(span.alias("s")).count().agg(F.max("count")).first()[0] <= both.count() / 16
+
+
+def test_no_hot_key_is_one_pass(spark):
+    from tidemark.operators import asof
+
+    _, _, l, r = frames(spark, 1)
+    assert asof.hot_cuts(l.select("k", "at"), r, "k", "t") is None

@@ -55,3 +55,30 @@ def test_filters_are_checked():
     with pytest.raises(ValueError):
         checked({"season": 1900}, {"season": {2000}})
     assert [page_size(n) for n in (None, 1, 50, 9999)] == [600, 10, 50, 2000]
+
+
+def test_large_groups_give_the_same(spark, monkeypatch):
+    """Every group as if it were large: the same scores, ranks and benchmarks as by windows."""
+    from tidemark.plans import scoring
+
+    p = replace(PARAMS, minimum_peers=3)
+    kpi = Model(spark, SF).kpi()
+    keys = ["entity_key", "competition_key", "season_key"]
+    exact, near = [*keys, "position_group", "peers", "efficiency_rank", "efficiency_band"], ["score", "performance_z", "efficiency_pct", "log_value_z"]
+    want = value_efficiency(kpi, p)
+    bench = {tuple(r[c] for c in scoring.GROUP): r for r in peer_benchmark(want).collect()}
+    want = {tuple(r[k] for k in keys): r for r in want.collect()}
+    monkeypatch.setattr(scoring, "FLOOR", 0)
+    monkeypatch.setattr(scoring, "LARGE", 0)
+    got = value_efficiency(kpi, p)
+    rows = {tuple(r[k] for k in keys): r for r in got.collect()}
+    assert rows.keys() == want.keys() and len(rows) > 50
+    for k, r in rows.items():
+        assert [r[c] for c in exact] == [want[k][c] for c in exact]
+        assert np.allclose([r[c] for c in near], [want[k][c] for c in near], atol=1e-8)
+    again = peer_benchmark(got).collect()
+    assert len(again) == len(bench)
+    for r in again:
+        other = bench[tuple(r[c] for c in scoring.GROUP)].asDict()
+        for c, v in r.asDict().items():
+            assert v == other[c] or (isinstance(v, float) and np.isclose(v, other[c], atol=1e-6)), c

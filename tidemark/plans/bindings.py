@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import table
+from ..sources.files import stored, table
 from . import outcomes, scoring, season
 from .params import Params
 
@@ -20,6 +21,7 @@ class Model:
     """Lazily built frames over the tables in one folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, params: Params = PARAMS):
+        self.spark, self.sf_dir = spark, sf_dir
         self.t, self.p, self._made = partial(table, spark, sf_dir), params, {}
 
     def _once(self, name: str, make) -> DataFrame:
@@ -27,6 +29,24 @@ class Model:
             self._made[name] = make()
         return self._made[name]
 
+    def copy(self) -> Model:
+        """The same frames; what is replaced in the copy stays in this one."""
+        out = Model(self.spark, self.sf_dir, self.p)
+        out.t, out._made = self.t, dict(self._made)
+        return out
+
+    def of_seasons(self, seasons: list[int], read: Callable[[str], DataFrame]) -> Model:
+        """The model of these seasons alone; ``read`` gives their rows of a table that is written already."""
+        out = self.copy()
+        out._made["observations"] = self.observations().where(F.col("season_key").isin(seasons))
+        written = [n for n in ("stints", "seasons", "kpi", "scores") if n in out._made]
+        out._made |= {n: read(n) for n in written}
+        # A written stint has the sums that it was made from.
+        out._made.pop("stint_sums", None)
+        if "stints" in written:
+            out._made["stint_sums"] = out._made["stints"]
+        return out
+
     def entities(self) -> DataFrame:
         def make():
             nation, region = self.t("nation"), self.t("region")
@@ -63,17 +83,19 @@ class Model:
 
         return self._once("valuations", make)
 
-    def stints(self) -> DataFrame:
-        return self._once("stints", lambda: season.stints(self.observations(), self.valuations(), self.entities()))
+    def stint_sums(self) -> DataFrame:
+        """Written once: stints, season ends and seasons read these rows, and the observations are read for nothing else."""
+        return self._once("stint_sums", lambda: stored(season.stint_sums(self.observations())))
 
-    def ends(self) -> DataFrame:
-        return self._once("ends", lambda: self.observations().groupBy("competition_key", "season_key").agg(F.max("appearance_date").alias("season_end_date")))
+    def stints(self) -> DataFrame:
+        like = self.t("orders").select("o_custkey", F.col("o_orderdate").cast("date"))
+        return self._once("stints", lambda: season.stints(self.stint_sums(), self.valuations(), self.entities(), like))
 
     def seasons(self) -> DataFrame:
-        return self._once("seasons", lambda: season.seasons(self.stints(), self.ends(), self.valuations(), self.entities()))
+        return self._once("seasons", lambda: season.seasons(self.stint_sums(), self.valuations(), self.entities()))
 
     def kpi(self) -> DataFrame:
-        return self._once("kpi", lambda: season.indicators(self.seasons(), self.valuations(), self.p))
+        return self._once("kpi", lambda: season.indicators(self.seasons(), self.p))
 
     def development(self) -> DataFrame:
         return self._once("development", lambda: season.development(self.kpi()))
@@ -99,7 +121,7 @@ class Model:
         return self._once("transfers", lambda: outcomes.transfers(self.raw_transfers(), self.valuations(), self.cutoff()))
 
     def outcomes(self) -> DataFrame:
-        return self._once("outcomes", lambda: outcomes.outcomes(self.transfers(), self.valuations(), self.entities(), self.snapshot(), self.p))
+        return self._once("outcomes", lambda: outcomes.outcomes(self.transfers(), self.valuations(), self.entities(), self.snapshot(), self.p, self.raw_transfers().select("entity_key", "transfer_date")))
 
 
 def ratio_sql(num: str, den: str, digits: int) -> str:

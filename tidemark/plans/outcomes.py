@@ -13,7 +13,7 @@ from .params import Params
 def transfers(raw: DataFrame, valuations: DataFrame, cutoff) -> DataFrame:
     """``raw`` (transfer_key, entity_key, transfer_date, fee_text, other columns) with fee, status and the value known at the date."""
     d = raw.withColumn("fee", to_amount(F.col("fee_text"), SIGNED)).withColumn("fee_status", fee_status(F.col("fee_text")))
-    d = asof_backward(d, valuations, "entity_key", "transfer_date", "valuation_date", {"matched_date": "valuation_date", "value_at_transfer": "market_value"})
+    d = asof_backward(d, valuations, "entity_key", "transfer_date", "valuation_date", {"matched_date": "valuation_date", "value_at_transfer": "market_value"}, like=raw.select("entity_key", "transfer_date"))
     lag = F.datediff("transfer_date", "matched_date")
     priced = (F.col("fee_status") == "numeric_fee") & (F.col("value_at_transfer") > 0)
     d = d.withColumns({"lag_days": lag, "match_status": lag_status(lag, same_day=True), "fee_vs_value": F.when(priced, F.col("fee") - F.col("value_at_transfer"))})
@@ -28,14 +28,15 @@ def club_match(after: Column, to: Column) -> Column:
     return F.when(unknown, "club_comparison_unavailable").when(after == to, "matches_destination_club").otherwise("different_club_at_post_valuation")
 
 
-def outcomes(transfer: DataFrame, valuations: DataFrame, entities: DataFrame, snapshot, p: Params) -> DataFrame:
+def outcomes(transfer: DataFrame, valuations: DataFrame, entities: DataFrame, snapshot, p: Params, like: DataFrame | None = None) -> DataFrame:
     """One row for each historical transfer and horizon: the latest value after the transfer and up to the target date.
 
     ``snapshot`` is the last date of the valuations; a horizon that ends later isn't matured.
+    ``like`` (an entity and a date) is read to find entities with very many transfers.
     """
     d = transfer.where("is_historical").withColumn("horizon_months", F.explode(F.lit(list(p.horizons))))
     d = d.withColumn("target_date", F.add_months("transfer_date", F.col("horizon_months")))
-    d = asof_backward(d, valuations, "entity_key", "target_date", "valuation_date", {"post_date": "valuation_date", "post_value": "market_value"}, after="transfer_date")
+    d = asof_backward(d, valuations, "entity_key", "target_date", "valuation_date", {"post_date": "valuation_date", "post_value": "market_value"}, after="transfer_date", like=like)
     lag = F.datediff("target_date", "post_date")
     matured = F.col("target_date") <= snapshot
     base = (F.col("value_at_transfer") > 0) & F.col("lag_days").between(0, p.maximum_valuation_lag_days)

@@ -53,7 +53,7 @@ register("value_development", lambda m: m.development().select(DEV), sql("dev",
 register("value_by_age", lambda m: six(season.value_by_age(m.kpi()), "p25_value", "median_value", "p75_value"), sql("kpi", "SELECT competition_key, season_key, position_group, age_band, count(*) AS entities, sum(value)::BIGINT AS total_value, round(quantile_cont(value, 0.25), 6) AS p25_value, round(quantile_cont(value, 0.5), 6) AS median_value, round(quantile_cont(value, 0.75), 6) AS p75_value FROM kpi WHERE is_eligible GROUP BY ALL"))
 register("value_efficiency", efficiency, EFF_SQL)
 register("peer_benchmark", lambda m: scoring.peer_benchmark(m.scores()).drop("top_10_value").select("*"), sql("eff", """SELECT competition_key, season_key, position_group, count(*) AS entities, sum(value)::BIGINT AS total_value,
-    quantile_cont(value, 0.25) AS p25_value, quantile_cont(value, 0.5) AS p50_value, quantile_cont(value, 0.75) AS p75_value, round(avg(goals_per_90), 6) AS average_goals_per_90, quantile_cont(goal_contributions_per_90, 0.5) AS median_contributions_per_90,
+    quantile_cont(value, 0.25) AS p25_value, quantile_cont(value, 0.5) AS p50_value, quantile_cont(value, 0.75) AS p75_value, ((2 * sum(round(goals_per_90 * 10000)::BIGINT) * 100 + count(*)) // (2 * count(*)))::DOUBLE / 1000000 AS average_goals_per_90, quantile_cont(goal_contributions_per_90, 0.5) AS median_contributions_per_90,
     CASE WHEN min(p) < max(p) AND min(v) < max(v) THEN round((count(*) * sum(p * v) - sum(p) * sum(v)) / sqrt((count(*) * sum(p * p) - sum(p) * sum(p)) * (count(*) * sum(v * v) - sum(v) * sum(v))), 6) END AS spearman,
     min(value_date) AS earliest_value_date, max(value_date) AS latest_value_date, ((2 * sum(value) FILTER (t <= 10) * 1000000 + sum(value)) // (2 * sum(value)))::DOUBLE / 10000 AS top_10_pct
     FROM (SELECT *, row_number() OVER (g ORDER BY value DESC, entity_key) AS t, (rank() OVER (g ORDER BY round(performance_z, 6)))::DOUBLE AS p, (rank() OVER (g ORDER BY value))::DOUBLE AS v FROM eff WINDOW g AS (PARTITION BY competition_key, season_key, position_group)) GROUP BY ALL"""))

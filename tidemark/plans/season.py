@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import age, age_band, lag_status, ratio
-from ..operators.asof import asof_backward, peak_to_date, top_one
+from ..operators.asof import asof_backward, latest_and_peak, top_one
 from .params import Params
 
 RATES = {
@@ -28,10 +28,11 @@ def rates(df: DataFrame) -> DataFrame:
     return df.withColumns({name: ratio(*r) for name, r in RATES.items()})
 
 
-def stints(observations: DataFrame, valuations: DataFrame, entities: DataFrame) -> DataFrame:
-    """One row per entity, club, competition and season, with the value known at its last day.
+def stint_sums(observations: DataFrame) -> DataFrame:
+    """One row per entity, club, competition and season: sums, first and last day, and the marks of latest and primary club.
 
-    Rows whose validity is unknown count as neither valid nor rejected.
+    Rows whose validity is unknown count as neither valid nor rejected. All that
+    follows reads these rows and not the observations.
     """
     keys = ["entity_key", "club_key", "competition_key", "season_key"]
     ok = F.col("is_valid")
@@ -43,33 +44,49 @@ def stints(observations: DataFrame, valuations: DataFrame, entities: DataFrame)
     )
     season = Window.partitionBy("entity_key", "competition_key", "season_key")
     latest = season.orderBy(F.desc("last_date"), F.desc_nulls_last("minutes_played"), "club_key")
-    d = d.withColumn("club_count", F.count("*").over(season)).withColumn("is_latest_stint", F.row_number().over(latest) == 1)
-    d = asof_backward(rates(d), valuations, "entity_key", "last_date", "valuation_date", {"stint_value_date": "valuation_date", "stint_value": "market_value"})
+    primary = season.orderBy(F.desc_nulls_last("minutes_played"), F.desc("last_date"), "club_key")
+    return d.withColumns({"club_count": F.count("*").over(season), "is_latest_stint": F.row_number().over(latest) == 1, "is_primary_club": F.row_number().over(primary) == 1})
+
+
+def stints(sums: DataFrame, valuations: DataFrame, entities: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """The rows of ``stint_sums`` with rates, the value known at the last day and the age then.
+
+    ``like`` (an entity and a date) is read to find entities with very many rows.
+    """
+    d = asof_backward(rates(sums), valuations, "entity_key", "last_date", "valuation_date", {"stint_value_date": "valuation_date", "stint_value": "market_value"}, like=like)
     lag = F.datediff("last_date", "stint_value_date")
     d = d.withColumn("stint_value_lag_days", lag).withColumn("stint_value_status", lag_status(lag))
     who = entities.select("entity_key", "date_of_birth", "is_outfield", "position_group")
     return d.join(who, "entity_key").withColumn("age_at_stint_end", age(F.col("last_date"), F.col("date_of_birth"))).drop("date_of_birth")
 
 
-def seasons(stint: DataFrame, ends: DataFrame, valuations: DataFrame, entities: DataFrame) -> DataFrame:
-    """One row per entity, competition and season. ``ends``: competition_key, season_key, season_end_date."""
+def season_ends(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("competition_key", "season_key").agg(F.max("last_date").alias("season_end_date"))
+
+
+def seasons(sums: DataFrame, valuations: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row per entity, competition and season of ``stint_sums``, with the value known at the season's end and the highest up to then.
+
+    Primary and latest club are marked in the stints, so all is one hash aggregation.
+    """
     keys = ["entity_key", "competition_key", "season_key"]
-    sums = ("appearance_rows", "valid_appearances", "starts", "minutes_played", "goals", "assists", "yellow_cards", "red_cards")
-    # Primary and latest club in the same pass: the greatest struct is the first in either order.
-    primary = F.max_by("club_key", F.struct("minutes_played", F.unix_date("last_date"), -F.col("club_key")))
-    latest = F.max_by("club_key", F.struct(F.unix_date("last_date"), "minutes_played", -F.col("club_key")))
-    d = stint.groupBy(*keys).agg(F.count("*").alias("club_count"), primary.alias("primary_club_key"), latest.alias("season_end_club_key"), *[F.sum(c).alias(c) for c in sums])
-    d = rates(d).withColumn("start_rate", ratio("starts", "valid_appearances", 6)).join(ends, ["competition_key", "season_key"])
-    d = asof_backward(d, valuations, "entity_key", "season_end_date", "valuation_date", {"value_date": "valuation_date", "value": "market_value"})
+    added = ("appearance_rows", "valid_appearances", "starts", "minutes_played", "goals", "assists", "yellow_cards", "red_cards")
+    chosen = {"primary_club_key": "is_primary_club", "season_end_club_key": "is_latest_stint"}
+    clubs = [F.max(F.when(F.col(mark), F.col("club_key"))).alias(n) for n, mark in chosen.items()]
+    d = sums.groupBy(*keys).agg(F.count("*").alias("club_count"), *clubs, *[F.sum(c).alias(c) for c in added])
+    d = rates(d).withColumn("start_rate", ratio("starts", "valid_appearances", 6)).join(season_ends(sums), ["competition_key", "season_key"])
+    value, peak = {"value_date": "valuation_date", "value": "market_value"}, {"peak_value": "market_value", "peak_value_date": "valuation_date"}
+    # An entity has a row for each of its seasons and a valuation a day at most: no key can be hot.
+    d = latest_and_peak(d, valuations, "entity_key", "season_end_date", "valuation_date", "market_value", value, peak)
     lag = F.datediff("season_end_date", "value_date")
     who = entities.select("entity_key", "date_of_birth", "is_outfield", "position_group")
     d = d.withColumn("value_lag_days", lag).withColumn("value_status", lag_status(lag)).join(who, "entity_key")
     return d.withColumn("age_at_season_end", age(F.col("season_end_date"), F.col("date_of_birth"))).drop("date_of_birth")
 
 
-def indicators(season: DataFrame, valuations: DataFrame, p: Params) -> DataFrame:
-    """Seasons with age band, peak value to date, eligibility for scoring and the reason if not eligible."""
-    d = peak_to_date(season, valuations, "entity_key", "season_end_date", "valuation_date", "market_value", {"peak_value": "market_value", "peak_value_date": "valuation_date"})
+def indicators(season: DataFrame, p: Params) -> DataFrame:
+    """Seasons with age band, eligibility for scoring and the reason if not eligible."""
+    d = season
     rated = F.col("goals_per_90").isNotNull() & F.col("assists_per_90").isNotNull() & F.col("cards_per_90").isNotNull()
     fine = (
         F.col("is_outfield") & (F.col("minutes_played") >= p.minimum_minutes) & (F.col("value") > 0)
