@@ -211,14 +211,19 @@ def bucket_of(column: str | Column, cuts: list[int], below: bool = False) -> Col
     return F.when(col.isNull(), 0).otherwise(found)
 
 
+#: Rows that one task ranks, about.
+RUN = 1_000_000
+
+
 def with_rank(df: DataFrame, key: str, ties: list[str], out: str) -> DataFrame:
     """Adds the 0-based global rank by (key, *ties), without a task that sees all rows.
 
     ``key`` is a non-null long. Rows are cut into runs by sketched quantiles of
     the key, ranked within their run, and raised by the sizes of the runs
-    before it. Rows alike in key and ties get any of their ranks.
+    before it; there are as many runs as keep them at about RUN rows. Rows alike in key
+    and ties get any of their ranks.
     """
-    n = max(2, min(4096, parts(df.sparkSession) * 4))
+    n = max(2, parts(df.sparkSession) * 4, -(-df.count() // RUN))
     cuts = splits(df, key, n)
     df = df.withColumn("_tm_run", bucket_of(key, cuts))
     counts = {r["_tm_run"]: r["n"] for r in df.groupBy("_tm_run").agg(F.count("*").alias("n")).collect()}

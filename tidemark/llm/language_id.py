@@ -256,7 +256,7 @@ def train(labelled: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Iden
 
     Rows without text or lang are left out, and texts of a language that are alike
     count once, in the rate of the choice too. The hash keeps the choice alike in
-    every run. Words are counted on the executors; the driver gets the distinct
+    every run. A part of the texts is kept apart for calibration, but never the only one of a language. Words are counted on the executors; the driver gets the distinct
     words of the sample. None if there is no labelled row.
     """
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
@@ -271,7 +271,10 @@ def train(labelled: DataFrame, order: int = ORDER, sample: int = SAMPLE) -> Iden
         limit = F.when(F.col("lang") == lang, sample / counts[lang]).otherwise(limit)
     # Copies of a drawn text go on the map side.
     chosen = rows.withColumn("u", share).where(F.col("u") < limit).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    apart = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1000)) < 1000 * APART
+    # One text of each language is always fitted, so that none is lost to the calibration.
+    first = chosen.groupBy("lang").agg(F.min("h").alias("first"))
+    chosen = chosen.join(F.broadcast(first), "lang")  # a row for each language
+    apart = (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1000)) < 1000 * APART) & (F.col("h") != F.col("first"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()

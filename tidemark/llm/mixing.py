@@ -18,11 +18,8 @@ from .common import WORD, Cut, parts, table
 WEIGHTS = (5, 2, 1)
 #: Most times that a source's words are taken.
 PASSES = 3
-#: Words in a block, at most; small corpora have smaller ones, so that each source has many.
-BLOCK = 4096
-SLOTS_A_SOURCE = 64
-#: Blocks in the whole schedule, about, at most.
-MOST_SLOTS = 1 << 22
+#: Words in a block, whatever the size of the corpus.
+BLOCK = 1024
 GOLDEN = 0.6180339887498949
 #: Documents in a run of the shuffled order that one task sums up, about.
 RUN = 20_000
@@ -75,32 +72,22 @@ def targets(sizes: DataFrame, cut: Cut, weights: tuple[int, ...] = WEIGHTS, pass
     return cut(d.withColumn("goal", F.least(F.floor(F.col("target") + 0.5), limit)).select("source", "source_size", "target", "goal", "_tm_part"))
 
 
-def totals(goals: DataFrame) -> tuple[int, int, int]:
-    """(sum, number, least) of the goals above 0."""
-    return tuple(goals.where("goal > 0").agg(F.coalesce(F.sum("goal"), F.lit(0)), F.count("*"), F.coalesce(F.min("goal"), F.lit(1))).first())
-
-
-def block_for(total: int, least: int) -> int:
-    """Words in a block of the schedule: at most BLOCK, fewer if the smallest source would have less than SLOTS_A_SOURCE, at most MOST_SLOTS blocks in all."""
-    return max(1, min(BLOCK, least // SLOTS_A_SOURCE), -(-total // MOST_SLOTS))
-
-
 def schedule(goals: DataFrame, block: int = BLOCK, cut: Cut | None = None) -> tuple[DataFrame, DataFrame]:
-    """(slots: source, r, k; counts: source, slots): the source of each slot k, and which of its blocks of ``block`` words it takes.
+    """(slots: source, r, k; counts: source, slots): the slot k that each block r of ``block`` words of a source takes.
 
     A point finds its stretch by an equality join: the unit interval is cut into
-    cells, a stretch lies in the cells that it meets. The sequence runs somewhat
-    longer than the mix, so that each source meets as many slots as its goal has
-    blocks; a source leaves the slots beyond them empty. Blocks that no point met,
-    as of a source smaller than a block, come behind the others.
+    cells, a stretch lies in the cells that it meets. There are as many points as
+    blocks, so a source meets as many as it has blocks, but for a few; it leaves
+    slots beyond its blocks empty. The k-th point is slot 2k. A block that no
+    point met, as of a source smaller than a block, takes the odd slot at its own
+    place, where the middle of the block lies among the source's words.
     """
     spark = goals.sparkSession
     goals = goals.where("goal > 0")
     if "_tm_part" not in goals.columns:
         goals = in_ranges(goals, cut or Cut(spark, "schedule"))
-    total, n, least = totals(goals)
+    total, n = goals.agg(F.coalesce(F.sum("goal"), F.lit(0)), F.count("*")).first()
     length = -(-total // block)
-    length += min(length, -(-4 * total // least))
     cells = max(256, 4 * n)
     own = goals.withColumn("end", running(goals, F.col("goal"))).select("source", ((F.col("end") - F.col("goal")) / max(total, 1)).alias("lo"), (F.col("end") / max(total, 1)).alias("hi"))
     own = own.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))))
@@ -114,16 +101,17 @@ def schedule(goals: DataFrame, block: int = BLOCK, cut: Cut | None = None) -> tu
     slots = slots.withColumn("inside", inside).join(per, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
     slots = slots.select("source", (F.col("before") + F.col("inside")).alias("r"), "k")
     needed = goals.select(F.col("source").alias("s"), F.ceil(F.col("goal") / block).alias("need"))
-    slots = slots.join(needed, F.col("source").eqNullSafe(F.col("s"))).where("r < need").select("source", "r", "k")
+    slots = slots.join(needed, F.col("source").eqNullSafe(F.col("s"))).where("r < need").select("source", "r", (2 * F.col("k")).alias("k"))
     met = slots.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("slots"))
     counts = goals.join(met, F.col("source").eqNullSafe(F.col("s")), "left").select("source", F.coalesce("slots", F.lit(0)).alias("slots"), F.ceil(F.col("goal") / block).alias("need"))
-    late = counts.where("slots < need").select("source", "slots", F.explode(F.sequence("slots", F.col("need") - 1)).alias("r"))
-    late = late.select("source", "r", (length + F.col("r") - F.col("slots")).alias("k"))
+    late = counts.where("slots < need").select("source", "need", F.explode(F.sequence("slots", F.col("need") - 1)).alias("r"))
+    at = F.floor((2 * F.col("r") + 1) * F.lit(length) / (2 * F.col("need")))
+    late = late.select("source", "r", (2 * at + 1).alias("k"))
     return slots.unionByName(late), counts.select("source", F.col("need").alias("slots"))
 
 
-def streamed(docs: DataFrame, cut: Cut, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block: int | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """(``docs`` with source_size, target, passes and _tm_from; the slots; the words in a block).
+def streamed(docs: DataFrame, cut: Cut, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(``docs`` with source_size, target, passes and _tm_from; the slots).
 
     ``docs`` has doc_id, source, size and other columns with no leading _tm_.
     passes: the words taken in each pass over the source; _tm_from: how many words
@@ -137,8 +125,6 @@ def streamed(docs: DataFrame, cut: Cut, weights: tuple[int, ...] = WEIGHTS, pass
     per = cut(per.withColumn("_tm_before", F.sum("_tm_n").over(along) - F.col("_tm_n")))
     sizes = per.groupBy(F.col("_tm_s").alias("source")).agg(F.sum("_tm_n").alias("source_size"))
     goals = targets(sizes, cut, weights, passes)
-    total, _, least = totals(goals)
-    block = block or block_for(total, least)
     slots = cut(schedule(goals, block)[0])
     per = per.join(goals.withColumnRenamed("source", "_tm_p").drop("_tm_part"), F.col("_tm_s").eqNullSafe(F.col("_tm_p"))).drop("_tm_n", "_tm_p")
 
@@ -149,7 +135,7 @@ def streamed(docs: DataFrame, cut: Cut, weights: tuple[int, ...] = WEIGHTS, pass
     lo = lambda p: F.col("source_size") * p + F.col("_tm_from")
     taken = F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), lambda p: F.greatest(F.least(lo(p) + F.col("size"), F.col("goal")) - lo(p), F.lit(0).cast("bigint")))
     docs = docs.withColumn("passes", taken)
-    return docs.drop("goal", *[c for c in docs.columns if c.startswith("_tm_") and c != "_tm_from"]), slots, block
+    return docs.drop("goal", *[c for c in docs.columns if c.startswith("_tm_") and c != "_tm_from"]), slots
 
 
 def in_slots(rows: DataFrame, slots: DataFrame, block: int, start: Column, slot: str, place: str) -> DataFrame:
@@ -160,7 +146,7 @@ def in_slots(rows: DataFrame, slots: DataFrame, block: int, start: Column, slot:
     return out.withColumn(place, F.when(F.col(slot).isNotNull(), F.col("_tm_at") - F.col("_tm_b") * block)).drop("_tm_s", "_tm_r", "_tm_at", "_tm_b")
 
 
-def mix(docs: DataFrame, cut: Cut, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, cut: Cut, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block: int = BLOCK) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, source, size, other columns with no leading _tm_): what the mix takes of it.
 
     Adds source_size, target, passes (array of the words taken in each pass over
@@ -170,9 +156,9 @@ def mix(docs: DataFrame, cut: Cut, weights: tuple[int, ...] = WEIGHTS, passes: i
     taken from the start of a document; at most one document of a source is taken
     in part in a pass. The order inside a source follows the MD5 of doc_id, then
     size; rows alike in both are interchangeable. Nulls: a null source is a source;
-    a null doc_id sorts first. A document of size 0 is never taken.
+    a null doc_id sorts first. A document of size 0 is never taken. An empty table gives no rows.
     """
-    out, slots, block = streamed(docs, cut, weights, passes, block)
+    out, slots = streamed(docs, cut, weights, passes, block)
     out = out.withColumn("taken", F.aggregate("passes", F.lit(0).cast("bigint"), lambda a, x: a + x))
     return in_slots(out, slots, block, F.when(F.col("taken") > 0, F.col("_tm_from")), "first_slot", "place").drop("_tm_from")
 
@@ -184,7 +170,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, cut).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "place")
 
 
-def mixed_documents(docs: DataFrame, cut: Cut, **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, cut: Cut, block: int = BLOCK, **how) -> DataFrame:
     """The mix in its order, in the columns of ``docs``: a row each time that a document is taken.
 
     Rows lie in the order of the slot and the place of their first word; a
@@ -198,7 +184,7 @@ def mixed_documents(docs: DataFrame, cut: Cut, **how) -> DataFrame:
     whole = docs.select(F.struct(*docs.columns).alias("_tm_doc"), *key).withColumn("_tm_no", number)
     facts = docs.select("doc_id", "source", words().alias("size"), *key).withColumn("_tm_no", number)
     facts = cut(facts.select("doc_id", "source", "size", F.col("_tm_id").alias("id"), F.col("_tm_key").alias("key"), F.col("_tm_no").alias("no")))
-    rows, slots, block = streamed(facts, cut, **how)
+    rows, slots = streamed(facts, cut, block=block, **how)
     rows = rows.select("id", "key", "no", "source", "size", "source_size", "_tm_from", F.posexplode("passes").alias("p", "n")).where("n > 0")
     rows = cut(in_slots(rows, slots, block, F.col("_tm_from") + F.col("p") * F.col("source_size"), "slot", "place"))
     last = rows.agg(F.coalesce(F.max("slot"), F.lit(0))).first()[0] + 1
@@ -226,14 +212,13 @@ f AS (SELECT *, (total - given) * w > lim * open AS full_up FROM c),
 t AS (SELECT source, source_size, CASE WHEN full_up THEN lim::DOUBLE ELSE
     (total - coalesce(sum(CASE WHEN full_up THEN lim END) OVER (), 0))::DOUBLE / sum(CASE WHEN NOT full_up THEN w END) OVER () * w END AS target, lim FROM f),
 g AS (SELECT *, least(floor(target + 0.5)::BIGINT, lim)::BIGINT AS goal FROM t),
-y AS (SELECT sum(goal)::BIGINT AS total, min(goal) AS least, greatest(1, least(4096, min(goal) // 64), (sum(goal)::BIGINT + 4194303) // 4194304) AS block FROM g WHERE goal > 0),
-n AS (SELECT *, (total + block - 1) // block + least((total + block - 1) // block, (4 * total + least - 1) // least) AS length FROM y),
+n AS (SELECT coalesce(sum(goal), 0)::BIGINT AS total, 1024 AS block, (coalesce(sum(goal), 0)::BIGINT + 1023) // 1024 AS length FROM g WHERE goal > 0),
 own AS (SELECT source, (goal + block - 1) // block AS need, (ends - goal) / total AS lo, ends / total AS hi FROM
     (SELECT *, sum(goal) OVER (ORDER BY source IS NULL, source)::BIGINT AS ends FROM g WHERE goal > 0) CROSS JOIN n),
 met AS (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS r, need FROM
     (SELECT k, (k * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS u FROM (SELECT unnest(range(length)) AS k FROM n)) JOIN own ON lo <= u AND u < hi QUALIFY r < need),
-late AS (SELECT own.source, unnest(range(coalesce(x.c, 0), need)) AS r, coalesce(x.c, 0) AS c FROM own LEFT JOIN (SELECT source, count(*) AS c FROM met GROUP BY source) x ON own.source IS NOT DISTINCT FROM x.source),
-slots AS (SELECT source, r, k FROM met UNION ALL SELECT source, r, length + r - c FROM late CROSS JOIN n),
+late AS (SELECT own.source, need, unnest(range(coalesce(x.c, 0), need)) AS r FROM own LEFT JOIN (SELECT source, count(*) AS c FROM met GROUP BY source) x ON own.source IS NOT DISTINCT FROM x.source),
+slots AS (SELECT source, r, 2 * k AS k FROM met UNION ALL SELECT source, r, 2 * floor((2 * r + 1) * length / (2 * need))::BIGINT + 1 FROM late CROSS JOIN n),
 o AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target, g.goal,
     (sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size)::BIGINT AS a
     FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),

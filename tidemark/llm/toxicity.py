@@ -436,11 +436,13 @@ def featured(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, cut: Cut, sample: int = SAMPLE) -> Judge:
     """Learns from about ``sample`` labelled documents of each class, chosen by a hash of doc_id.
 
-    ``labels`` has doc_id and toxic (0 or 1; others are left out). The chosen ids
-    are as many as ``sample`` says, so they are broadcast; texts that are alike
-    count once.
+    ``labels`` has doc_id and toxic (0 or 1; others, and null ids, are left out). A
+    document that is labelled several times counts once, as toxic if any label says so;
+    so the chosen ids are about as many as ``sample`` says, whatever the rows, and are
+    broadcast. Texts that are alike count once.
     """
-    said = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
+    said = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
+    said = cut(said.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     per = {r["toxic"]: r["n"] for r in said.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)
     limit = F.when(F.col("toxic") == 1, sample / max(per.get(1, 0), 1)).otherwise(sample / max(per.get(0, 0), 1))

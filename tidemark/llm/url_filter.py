@@ -15,13 +15,13 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cut, table
+from .common import Cut, join_hot, table
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
 ROUNDS = 10
-#: Share of a host's own pages that must be blocked, if nothing else speaks for or against it.
+#: Share of the distrust that a host could get from which on it is blocked; of its own pages, if nothing else speaks for or against it.
 THRESHOLD = 0.5
 #: Suffixes under which anyone can have a host: their hosts have nothing to do with one another.
 SHARED = (
@@ -56,7 +56,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def host_edges(pages: DataFrame, shared: tuple[str, ...] = SHARED) -> DataFrame:
-    """src, dst, weight: pages of a host that link to another host, and a host's pages to its parent domain and back.
+    """src, dst, weight, link (1, of domain edges alone 0): pages of a host that link to another host, and a host's pages to its parent domain and back.
 
     ``pages`` has host and html; html may be null or empty. A domain of ``shared``
     is no parent: trust and distrust don't pass between those who share it.
@@ -64,44 +64,65 @@ def host_edges(pages: DataFrame, shared: tuple[str, ...] = SHARED) -> DataFrame:
     links = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), _lower))).alias("dst"))
     parent = F.regexp_extract("host", r"\A[^.]+\.([^.]+\.[^.].*)", 1)
     up = pages.select(F.col("host").alias("src"), parent.alias("dst")).where((F.col("dst") != "") & ~F.col("dst").isin(*shared))
-    edges = links.where("src <> dst and src <> ''").groupBy("src", "dst").agg(F.count("*").alias("weight"))
-    tree = up.groupBy("src", "dst").agg(F.count("*").alias("weight"))
-    back = tree.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    return edges.unionByName(tree).unionByName(back).groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
+    edges = links.where("src <> dst and src <> ''").groupBy("src", "dst").agg(F.count("*").alias("weight"), F.lit(1.0).alias("link"))
+    tree = up.groupBy("src", "dst").agg(F.count("*").alias("weight"), F.lit(0.0).alias("link"))
+    back = tree.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "link")
+    return edges.unionByName(tree).unionByName(back).groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight"), F.max("link").alias("link"))
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, cut: Cut, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust, harm after ``rounds`` rounds; ``seeds`` has host, trust and distrust in [0, 1].
+    """host, trust, distrust, all_trust, all_distrust after ``rounds`` rounds; ``seeds`` has host, trust and distrust in [0, 1].
 
     Trust is divided among the hosts that a host links to, distrust among those that
-    link to it. Harm comes against the links as distrust does, but by the share that a
-    link has of its own host's links, so it does not shrink with the number of linkers.
+    link to it: PageRank along the links and against them. all_trust and all_distrust are the same
+    with every host of the graph as a full seed: the most that a host could get where it stands. A host
+    that nothing links to and of which no rule says anything is no seed.
     Contributions are summed on the map side, so a host that many link to sends
-    one row from each task. The table is written every other round.
+    one row from each task. The flows of such a host are dealt over many tasks. The
+    table is written every other round.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    into = edges.groupBy("dst").agg(F.sum("weight").alias("into"))
-    shares = edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("weight") / F.col("out")).alias("t"), (F.col("weight") / F.col("into")).alias("d"))
-    along = shares.select(F.col("src").alias("host"), F.col("dst").alias("to"), "t", F.lit(0.0).alias("d"), F.lit(0.0).alias("h"))
-    against = shares.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("t"), "d", F.col("t").alias("h"))
-    flows = cut(along.unionByName(against).groupBy("host", "to").agg(*[F.sum(c).alias(c) for c in "tdh"]))
-    carried = {"trust": "t", "distrust": "d", "harm": "h"}
-    start = seeds.select("host", *[(F.col(c) * (1 - damping)).alias(c) for c in ("trust", "distrust")]).withColumn("harm", F.col("distrust"))
-    ranks = start
+    out = cut(edges.groupBy("src").agg(F.sum("weight").alias("out"), F.count("*").alias("c")))
+    into = cut(edges.groupBy("dst").agg(F.sum("weight").alias("into"), F.count("*").alias("c")))
+    shares = join_hot(join_hot(edges, out.drop("c"), ["src"], "dst", out), into.drop("c"), ["dst"], "src", into)
+    shares = shares.select("src", "dst", (F.col("weight") / F.col("out")).alias("t"), (F.col("weight") / F.col("into")).alias("d"))
+    along = shares.select(F.col("src").alias("host"), F.col("dst").alias("to"), "t", F.lit(0.0).alias("d"))
+    against = shares.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("t"), "d")
+    flows = cut(along.unionByName(against).groupBy("host", "to").agg(*[F.sum(c).alias(c) for c in "td"]))
+    busy = cut(flows.groupBy("host").agg(F.count("*").alias("c")))
+    carried = {"trust": "t", "distrust": "d", "all_trust": "t", "all_distrust": "d"}
+    one, none = F.lit(1.0), F.lit(0.0)
+    nodes = seeds.select("host", "trust", "distrust", F.when(F.col("trust") + F.col("distrust") > 0, one).otherwise(none).alias("full")).unionByName(edges.select(F.col("dst").alias("host"), none.alias("trust"), none.alias("distrust"), F.col("link").alias("full")))
+    nodes = nodes.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"), F.max("full").alias("full"))
+    part = [(F.col(c) * (1 - damping)).alias(n) for n, c in (("trust", "trust"), ("distrust", "distrust"), ("all_trust", "full"), ("all_distrust", "full"))]
+    start = cut(nodes.select("host", "full", *part))
+    ranks = start.drop("full")
     for k in range(rounds):
-        sent = ranks.join(flows, "host").select(F.col("to").alias("host"), *[(F.col(c) * F.col(x) * damping).alias(c) for c, x in carried.items()])
-        ranks = start.unionByName(sent).groupBy("host").agg(*[F.sum(c).alias(c) for c in carried])
+        sent = join_hot(flows, ranks, ["host"], "to", busy).select(F.col("to").alias("host"), *[(F.col(c) * F.col(x) * damping).alias(c) for c, x in carried.items()])
+        ranks = start.drop("full").unionByName(sent).groupBy("host").agg(*[F.sum(c).alias(c) for c in carried])
         if k % 2 and k < rounds - 1:
             ranks = cut(ranks)
-    return ranks
+    return ranks.join(start.select("host", "full"), "host")
+
+
+def shares_of(ranks: DataFrame, damping: float = DAMPING) -> DataFrame:
+    """``ranks`` (with ``full``: whether the host is a seed, and ``judged``: whether rules say anything of its own pages) with good and bad: trust and distrust as shares of the most that the host could get.
+
+    A host of which no rule says anything gives no evidence of itself, so its own seed counts
+    for neither side. Both shares are on one scale, from 0 to 1, and do not change with how many
+    link to the hosts around.
+    """
+    own = F.when(F.col("judged"), 0.0).otherwise(F.col("full") * (1 - damping))
+    part = lambda c: F.when(F.col(f"all_{c}") - own > 1e-12, F.col(c) / (F.col(f"all_{c}") - own)).otherwise(0.0)
+    return ranks.withColumns({"good": part("trust"), "bad": part("distrust")})
 
 
 def host_verdicts(pages: DataFrame, cut: Cut, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
     """host, trust, distrust, verdict for every host of ``pages`` (url, html) and every host that they link to.
 
     A host's seeds are the shares of its pages that a rule allows and blocks. It
-    is blocked if its harm is above its trust and at least what a share of
-    ``threshold`` gives by itself; otherwise, and with no evidence, allowed.
+    is blocked if its distrust is at least ``threshold`` of what it could be and at least
+    its trust's share; otherwise, and with no evidence, allowed. So what a host
+    links to weighs as much as who links to it.
     """
     host, path = host_and_path(F.col("url"))
     own = pages.select(host.alias("host"), path.alias("path"), "html")
@@ -109,10 +130,12 @@ def host_verdicts(pages: DataFrame, cut: Cut, rules=RULES, damping: float = DAMP
     per = own.select("host", said.alias("said")).groupBy("host").agg(
         F.count("*").alias("n"), F.count_if(F.col("said") == "allow").alias("a"), F.count_if(F.col("said") == "block").alias("b")
     )
-    seeds = cut(per.select("host", (F.col("a") / F.col("n")).alias("trust"), (F.col("b") / F.col("n")).alias("distrust")))
+    seeds = cut(per.select("host", (F.col("a") / F.col("n")).alias("trust"), (F.col("b") / F.col("n")).alias("distrust"), (F.col("a") + F.col("b") > 0).alias("judged")))
     ranks = propagate(seeds, cut(host_edges(own)), cut, damping, rounds)
-    bad = (F.col("harm") > F.col("trust")) & (F.col("harm") >= threshold * (1 - damping))
-    return ranks.select("host", "trust", "distrust", F.when(bad, "block").otherwise("allow").alias("verdict"))
+    ranks = shares_of(ranks.join(seeds.select("host", "judged"), "host", "left").withColumn("judged", F.coalesce("judged", F.lit(False))), damping)
+    # To nine decimals, so that sums in another order decide alike.
+    good, bad = F.round("good", 9), F.round("bad", 9)
+    return ranks.select("host", "trust", "distrust", F.when((bad >= good) & (bad >= threshold), "block").otherwise("allow").alias("verdict"))
 
 
 def judge(pages: DataFrame, cut: Cut, rules=RULES, **how) -> DataFrame:
@@ -144,24 +167,29 @@ def oracle() -> str:
     lower = lambda c: f"translate({c}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
     fits = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     case = lambda out: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{out(v, h + p)}'" for v, h, p in fits) + " END"
-    steps = [f"""r{k + 1} AS MATERIALIZED (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust, sum(harm) AS harm FROM (SELECT * FROM s UNION ALL
-        SELECT dst, r.trust * t * {DAMPING}, 0, 0 FROM r{k} r JOIN e ON r.host = e.src UNION ALL
-        SELECT src, 0, r.distrust * d * {DAMPING}, r.harm * t * {DAMPING} FROM r{k} r JOIN e ON r.host = e.dst) GROUP BY host)""" for k in range(ROUNDS)]
+    sums = ", ".join(f"sum({c}) AS {c}" for c in ("trust", "distrust", "all_trust", "all_distrust"))
+    steps = [f"""r{k + 1} AS MATERIALIZED (SELECT host, {sums} FROM (SELECT * FROM r0 UNION ALL
+        SELECT dst, r.trust * t * {DAMPING}, 0, r.all_trust * t * {DAMPING}, 0 FROM r{k} r JOIN e ON r.host = e.src UNION ALL
+        SELECT src, 0, r.distrust * d * {DAMPING}, 0, r.all_distrust * d * {DAMPING} FROM r{k} r JOIN e ON r.host = e.dst) GROUP BY host)""" for k in range(ROUNDS)]
+    part = lambda c: f"CASE WHEN all_{c} - own > 1e-12 THEN round({c} / (all_{c} - own), 9) ELSE 0 END"
     return f"""
 WITH u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS MATERIALIZED (SELECT *, {case(lambda v, n: n)} AS rule, {case(lambda v, n: v)} AS said FROM (
     SELECT page_id, html, {lower("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)),
 l AS (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, {quoted(LINK)}, 1), lambda x: {lower("x")}))) AS dst FROM p),
 up AS (SELECT host AS src, regexp_extract(host, '^[^.]+\\.([^.]+\\.[^.].*)', 1) AS dst FROM p),
-tree AS (SELECT src, dst, count(*) AS w FROM up WHERE dst <> '' AND dst NOT IN ({', '.join(map(quoted, SHARED))}) GROUP BY ALL),
-w AS (SELECT src, dst, sum(w)::DOUBLE AS w FROM (SELECT src, dst, count(*) AS w FROM l WHERE src <> dst AND src <> '' GROUP BY ALL UNION ALL SELECT * FROM tree UNION ALL SELECT dst, src, w FROM tree) GROUP BY ALL),
-e AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS t, w / sum(w) OVER (PARTITION BY dst) AS d FROM w),
-s AS MATERIALIZED (SELECT host, {1 - DAMPING} * a / n AS trust, {1 - DAMPING} * b / n AS distrust, {1 - DAMPING} * b / n AS harm FROM
+tree AS (SELECT src, dst, count(*) AS w, 0 AS link FROM up WHERE dst <> '' AND dst NOT IN ({', '.join(map(quoted, SHARED))}) GROUP BY ALL),
+w AS (SELECT src, dst, sum(w)::DOUBLE AS w, max(link) AS link FROM (SELECT src, dst, count(*) AS w, 1 AS link FROM l WHERE src <> dst AND src <> '' GROUP BY src, dst UNION ALL SELECT * FROM tree UNION ALL SELECT dst, src, w, link FROM tree) GROUP BY src, dst),
+e AS MATERIALIZED (SELECT src, dst, link, w / sum(w) OVER (PARTITION BY src) AS t, w / sum(w) OVER (PARTITION BY dst) AS d FROM w),
+s AS MATERIALIZED (SELECT host, a / n AS trust, b / n AS distrust, a + b > 0 AS judged FROM
     (SELECT host, count(*) AS n, count(*) FILTER (said = 'allow') AS a, count(*) FILTER (said = 'block') AS b FROM p GROUP BY 1)),
-r0 AS (SELECT * FROM s),
-{', '.join(steps)}
-SELECT page_id, p.host, path, rule, coalesce(said, CASE WHEN harm > trust AND harm >= {THRESHOLD * (1 - DAMPING)} THEN 'block' ELSE 'allow' END) AS verdict,
-    round(trust, 9) AS trust, round(distrust, 9) AS distrust FROM p LEFT JOIN r{ROUNDS} r ON r.host = p.host
+r0 AS MATERIALIZED (SELECT host, sum(trust) * {1 - DAMPING} AS trust, sum(distrust) * {1 - DAMPING} AS distrust, max(link) * {1 - DAMPING}::DOUBLE AS all_trust, max(link) * {1 - DAMPING}::DOUBLE AS all_distrust FROM
+    (SELECT host, trust, distrust, judged::INT AS link FROM s UNION ALL SELECT dst, 0, 0, link FROM e) GROUP BY host),
+{', '.join(steps)},
+f AS (SELECT host, trust, distrust, {part("trust")} AS good, {part("distrust")} AS bad FROM
+    (SELECT r.*, CASE WHEN coalesce(judged, false) THEN 0 ELSE r0.all_trust END AS own FROM r{ROUNDS} r JOIN r0 ON r0.host = r.host LEFT JOIN s ON s.host = r.host))
+SELECT page_id, p.host, path, rule, coalesce(said, CASE WHEN bad >= good AND bad >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
+    round(trust, 9) AS trust, round(distrust, 9) AS distrust FROM p LEFT JOIN f ON f.host = p.host
 """
 
 
