@@ -112,8 +112,7 @@ def height_status(text: Column) -> Column:
 #: The characters that Windows-1252 has at bytes 80 to 9F, and those bytes as characters; five bytes have none.
 SPECIALS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 AT_BYTES = "".join(map(chr, [0x80, *range(0x82, 0x8D), 0x8E, *range(0x91, 0x9D), 0x9E, 0x9F]))
-
-
+#: Fixed value: the characters of which a damaged text has one.
 MARKERS = "[ÃÂâ]"
 
 

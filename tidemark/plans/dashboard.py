@@ -64,7 +64,7 @@ def search(entities: DataFrame, kpi: DataFrame, query: str) -> DataFrame:
 def latest_best(scores: DataFrame, entities: DataFrame) -> DataFrame:
     """Thirty entities by the score of their latest season."""
     one = top_one(scores, ["entity_key"], [F.desc("season_key"), F.desc("score"), F.col("competition_key")])
-    return one.join(entities.select("entity_key", "entity_name"), "entity_key").orderBy(F.desc("score"), "entity_name").limit(30).select("entity_key", "entity_name", "season_key")
+    return one.join(entities.select("entity_key", "entity_name"), "entity_key").orderBy(F.desc("score"), "entity_name", "entity_key").limit(30).select("entity_key", "entity_name", "season_key")
 
 
 def history(development: DataFrame, entity_key: int) -> DataFrame:

@@ -111,7 +111,6 @@ register("union_all", lambda m: m.t("customer").select(F.col("c_nationkey").alia
 register("union_distinct", lambda m: m.t("customer").select(F.col("c_nationkey").alias("k")).union(m.t("supplier").select("s_nationkey")).distinct(), "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 register("set_difference", lambda m: m.t("customer").select(F.col("c_custkey").alias("k")).subtract(m.t("supplier").select("s_suppkey")), "SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier")
 register("recommended_seasons", lambda m: m.kpi().groupBy("season_key", "competition_key").agg(F.count("*").alias("n")).where("n >= 20").groupBy("season_key").agg(F.countDistinct("competition_key").alias("c")).where("c = 5").orderBy(F.desc("season_key")).limit(3).select("season_key"), sql("kpi", "SELECT season_key FROM (SELECT season_key, competition_key FROM kpi GROUP BY ALL HAVING count(*) >= 20) GROUP BY 1 HAVING count(DISTINCT competition_key) = 5 ORDER BY 1 DESC LIMIT 3"))
-register("inline_rows", lambda m: m.t("region").sparkSession.sql("SELECT * FROM VALUES (6, 'half'), (12, 'one'), (24, 'two') AS t(months, name)"), "SELECT * FROM (VALUES (6, 'half'), (12, 'one'), (24, 'two')) t(months, name)")
 
 # Quality ------------------------------------------------------------------------------------------------------------
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -192,6 +191,6 @@ def csv_round_trip(m: Model) -> DataFrame:
 
 register("csv_round_trip", csv_round_trip, "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey, row_number() OVER (ORDER BY nation.n_nationkey) AS _source_row_number FROM nation")
 
-from . import inventory_model  # noqa: E402, F401  registers its queries
+from . import inventory_audit, inventory_model  # noqa: E402, F401  register their queries
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -41,6 +41,7 @@ def outcomes(transfer: DataFrame, valuations: DataFrame, entities: DataFrame, sn
     matured = F.col("target_date") <= snapshot
     base = (F.col("value_at_transfer") > 0) & F.col("lag_days").between(0, p.maximum_valuation_lag_days)
     post = (F.col("post_value") > 0) & lag.between(0, p.maximum_target_lag_days)
+    # The labels are fixed values of the method.
     status = (
         F.when(F.col("post_date").isNull(), "no_post_valuation").when(~matured, "horizon_not_matured").when(lag > p.maximum_target_lag_days, "post_valuation_too_old")
         .when(F.col("post_value") <= 0, "post_value_nonpositive").otherwise("post_valuation_eligible")

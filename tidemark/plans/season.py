@@ -92,6 +92,7 @@ def indicators(season: DataFrame, p: Params) -> DataFrame:
         F.col("is_outfield") & (F.col("minutes_played") >= p.minimum_minutes) & (F.col("value") > 0)
         & F.col("value_lag_days").between(0, p.maximum_valuation_lag_days) & (F.col("valid_appearances") > 0) & rated
     )
+    # The labels are fixed values of the method.
     status = (
         F.when(~F.col("is_outfield"), "goalkeeper_excluded").when(F.col("minutes_played") < p.minimum_minutes, "below_minimum_minutes")
         .when(F.col("value").isNull(), "missing_market_value").when(F.col("value") <= 0, "nonpositive_market_value")
