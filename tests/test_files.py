@@ -1,7 +1,9 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.sources import files
 from tidemark.sources.files import header_of, markdown, read_csv, write_csv, write_table
 
 
@@ -65,3 +67,53 @@ def test_model_tables_are_not_overwritten(spark, tmp_path):
         write_table(d, str(tmp_path / "t"))
     write_table(d.limit(1), str(tmp_path / "t"), replace=True)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+
+
+def test_quoted_empty_is_text_and_unquoted_is_null(spark, tmp_path):
+    """With quoted line ends, doubled quotes and blank fields beside them."""
+    (tmp_path / "x.csv").write_text('a,b,c\n1,"",x\n2,,"line\nend ""q"""\n"",3,\n"",,""\n4," ",""\n', "utf-8")
+    got = [(r.a, r.b, r.c) for r in files.read_csv(spark, f"{tmp_path}/x.csv").orderBy("_source_row_number").collect()]
+    assert got == [("1", "", "x"), ("2", None, 'line\nend "q"'), ("", "3", None), ("", None, ""), ("4", " ", "")]
+
+
+@pytest.fixture
+def indexed(spark, tmp_path):
+    o, l = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("orders", "lineitem"))
+    files.write_indexed(o, "tm_orders", f"{tmp_path}/orders", ["o_orderkey"], 8)
+    files.write_indexed(l, "tm_lines", f"{tmp_path}/lines", ["l_orderkey"], 8)
+    yield o, l
+    for t in ("tm_orders", "tm_lines"):
+        spark.sql(f"DROP TABLE {t}")
+
+
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_lookup_reads_one_bucket_and_a_join_shuffles_nothing(spark, indexed):
+    o, l = indexed
+    key = o.orderBy(F.desc("o_orderkey")).first().o_orderkey
+    found = spark.table("tm_orders").where(F.col("o_orderkey") == key)
+    assert found.count() == 1
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", False)  # the plan says the buckets then
+    try:
+        assert "SelectedBucketsCount: 1 out of 8" in plan_of(spark.table("tm_orders").where(F.col("o_orderkey") == key))
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    both = spark.table("tm_orders").join(spark.table("tm_lines").hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
+    assert "Exchange" not in plan_of(both) and "Exchange" in plan_of(o.join(l.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")))
+    assert both.count() == o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).count()
+
+
+def test_statistics_are_recorded_and_used(spark, indexed):
+    o, _ = indexed
+    found = {r.column_name: r for r in files.statistics(spark, "tm_orders").collect()}
+    assert set(found) == set(o.columns) and found["o_orderkey"].null_count == "0" and int(found["o_orderkey"].max) == o.agg(F.max("o_orderkey")).first()[0]
+    rows = lambda: spark.sql("SELECT * FROM tm_orders WHERE o_orderkey < 0")._jdf.queryExecution().optimizedPlan().stats().rowCount().toString()
+    spark.conf.set("spark.sql.cbo.enabled", True)
+    try:
+        with_statistics = rows()
+    finally:
+        spark.conf.unset("spark.sql.cbo.enabled")
+    assert with_statistics == "Some(0)" and rows() != with_statistics

@@ -26,16 +26,22 @@ def header_of(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[s
     return names
 
 
+#: What the reader puts where a quoted field is empty: characters of the private use area, so that no text is taken for it.
+QUOTED_EMPTY = "\ue000\uf8ff\ue000"
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file, gzip or not, as text columns with _source_row_number from 1 and _loaded_at_utc.
 
-    Quotes double inside quotes and may hold line ends; an empty field is null.
+    Quotes double inside quotes and may hold line ends. An empty field is null, a
+    quoted empty one (``,"",``) an empty text.
     A gzip file is one partition, so its numbers are dense and in its order; of a
     folder of files the numbers are unique and rise within a file.
     """
     names = header_of(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", True).csv(path)
+    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", True).option("emptyValue", QUOTED_EMPTY).csv(path)
+    rows = rows.select(*[F.when(F.col(f"`{n}`") != QUOTED_EMPTY, F.col(f"`{n}`")).when(F.col(f"`{n}`") == QUOTED_EMPTY, "").alias(n) for n in names])
     return rows.withColumn("_source_row_number", F.monotonically_increasing_id() + 1).withColumn("_loaded_at_utc", F.current_timestamp())
 
 
@@ -49,6 +55,29 @@ def write_table(df: DataFrame, path: str, replace: bool = False, sort: list[str]
     (df.sortWithinPartitions(*sort) if sort else df).write.mode("overwrite" if replace else "errorifexists").parquet(path)
 
 
+def write_indexed(df: DataFrame, name: str, path: str, keys: list[str], buckets: int, replace: bool = False) -> None:
+    """A catalog table at ``path`` whose rows lie in ``buckets`` by the hash of ``keys``, sorted within, with Bloom filters of the keys.
+
+    A lookup by the keys reads one bucket, and of it the row groups that can have the
+    key; a join on them with a table bucketed alike shuffles neither. Statistics of
+    all columns are kept for the cost-based optimiser. One file for each bucket.
+    """
+    blooms = {f"parquet.bloom.filter.enabled#{k}": "true" for k in keys}
+    out = df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).options(**blooms)
+    out.mode("overwrite" if replace else "errorifexists").option("path", path).saveAsTable(name)
+    df.sparkSession.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
+
+
+def statistics(spark: SparkSession, name: str) -> DataFrame:
+    """column_name, distinct_count, null_count, min, max: what ANALYZE recorded of a catalog table."""
+    columns = [c.name for c in spark.catalog.listColumns(name)]
+    rows = []
+    for c in columns:
+        said = {r["info_name"]: r["info_value"] for r in spark.sql(f"DESCRIBE EXTENDED {name} `{c}`").collect()}
+        rows.append((c, *(None if said.get(k) in (None, "NULL") else said[k] for k in ("distinct_count", "num_nulls", "min", "max"))))
+    return spark.createDataFrame(rows, "column_name string, distinct_count string, null_count string, min string, max string")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
