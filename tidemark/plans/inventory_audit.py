@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.audit import Dated, Known, Missing, Unique, Within, audit, audit_sql
 from ..operators.checksum import reconcile
 from ..operators.funnel import funnel
 from ..operators.quality import union_all
-from ..sources.files import scratch
+from ..sources.files import scratch, write_indexed
 from . import dashboard, payloads, views
 from .bindings import PARAMS, Model, sql
 from .registry import register
@@ -180,6 +182,17 @@ register("view_transfer_outcomes", lambda m: views.transfer_outcomes(with_clubs(
 FRESH = " UNION ALL ".join(f"SELECT '{t}' AS source_table, min({c}::DATE) AS min_business_date, max({c}::DATE) AS max_business_date, count(*) AS row_count FROM {t}" for t, c in SOURCES.items())
 register("view_data_freshness", lambda m: views.freshness({t: (m.t(t), c) for t, c in SOURCES.items()}), FRESH)
 
+def indexed_join(m: Model) -> DataFrame:
+    """Orders and lines as tables bucketed by the order, joined without a shuffle of either."""
+    at, tag = scratch(m.spark), uuid.uuid4().hex[:12]
+    for table, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        write_indexed(m.t(table), f"{table}_{tag}", f"{at}/{table}", [key], int(m.spark.conf.get("spark.sql.shuffle.partitions")))
+    both = m.spark.table(f"orders_{tag}").join(m.spark.table(f"lineitem_{tag}"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return both.groupBy("o_orderpriority").agg(F.count("*").alias("lines"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
+
+
+register("indexed_join", indexed_join, "SELECT o_orderpriority, count(*) AS lines, sum(l_quantity)::BIGINT AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+
 # Payloads: they read the committed tables -----------------------------------------------------------------------------------------
 ALLOWED = {"season": set(range(1992, 1999)), "competition": {"AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"}, "position": set(PARAMS.weights)}
 F97 = {"season": 1997}
