@@ -199,7 +199,7 @@ def near_duplicates(rows: DataFrame, cut: Cut, cosine: float = COSINE, words: in
     components, and a null vec_id link with nothing; vectors of different lengths
     don't link. Rows that share a vec_id share its links, and don't link with each
     other. Links are counted where they are found and never written as pairs, but
-    for those of a vec_id whose rows differ.
+    for those of a vec_id whose rows differ. An empty table gives no rows.
     """
     found = cut(met(rows, cut, cosine, words, caps, False))
     pairs = found.where("b is not null and n is null").select("a", "b").distinct()

@@ -124,7 +124,8 @@ def against_next(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     ``docs`` has doc_id and text. The next document is that of the next lower
     doc_id, of the highest after the lowest; rows with one doc_id follow the hash
     of their text and then the text; a null doc_id comes last; a null text is
-    empty. The last row of an only document follows itself.
+    empty. The last row of an only document follows itself. Texts are read whole, however
+    long, one at a time; an empty table gives no rows.
 
     The rows are cut into ranges of doc_id and go once through a shuffle. Each
     range gets one more row, the first of the range after it, so no task needs

@@ -312,7 +312,7 @@ def identify(docs: DataFrame, model: Identifier | None, keep: list[str] | None =
 
     A null text, one without letters, and any text if nothing could be learned:
     und, score 0, cross_entropy null, not accepted. Columns of ``docs`` with those
-    names are replaced.
+    names are replaced. Texts are read whole, however long; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     new = {"lang_pred": (pa.string(), T.StringType()), "score": (pa.float64(), T.DoubleType()), "cross_entropy": (pa.float64(), T.DoubleType()), "accepted": (pa.bool_(), T.BooleanType())}

@@ -196,6 +196,7 @@ def deduplicated(docs: DataFrame, cut: Cut, least: int = MIN_WORDS) -> DataFrame
     of at least ``least`` words are found for certain; shorter ones never. Null
     and empty texts stay as they are. Rows alike in doc_id and text are one
     document: neither repeats the other. Blank lines go with the line before them.
+    Texts are read whole, however long; an empty table gives no rows.
     """
     last = F.lit((1 << 63) - 1).cast("bigint")
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("doc_id").cast("bigint"), last).alias("_i"), F.xxhash64("text").alias("_r"))

@@ -388,7 +388,8 @@ def near_duplicates(docs: DataFrame, cut: Cut, percent: int = PERCENT, halves: i
 
     A null or empty text, and one of white space, has no set and links with
     nothing; a row without doc_id is not linked either. Rows that share a doc_id
-    are joined by what any of them links with.
+    are joined by what any of them links with. Texts are read whole, however long; an
+    empty table gives no rows.
     """
     search = Nearest(docs, cut, percent, halves)
     found = search.run()
