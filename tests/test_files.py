@@ -79,10 +79,10 @@ def test_quoted_empty_is_text_and_unquoted_is_null(spark, tmp_path):
 @pytest.fixture
 def indexed(spark, tmp_path):
     o, l = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("orders", "lineitem"))
-    files.write_indexed(o, "tm_orders", f"{tmp_path}/orders", ["o_orderkey"], 8)
-    files.write_indexed(l, "tm_lines", f"{tmp_path}/lines", ["l_orderkey"], 8)
+    files.write_indexed(o, "indexed_orders", f"{tmp_path}/orders", ["o_orderkey"], 8)
+    files.write_indexed(l, "indexed_lines", f"{tmp_path}/lines", ["l_orderkey"], 8)
     yield o, l
-    for t in ("tm_orders", "tm_lines"):
+    for t in ("indexed_orders", "indexed_lines"):
         spark.sql(f"DROP TABLE {t}")
 
 
@@ -94,23 +94,23 @@ def plan_of(df):
 def test_a_lookup_reads_one_bucket_and_a_join_shuffles_nothing(spark, indexed):
     o, l = indexed
     key = o.orderBy(F.desc("o_orderkey")).first().o_orderkey
-    found = spark.table("tm_orders").where(F.col("o_orderkey") == key)
+    found = spark.table("indexed_orders").where(F.col("o_orderkey") == key)
     assert found.count() == 1
     spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", False)  # the plan says the buckets then
     try:
-        assert "SelectedBucketsCount: 1 out of 8" in plan_of(spark.table("tm_orders").where(F.col("o_orderkey") == key))
+        assert "SelectedBucketsCount: 1 out of 8" in plan_of(spark.table("indexed_orders").where(F.col("o_orderkey") == key))
     finally:
         spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
-    both = spark.table("tm_orders").join(spark.table("tm_lines").hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
+    both = spark.table("indexed_orders").join(spark.table("indexed_lines").hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
     assert "Exchange" not in plan_of(both) and "Exchange" in plan_of(o.join(l.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")))
     assert both.count() == o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).count()
 
 
 def test_statistics_are_recorded_and_used(spark, indexed):
     o, _ = indexed
-    found = {r.column_name: r for r in files.statistics(spark, "tm_orders").collect()}
+    found = {r.column_name: r for r in files.statistics(spark, "indexed_orders").collect()}
     assert set(found) == set(o.columns) and found["o_orderkey"].null_count == "0" and int(found["o_orderkey"].max) == o.agg(F.max("o_orderkey")).first()[0]
-    rows = lambda: spark.sql("SELECT * FROM tm_orders WHERE o_orderkey < 0")._jdf.queryExecution().optimizedPlan().stats().rowCount().toString()
+    rows = lambda: spark.sql("SELECT * FROM indexed_orders WHERE o_orderkey < 0")._jdf.queryExecution().optimizedPlan().stats().rowCount().toString()
     spark.conf.set("spark.sql.cbo.enabled", True)
     try:
         with_statistics = rows()

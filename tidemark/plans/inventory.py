@@ -111,6 +111,16 @@ register("union_all", lambda m: m.t("customer").select(F.col("c_nationkey").alia
 register("union_distinct", lambda m: m.t("customer").select(F.col("c_nationkey").alias("k")).union(m.t("supplier").select("s_nationkey")).distinct(), "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 register("set_difference", lambda m: m.t("customer").select(F.col("c_custkey").alias("k")).subtract(m.t("supplier").select("s_suppkey")), "SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier")
 register("recommended_seasons", lambda m: m.kpi().groupBy("season_key", "competition_key").agg(F.count("*").alias("n")).where("n >= 20").groupBy("season_key").agg(F.countDistinct("competition_key").alias("c")).where("c = 5").orderBy(F.desc("season_key")).limit(3).select("season_key"), sql("kpi", "SELECT season_key FROM (SELECT season_key, competition_key FROM kpi GROUP BY ALL HAVING count(*) >= 20) GROUP BY 1 HAVING count(DISTINCT competition_key) = 5 ORDER BY 1 DESC LIMIT 3"))
+HORIZON_ROWS = "(6, 'half'), (12, 'one'), (24, 'two')"
+
+
+def inline_rows(m: Model) -> DataFrame:
+    """Orders by inline horizons of twice their month."""
+    named = m.t("region").sparkSession.sql(f"SELECT * FROM VALUES {HORIZON_ROWS} AS t(months, name)")
+    return m.t("orders").select((F.month("o_orderdate") * 2).alias("months")).join(F.broadcast(named), "months").groupBy("months", "name").agg(F.count("*").alias("orders"))
+
+
+register("inline_rows", inline_rows, f"SELECT months, name, count(*) AS orders FROM orders JOIN (VALUES {HORIZON_ROWS}) t(months, name) ON months = 2 * month(o_orderdate) GROUP BY 1, 2")
 
 # Quality ------------------------------------------------------------------------------------------------------------
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")

@@ -173,9 +173,10 @@ def ledgers(m: Model) -> DataFrame:
 
 register("api_quality_validation", ledgers, typed_sql("""SELECT 'analysis' AS phase, 1::BIGINT AS checks, 1::BIGINT AS passed, 0::BIGINT AS failed UNION ALL
     SELECT 'typed', 2, (r = 0)::BIGINT + (i = 0)::BIGINT, (r > 0)::BIGINT + (i > 0)::BIGINT FROM (SELECT count(*) - count(DISTINCT appearance_key) AS r, count(*) FILTER (NOT is_valid) AS i FROM appearance)"""))
-register("api_quality_parameters", lambda m: dashboard.parameters(m.t("region").sparkSession, PARAMS), "SELECT 'v1.0' AS version, 60::INT AS minimum_minutes, 365::INT AS maximum_valuation_lag_days, 8::INT AS minimum_peers, 0.05::DOUBLE AS low, 0.95::DOUBLE AS high, 90::INT AS maximum_target_lag_days, [6, 12, 24]::INT[] AS horizons")
+register("api_quality_parameters", lambda m: dashboard.parameters(m.t("region").sparkSession, PARAMS).join(F.broadcast(m.kpi().agg(F.count("*").alias("seasons"), F.count_if("is_eligible").alias("eligible")))), sql("kpi", "SELECT 'v1.0' AS version, 60::INT AS minimum_minutes, 365::INT AS maximum_valuation_lag_days, 8::INT AS minimum_peers, 0.05::DOUBLE AS low, 0.95::DOUBLE AS high, 90::INT AS maximum_target_lag_days, [6, 12, 24]::INT[] AS horizons, count(*) AS seasons, count(*) FILTER (is_eligible) AS eligible FROM kpi"))
 WEIGHT_ROWS = ", ".join(f"('{g}', '{n}', {w}::DOUBLE, '{'negative' if n == 'cards_per_90' else 'positive'}')" for g, ws in PARAMS.weights.items() for n, w in zip(dashboard.METRICS, ws, strict=True))
-register("api_quality_weights", lambda m: dashboard.metric_weights(m.t("region").sparkSession, PARAMS), f"SELECT * FROM (VALUES {WEIGHT_ROWS}) t(position_group, metric_name, metric_weight, direction)")
+register("api_quality_weights", lambda m: dashboard.metric_weights(m.t("region").sparkSession, PARAMS).join(m.kpi().groupBy("position_group").agg(F.count_if("is_eligible").alias("eligible")), "position_group", "left"),
+    sql("kpi", f"SELECT t.*, eligible FROM (VALUES {WEIGHT_ROWS}) t(position_group, metric_name, metric_weight, direction) LEFT JOIN (SELECT position_group, count(*) FILTER (is_eligible) AS eligible FROM kpi GROUP BY 1) USING (position_group)"))
 register("api_meta", lambda m: dashboard.meta(m.scores()), sql("eff", "SELECT list_sort(list(DISTINCT competition_key)) AS competitions, list_sort(list(DISTINCT season_key)) AS seasons, list_sort(list(DISTINCT position_group)) AS positions FROM eff"))
 register("api_player_profile", lambda m: dashboard.profile(player(m), 7), typed_sql("SELECT player_key, player_name, date_of_birth, position_group, height_cm, height_quality_status FROM player WHERE player_key = 7"))
 register("api_player_valuations", lambda m: dashboard.valuations_of(m.valuations(), m.entities(), 7), sql("val ent", f"SELECT valuation_date, market_value, {age_sql('valuation_date', 'date_of_birth')} AS age_at_valuation FROM val JOIN (SELECT entity_key, date_of_birth FROM ent) USING (entity_key) WHERE entity_key = 7"))
