@@ -93,14 +93,18 @@ def markdown(df: DataFrame, limit: int = 1000) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: in spark.checkpoint.dir, in local mode a temporary one if that is unset."""
+    """A fresh folder that driver and executors share: in spark.checkpoint.dir, in local mode a temporary one if that is unset. Deleted when the driver ends."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
-        return f"{own.rstrip('/')}/tidemark-{uuid.uuid4().hex[:12]}"
+        path = f"{own.rstrip('/')}/tidemark-{uuid.uuid4().hex[:12]}"
+        _stored.append((spark, path))
+        return path
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{tempfile.mkdtemp(prefix='tidemark-')}/work"
+    folder = tempfile.mkdtemp(prefix="tidemark-")
+    _stored.append((spark, folder))
+    return f"{folder}/work"
 
 
 _stored: list[tuple[SparkSession, str]] = []
@@ -109,7 +113,6 @@ _stored: list[tuple[SparkSession, str]] = []
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once and read again: what several readers share is computed once. Deleted when the driver ends."""
     path = scratch(df.sparkSession)
-    _stored.append((df.sparkSession, path))
     write_table(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
