@@ -331,6 +331,34 @@ def test_machines_are_those_of_their_parts_one_after_another():
         assert got == symbols and np.allclose(w, weights)
 
 
+def test_the_product_of_primes_is_the_path():
+    """Every clause of six symbols: the weight is the word's times the arcs that the primes name, as often as they name them."""
+    from itertools import product
+
+    lexicon = toxicity.Lexicon({}, toxicity.Arcs(0.3, 0.7, 1.9, 2.5))
+    weigh, name = toxicity.Grammar(lexicon), toxicity.Grammar(toxicity.Lexicon({}, toxicity.PATHS))
+    taken = set()
+    for symbols in product("oTRQNIH", repeat=6):
+        clause = [(x, 2.0) for x in symbols]
+        paths = [(w, toxicity.arcs_taken(path)) for w, path in name.matches(clause)]
+        taken |= {tuple(t) for _, t in paths}
+        assert weigh.weight(clause) == pytest.approx(sum(w * np.prod(np.array(lexicon.arcs) ** t) for w, t in paths))
+    assert all(any(t[k] for t in taken) for k in range(4))
+
+
+def test_arcs_are_learned(spark):
+    """Where labels say that denied insults are harmless and aimed ones are not, the arcs follow; without evidence they stay."""
+    docs = [(f"you are an idiot, number {k}", 1) for k in range(200)] + [(f"this is not an idiot, number {k}", 0) for k in range(200)]
+    sample = spark.createDataFrame(docs + [(f"a quiet day number {k}", 0) for k in range(200)], "text string, toxic int")
+    lexicon = toxicity.Lexicon(toxicity.seeds())
+    got = toxicity.learn_arcs(sample, lexicon)
+    assert got.denied < toxicity.DENIED / 2 and got.targeted > toxicity.TARGETED
+    assert got.reported == pytest.approx(toxicity.REPORTED) and got.threat == pytest.approx(toxicity.THREAT_WEIGHT)
+    contrary = [(f"this is not an idiot, number {k}", 1) for k in range(200)] + [(f"a quiet day number {k}", 0) for k in range(200)]
+    assert toxicity.learn_arcs(spark.createDataFrame(contrary, "text string, toxic int"), lexicon).denied > toxicity.DENIED
+    assert toxicity.learn_arcs(sample.where("text like 'a quiet%'"), lexicon) == toxicity.learn_arcs(sample.limit(0), lexicon) == toxicity.Arcs()
+
+
 def test_stems_are_learned(spark):
     rows = [(f"some vorble{x} talk number {k}", 1) for k, x in enumerate(["a", "en", "ing", "ed"] * 20)] + [(f"some plain talk number {k} vore", 0) for k in range(300)]
     found = toxicity.learn_stems(spark.createDataFrame(rows, "text string, toxic int"))

@@ -9,7 +9,8 @@ target; none for a threat without one. A text's score follows from the weights o
 its matched clauses.
 
 The lexicon has a few seeds; the rest of the insults are stems learned from
-labelled texts, as is the step from clause weights to a probability.
+labelled texts, as are the weights of the arcs and the step from clause weights to
+a probability.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +64,23 @@ SYMBOL = {"insult": "I", "threat": "H", "target": "T", "negation": "N", "report"
 #: Marks that open or close what is quoted.
 QUOTES = '"“”«»„'
 
-#: What a matched insult or threat weighs times its word's weight.
+#: What a matched insult or threat weighs times its word's weight, before labels are seen.
 DENIED, REPORTED, TARGETED, THREAT_WEIGHT = 0.5, 0.6, 1.5, 4.0
+
+
+class Arcs(NamedTuple):
+    """The weights of the arcs that have one; the others' is 1."""
+
+    denied: float = DENIED
+    reported: float = REPORTED
+    targeted: float = TARGETED
+    threat: float = THREAT_WEIGHT
+
+
+#: With primes for weights, the product of a match tells which arcs it took, and how often.
+PATHS = Arcs(2, 3, 5, 7)
+#: Spread of an arc's logarithm around that of its weight above, and the least and greatest it can become.
+SPREAD, BOUNDS = 0.5, (1 / 8, 8.0)
 #: Words between an insult or threat and the negation that ends its clause, at most.
 REACH = 4
 
@@ -94,7 +111,7 @@ class Transducer:
         return both
 
 
-def negation() -> Transducer:
+def negation(denied: float = DENIED) -> Transducer:
     """Denies an insult or threat within three words after a negation."""
     t = Transducer(0)
     for s in range(4):
@@ -103,11 +120,11 @@ def negation() -> Transducer:
         t.arc(s, "Q", s, "Q")
         t.arc(s, "N", 3, "o")
         for x in "IH":
-            t.arc(s, x, max(s - 1, 0), x, DENIED if s else 1.0)
+            t.arc(s, x, max(s - 1, 0), x, denied if s else 1.0)
     return t
 
 
-def reported() -> Transducer:
+def reported(reported: float = REPORTED) -> Transducer:
     """Lowers what follows a reporting verb: what it quotes if a quotation follows, else the rest of the clause.
 
     States: nothing said, said, in a quotation that was announced, in any other.
@@ -119,11 +136,11 @@ def reported() -> Transducer:
         t.arc(state, "R", "said" if state in ("none", "said") else state, "o")
         t.arc(state, "Q", at_quote, "o")
         for x in "IH":
-            t.arc(state, x, state, x, REPORTED if state in ("said", "quoted") else 1.0)
+            t.arc(state, x, state, x, reported if state in ("said", "quoted") else 1.0)
     return t
 
 
-def denied_later() -> Transducer:
+def denied_later(denied: float = DENIED) -> Transducer:
     """Reads a clause from its end: denies an insult or threat a few words before a negation that ends the clause."""
     t = Transducer("end")
     for state in ("end", *range(REACH + 1)):
@@ -132,11 +149,11 @@ def denied_later() -> Transducer:
             t.arc(state, x, max(left - 1, 0) if x != "Q" else state, x)
         t.arc(state, "N", REACH if state == "end" else max(left - 1, 0), "N")
         for x in "IH":
-            t.arc(state, x, max(left - 1, 0), x, DENIED if left else 1.0)
+            t.arc(state, x, max(left - 1, 0), x, denied if left else 1.0)
     return t
 
 
-def reported_later() -> Transducer:
+def reported_later(reported: float = REPORTED) -> Transducer:
     """Reads a clause from its end: lowers what is quoted before a reporting verb."""
     t = Transducer("none")
     for state, at_quote in (("none", "other"), ("said", "quoted"), ("quoted", "none"), ("other", "none")):
@@ -145,7 +162,7 @@ def reported_later() -> Transducer:
         t.arc(state, "R", "said" if state in ("none", "said") else state, "R")
         t.arc(state, "Q", at_quote, "Q")
         for x in "IH":
-            t.arc(state, x, state, x, REPORTED if state == "quoted" else 1.0)
+            t.arc(state, x, state, x, reported if state == "quoted" else 1.0)
     return t
 
 
@@ -161,22 +178,22 @@ def target() -> Transducer:
     return t
 
 
-def insult() -> Transducer:
+def insult(targeted: float = TARGETED) -> Transducer:
     """Weighs aimed and other insults and passes the rest on."""
     t = Transducer(0)
     t.arc(0, "o", 0, "o")
     t.arc(0, "K", 0, "K")
     t.arc(0, "I", 0, "hit")
-    t.arc(0, "A", 0, "hit", TARGETED)
+    t.arc(0, "A", 0, "hit", targeted)
     return t
 
 
-def threat() -> Transducer:
+def threat(threat: float = THREAT_WEIGHT) -> Transducer:
     """Weighs threats with a target."""
     t = Transducer(0)
     t.arc(0, "o", 0, "")
     t.arc(0, "hit", 0, "hit")
-    t.arc(0, "K", 0, "threat", THREAT_WEIGHT)
+    t.arc(0, "K", 0, "threat", threat)
     return t
 
 
@@ -188,14 +205,14 @@ def plain(symbols: str, out: str | None = None) -> Transducer:
     return t
 
 
-def machine(without: str = "") -> tuple[Transducer, Transducer]:
+def machine(without: str = "", arcs: Arcs = Arcs()) -> tuple[Transducer, Transducer]:
     """(the one that reads a clause from its end, the one that reads it from its start); ``without`` leaves a part out, to see what it adds."""
-    back = plain("oTNRQIH") if without == "negation" else denied_later()
+    back = plain("oTNRQIH") if without == "negation" else denied_later(arcs.denied)
     if without != "reported":
-        back = back.compose(reported_later())
-    found = plain("oTRQNIH", "oTRQIH") if without == "negation" else negation()
-    found = found.compose(plain("oTRQIH", "oTIH") if without == "reported" else reported())
-    for t in (plain("oTIH", "oI") if without == "target" else target(), insult(), threat()):
+        back = back.compose(reported_later(arcs.reported))
+    found = plain("oTRQNIH", "oTRQIH") if without == "negation" else negation(arcs.denied)
+    found = found.compose(plain("oTRQIH", "oTIH") if without == "reported" else reported(arcs.reported))
+    for t in (plain("oTIH", "oI") if without == "target" else target(), insult(arcs.targeted), threat(arcs.threat)):
         found = found.compose(t)
     return back, found
 
@@ -207,9 +224,10 @@ def patterns(word: str) -> list[str]:
 
 @dataclass
 class Lexicon:
-    """Words and stems with their symbols and weights. The sample bounds its size."""
+    """Words and stems with their symbols and weights, and the arcs' weights. The sample bounds its size."""
 
     entries: dict[str, tuple[str, float]]
+    arcs: Arcs = Arcs()
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def look_up(self, word: str) -> tuple[str, float] | None:
@@ -226,7 +244,7 @@ class Grammar:
     """Scores texts; remembers the entries of words."""
 
     def __init__(self, lexicon: Lexicon, without: str = ""):
-        self.lexicon, (self.back, self.machine) = lexicon, machine(without)
+        self.lexicon, (self.back, self.machine) = lexicon, machine(without, lexicon.arcs)
         self.known: dict[str, tuple[str, float] | None] = {}
 
     def entry(self, word: str):
@@ -256,6 +274,13 @@ class Grammar:
         found = [w for w in map(self.weight, self.clauses(text)) if w]
         return max(found, default=0.0), sum(found, 0.0), float(len(found))
 
+    def found(self, text: str | None) -> Iterator[tuple[float, float]]:
+        """matches() of all clauses of a text."""
+        text = (text or "").lower()
+        if self.heavy(text):
+            for clause in self.clauses(text):
+                yield from self.matches(clause)
+
     def clauses(self, text: str) -> Iterator[list[tuple[str, float]]]:
         """The symbols and weights of each clause that can match.
 
@@ -287,21 +312,24 @@ class Grammar:
         if heavy:
             yield clause
 
-    def weight(self, clause: list[tuple[str, float]]) -> float:
+    def matches(self, clause: list[tuple[str, float]]) -> Iterator[tuple[float, float]]:
+        """(weight of the word, 1 for a threat; product of the arcs taken) of each insult and threat that matches."""
         state, factors = self.back.start, []
         for symbol, _ in reversed(clause):
             state, _, factor = self.back.arcs[state, symbol]
             factors.append(factor)
-        state, total, waiting = self.machine.start, 0.0, 1.0
+        state, waiting = self.machine.start, 1.0
         for (symbol, weight), later in zip(clause, reversed(factors), strict=True):
             state, out, factor = self.machine.arcs[state, symbol]
             if symbol == "H":
                 waiting = later * factor  # a threat counts where its target follows
             if out == "hit":
-                total += weight * factor * later
+                yield weight, factor * later
             elif out == "threat":
-                total += factor * waiting
-        return total
+                yield 1.0, factor * waiting
+
+    def weight(self, clause: list[tuple[str, float]]) -> float:
+        return sum((weight * factor for weight, factor in self.matches(clause)), 0.0)
 
 
 _grammars: dict[str, Grammar] = {}
@@ -385,6 +413,64 @@ def learn_stems(sample: DataFrame) -> dict[str, tuple[str, float]]:
     return chosen
 
 
+def arcs_taken(path: float) -> list[int]:
+    """How often each arc of PATHS was taken, from the product."""
+    left, times = round(path), []
+    for prime in PATHS:
+        k = 0
+        while left % prime == 0:
+            left, k = left // prime, k + 1
+        times.append(k)
+    return times
+
+
+def fit_arcs(seen: list[tuple[float, float, int, int]], toxic: int, others: int) -> Arcs:
+    """The arcs' weights from (path, word weight, toxic texts, other texts).
+
+    A word's weight is the log of how much likelier it is in toxic texts, so a match
+    adds that times its arcs to the log odds of its text. The logarithms of the arcs' weights
+    are fitted so, each drawn to the one it has without labels (SPREAD); what the
+    labels say nothing of stays as it is.
+    """
+    start = np.log(np.array(Arcs()))
+    if not seen or not toxic or not others:
+        return Arcs()
+    x = np.array([arcs_taken(r[0]) for r in seen], float)
+    w, pos, neg = np.array([r[1:] for r in seen], float).T
+    low, high = np.log(BOUNDS)
+    theta = start.copy()
+    for _ in range(200):
+        j = (w * np.exp(x @ theta))[:, None] * x
+        p = 1 / (1 + np.exp(-np.clip(math.log(toxic / others) + w * np.exp(x @ theta), -30, 30)))
+        g = j.T @ ((pos + neg) * p - pos) + (theta - start) / SPREAD**2
+        h = (j * ((pos + neg) * p * (1 - p))[:, None]).T @ j + np.eye(len(theta)) / SPREAD**2
+        step = np.clip(np.linalg.solve(h, g), -0.25, 0.25)
+        theta = np.clip(theta - step, low, high)
+        if np.abs(step).max() < 1e-9:
+            break
+    return Arcs(*np.exp(theta).tolist())
+
+
+def learn_arcs(sample: DataFrame, lexicon: Lexicon) -> Arcs:
+    """The arcs' weights from the matches in ``sample`` (text, toxic); a text counts once for each path and word weight."""
+    held = sample.sparkSession.sparkContext.broadcast(Lexicon(lexicon.entries, PATHS))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar, seen = grammar_of(held.value), Counter()
+        for b in batches:
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen.update({(path, round(w, 2), toxic) for w, path in grammar.found(text)})
+        rows = [(path, w, n if toxic == 1 else 0, n if toxic == 0 else 0) for (path, w, toxic), n in seen.items()]
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("path", "w", "pos", "neg"), columns, ("double", "double", "int64", "int64"), strict=True)})
+
+    found = sample.select("text", "toxic").mapInArrow(count, "path double, w double, pos bigint, neg bigint")
+    # A row for each path and word weight: at most as many as the lexicon has weights, for each of a few dozen paths.
+    rows = found.groupBy("path", "w").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()
+    per = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    return fit_arcs(sorted(map(tuple, rows)), per.get(1, 0), per.get(0, 0))
+
+
 @dataclass
 class Judge:
     """The lexicon with the weights of the features."""
@@ -450,6 +536,7 @@ def train(docs: DataFrame, labels: DataFrame, cut: Cut, sample: int = SAMPLE) ->
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
     rows = cut(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.max("toxic").alias("toxic")))
     lexicon = Lexicon(seeds() | learn_stems(rows))
+    lexicon = Lexicon(lexicon.entries, learn_arcs(rows, lexicon))
     found = sorted(map(tuple, featured(rows, lexicon, ["doc_id", "toxic"]).collect()))
     toxic = np.array([r[1] for r in found], float)
     if not len(found) or toxic.min() == toxic.max():
