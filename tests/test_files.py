@@ -117,3 +117,36 @@ def test_statistics_are_recorded_and_used(spark, indexed):
     finally:
         spark.conf.unset("spark.sql.cbo.enabled")
     assert with_statistics == "Some(0)" and rows() != with_statistics
+
+
+def test_statistics_change_the_order_of_joins(spark, tmp_path):
+    """Before ANALYZE the joins stand as written, the fact table with the large side first; with statistics the selective side comes first."""
+    name = f"t{tmp_path.name.replace('-', '_')}"
+    options = {"spark.sql.cbo.enabled": "true", "spark.sql.cbo.joinReorder.enabled": "true", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in options}
+    frames = {
+        "fact": spark.range(20_000).selectExpr("id AS f", "id % 5000 AS big_key", "id % 5000 AS small_key"),
+        "big": spark.range(5_000).selectExpr("id AS b"),
+        "small": spark.range(5_000).selectExpr("id AS s", "id AS tag"),
+    }
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        for t, df in frames.items():
+            df.write.option("path", f"{tmp_path}/{t}").saveAsTable(f"{name}_{t}")
+        query = f"SELECT f FROM {name}_fact JOIN {name}_big ON big_key = b JOIN {name}_small ON small_key = s WHERE tag = 7"
+        first = lambda: spark.sql(query)._jdf.queryExecution().optimizedPlan().toString()
+        depth = lambda plan, t: next(len(line) - len(line.lstrip(" :+-")) for line in plan.splitlines() if f"{name}_{t}" in line)
+        written = first()
+        assert depth(written, "small") < depth(written, "big")
+        rows = sorted(r.f for r in spark.sql(query).collect())
+        for t in frames:
+            spark.sql(f"ANALYZE TABLE {name}_{t} COMPUTE STATISTICS FOR ALL COLUMNS")
+        ordered = first()
+        assert depth(ordered, "small") > depth(ordered, "big")
+        assert sorted(r.f for r in spark.sql(query).collect()) == rows == [7, 5007, 10007, 15007]
+    finally:
+        for t in frames:
+            spark.sql(f"DROP TABLE IF EXISTS {name}_{t}")
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -61,10 +61,10 @@ def search(entities: DataFrame, kpi: DataFrame, query: str) -> DataFrame:
     return found.select("entity_key", "entity_name", "position_group", "country").orderBy("entity_name", "entity_key").limit(30)
 
 
-def latest_best(scores: DataFrame, entities: DataFrame) -> DataFrame:
-    """Thirty entities by the score of their latest season."""
+def latest_best(scores: DataFrame, entities: DataFrame, *columns: str | Column) -> DataFrame:
+    """Thirty entities by the score of their latest season, in these columns or key, name and season."""
     one = top_one(scores, ["entity_key"], [F.desc("season_key"), F.desc("score"), F.col("competition_key")])
-    return one.join(entities.select("entity_key", "entity_name"), "entity_key").orderBy(F.desc("score"), "entity_name", "entity_key").limit(30).select("entity_key", "entity_name", "season_key")
+    return one.join(entities.select("entity_key", "entity_name"), "entity_key").orderBy(F.desc("score"), "entity_name", "entity_key").limit(30).select(*(columns or ("entity_key", "entity_name", "season_key")))
 
 
 def history(development: DataFrame, entity_key: int) -> DataFrame:

@@ -201,6 +201,6 @@ def csv_round_trip(m: Model) -> DataFrame:
 
 register("csv_round_trip", csv_round_trip, "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey, row_number() OVER (ORDER BY nation.n_nationkey) AS _source_row_number FROM nation")
 
-from . import inventory_audit, inventory_model  # noqa: E402, F401  register their queries
+from . import inventory_audit, inventory_model, inventory_routes  # noqa: E402, F401  register their queries
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

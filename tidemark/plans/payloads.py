@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,16 +53,20 @@ def single(df: DataFrame) -> DataFrame:
     return df.limit(1).agg(F.first(safe_row(df)).alias("x"))
 
 
-def document(**parts: DataFrame | Column) -> DataFrame:
-    """One row, payload: the JSON of an object with these parts in their order. Frames have one row, x; so their product has one."""
-    out, columns = None, []
+def document(**parts: DataFrame | Column | Callable[[dict[str, Column]], Column]) -> DataFrame:
+    """One row, payload: the JSON of an object with these parts in their order. Frames have one row, x; so their product has one.
+
+    A function makes its part from the frames' columns before it, by their names.
+    """
+    out, columns, before = None, [], {}
     for k, (name, part) in enumerate(parts.items()):
         if isinstance(part, DataFrame):
             one = part.select(F.col("x").alias(f"p{k}"))
             out = one if out is None else out.join(F.broadcast(one))
-            columns.append(F.col(f"p{k}").alias(name))
+            before[name] = F.col(f"p{k}")
+            columns.append(before[name].alias(name))
         else:
-            columns.append(part.alias(name))
+            columns.append((part(before) if callable(part) else part).alias(name))
     return out.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("payload"))
 
 
