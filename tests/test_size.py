@@ -1,6 +1,11 @@
 """What must not grow with the tables: the rows that one task holds, and how often rows are shuffled."""
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidemark.operators.asof import asof_backward
 from tidemark.plans.bindings import Model
+from tidemark.plans.store import Spec, Store
 from tidemark.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -11,3 +16,27 @@ def test_stint_sums_take_more_tasks_not_larger_ones(spark, monkeypatch):
     monkeypatch.setattr(files, "TASK_ROWS", 100)
     many = Model(spark, SF).stint_sums()
     assert len(many.inputFiles()) > 40 and sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+
+
+def test_scores_alone_build_no_wider_table(spark, tmp_path):
+    s = Store(spark, f"{tmp_path}/model")
+    assert set(s.build(Model(spark, SF), ["scores"])["tables"]) == {"entities", "valuations", "kpi", "scores"}
+    said = ("entity_key", "competition_key", "season_key", "value", "peers", "efficiency_rank", "efficiency_band")
+    assert sorted(map(str, s.table("scores").select(*said).collect())) == sorted(map(str, Model(spark, SF).scores().select(*said).collect()))
+
+
+def test_a_written_table_is_shuffled_once_by_its_key_and_reference(spark, tmp_path, capsys):
+    """Rows that are asked as of a date and named, then counted by key and reference and written, lie by the entity all along."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        facts = spark.range(1000).select((F.col("id") % 50).alias("k"), F.date_add(F.lit("1997-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+        known = spark.range(50).select(F.col("id").alias("k"))
+        found = asof_backward(facts, facts.select("k", F.col("d").alias("seen")), "k", "d", "seen", {"s": "seen"}).join(known, "k")
+        found = found.withColumn("n", F.row_number().over(Window.partitionBy("k", "d").orderBy("d")))
+        found.explain()
+        plan = capsys.readouterr().out
+        assert plan.count("Exchange hashpartitioning") == 2  # of the as-of rows and of what they are joined with
+        rows, ledger = Store(spark, f"{tmp_path}/m").write(found, Spec("t", (), key=("k", "d"), refers={"k": ("t", "k")}), f"{tmp_path}/t", None, lambda n: known)
+        assert rows == {"": 1000} and not any(n for _, _, n in ledger)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

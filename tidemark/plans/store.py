@@ -25,7 +25,7 @@ from ..operators.checksum import checksums
 from .bindings import Model
 
 #: Goes into every key: raise it when the meaning of a table changes.
-REVISION = 1
+REVISION = 2
 
 
 class Violated(Exception):
@@ -55,19 +55,19 @@ SPECS = (
     Spec("entities", ("entities",), key=("entity_key",), holds={"named": "entity_name <> ''"}),
     Spec("clubs", ("clubs",), key=("club_key",)),
     Spec("valuations", ("valuations", "entities"), key=("entity_key", "valuation_date"), holds={"value_not_negative": "market_value >= 0"}, refers={"entity_key": ("entities", "entity_key")}, needs=("entities",)),
-    Spec("stints", ("observations", "valuations", "entities"), ("entities", "valuations"), True, ("entity_key", "club_key", "competition_key", "season_key"),
+    Spec("stints", ("stint_sums", "valuations", "entities"), ("entities", "valuations"), True, ("entity_key", "club_key", "competition_key", "season_key"),
         {"value_not_after_stint": "stint_value_date <= last_date", "rows_add_up": "valid_appearances + rejected_rows <= appearance_rows", "minutes_not_negative": "minutes_played >= 0"},
         {"entity_key": ("entities", "entity_key")}),
-    Spec("seasons", ("observations", "valuations", "entities"), ("stints", "valuations", "entities"), True, SEASON_KEY, {"value_not_after_season": "value_date <= season_end_date", "share_of_starts": "start_rate BETWEEN 0 AND 1"}, {"entity_key": ("entities", "entity_key")}),
-    Spec("kpi", ("observations", "valuations", "entities"), ("seasons", "valuations"), True, SEASON_KEY, {"peak_not_below_value": "peak_value >= value", "peak_not_after_season": "peak_value_date <= season_end_date"}),
-    Spec("scores", ("observations", "valuations", "entities"), ("kpi",), True, SEASON_KEY, {"scored": "score IS NOT NULL", "share_in_range": "efficiency_pct > 0 AND efficiency_pct <= 100"}),
-    Spec("development", ("observations", "valuations", "entities"), ("kpi",), False, ("entity_key", "season_key"), {"gap_is_positive": "season_gap > 0"}),
+    Spec("seasons", ("stint_sums", "valuations", "entities"), ("stints", "valuations", "entities"), True, SEASON_KEY, {"value_not_after_season": "value_date <= season_end_date", "share_of_starts": "start_rate BETWEEN 0 AND 1"}, {"entity_key": ("entities", "entity_key")}),
+    Spec("kpi", ("stint_sums", "valuations", "entities"), ("valuations",), True, SEASON_KEY, {"peak_not_below_value": "peak_value >= value", "peak_not_after_season": "peak_value_date <= season_end_date"}),
+    Spec("scores", ("stint_sums", "valuations", "entities"), ("kpi",), True, SEASON_KEY, {"scored": "score IS NOT NULL", "share_in_range": "efficiency_pct > 0 AND efficiency_pct <= 100"}),
+    Spec("development", ("stint_sums", "valuations", "entities"), ("kpi",), False, ("entity_key", "season_key"), {"gap_is_positive": "season_gap > 0"}),
     Spec("transfers", ("raw_transfers", "valuations"), ("valuations",), False, ("transfer_key",), {"value_not_after_transfer": "matched_date <= transfer_date"}),
     Spec("outcomes", ("raw_transfers", "valuations", "entities"), ("transfers", "valuations", "entities"), False, ("transfer_key", "horizon_months"),
         {"horizon_known": "horizon_months IN (6, 12, 24)", "post_value_after_transfer": "post_date > transfer_date", "post_value_by_target": "post_date <= target_date", "target_at_horizon": "target_date = add_months(transfer_date, horizon_months)"}),
 )
 #: The column that tells the season of a row, of the frames that have one.
-SEASON_OF = {"observations": "season_key", "valuations": "year(valuation_date)"}
+SEASON_OF = {"stint_sums": "season_key", "valuations": "year(valuation_date)"}
 
 
 class Files:
@@ -154,15 +154,16 @@ class Store:
     def write(self, df: DataFrame, spec: Spec, path: str, seasons: list | None, parent: Callable[[str], DataFrame]) -> tuple[dict, list[tuple[str, str, int]]]:
         """Writes ``df``; counts rows and violations in the same pass. (rows by season, or under '' of all; the ledger's rows)."""
         kept, checks = df.columns, {}
+        # References first: rows that lie by a column of the key are not shuffled again to count its repeats.
+        for column, (table, key) in spec.refers.items():
+            known = parent(table).select(F.col(key).alias(f"_tm_{column}")).distinct()
+            df = df.join(known, F.col(column) == F.col(f"_tm_{column}"), "left")
+            checks[f"{column}_is_in_{table}"] = F.count_if(F.col(column).isNotNull() & F.col(f"_tm_{column}").isNull())
         if spec.key:
             empty = " OR ".join(f"`{k}` IS NULL" for k in spec.key)
             df = df.withColumn("_tm_nth", F.row_number().over(Window.partitionBy(*spec.key).orderBy(spec.key[0])))
             checks["key_is_unique"] = F.count_if(F.col("_tm_nth") > 1)
             checks["key_has_no_null"] = F.count_if(F.expr(empty))
-        for column, (table, key) in spec.refers.items():
-            known = parent(table).select(F.col(key).alias(f"_tm_{column}")).distinct()
-            df = df.join(known, F.col(column) == F.col(f"_tm_{column}"), "left")
-            checks[f"{column}_is_in_{table}"] = F.count_if(F.col(column).isNotNull() & F.col(f"_tm_{column}").isNull())
         for name, holds in spec.holds.items():
             checks[name] = F.count_if(~F.expr(holds))
         rows = {"": F.count(F.lit(1))} if seasons is None else {str(s): F.count_if(F.col("season_key") == s) for s in seasons}
@@ -171,15 +172,15 @@ class Store:
         if seasons is None:
             df.write.parquet(path)
         else:
-            # Whole seasons in few files, large ones in several.
-            df.hint("rebalance", "season_key").write.partitionBy("season_key").parquet(path)
+            # A season has a file of each task: the rows are not shuffled again for larger ones.
+            df.write.partitionBy("season_key").parquet(path)
         got = seen.get
         return {n: got[f"rows {n}"] for n in rows}, [(n, spec.name, got[f"check {n}"]) for n in checks]
 
     def build(self, m: Model, need: Iterable[str] | None = None) -> dict:
         """Brings the tables in ``need`` (all if None), and what they need, up to date; gives the manifest then current.
 
-        Seasons of a table are written again where their observations, the
+        Seasons of a table are written again where the sums of their stints, the
         valuations up to them, the entities or the parameters changed.
         """
         wanted = self._with_needs({s.name for s in SPECS} if need is None else set(need))
@@ -246,13 +247,13 @@ class Sums:
         return self._known[frame]
 
     def keys(self, spec: Spec, params: dict) -> dict[str, str]:
-        seasons = sorted(s for s in self.of("observations") if s) if spec.by_season else [""]
+        seasons = sorted(s for s in self.of("stint_sums") if s) if spec.by_season else [""]
         out = {}
         for s in seasons:
             seen = {}
             for frame in spec.inputs:
                 have = self.of(frame)
-                if s and frame == "observations":
+                if s and frame == "stint_sums":
                     seen[frame] = have[s]
                 elif s and frame == "valuations":
                     seen[frame] = [have[y] for y in sorted(have) if y <= s]
