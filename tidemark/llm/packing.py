@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,6 +35,15 @@ REMEMBERED = 600_000
 #: text's ids are those of its words, and neither a plain capital nor a sign at a word's end matters.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+#: What stands after SPLIT where the model alone gives a plain word's ids: its bytes written as BYTES.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: The character that stands for each byte: itself where it prints, else one from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: b if b in _PRINTED else 256 + k for k, b in enumerate([*_PRINTED, *sorted(set(range(256)) - set(_PRINTED))], -len(_PRINTED))}
+#: A plain word, made small: letters that neither the normaliser nor SPLIT changes.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: Signs that SPLIT cuts from a word's end.
+SIGNS = ".,;:!?|"
 #: Full sequences are numbered from here on, the others below.
 FULL = 1 << 62
 
@@ -62,29 +72,37 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered, self.ids = Tokenizer.from_file(path), remembered, {"": b""}
-        self.whole = not by_words(json.loads(self.tokenizer.to_str()))
+        said = json.loads(self.tokenizer.to_str())
+        self.whole, self.model = not by_words(said), self.tokenizer.model
+        letters = any(t["content"].isalpha() for t in said["added_tokens"])
+        self.plain = not self.whole and not letters and said["pre_tokenizer"]["pretokenizers"][1:] == [BYTE_LEVEL] and not said["model"].get("dropout")
+        self.signs = {c: array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in SIGNS}
 
     def words(self, text: str) -> list[str]:
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def learn(self, words: set[str]) -> None:
-        """Remembers the words, cut further where the tokenizer surely cuts and with a plain capital made small."""
-        if len(self.ids) + 3 * len(words) > self.remembered:
+        """Remembers the words: plain ones from the model alone, with a sign at the end or without, the others as the tokenizer reads them."""
+        if len(self.ids) + 2 * len(words) > self.remembered:
             self.ids = {"": b""}
-        ids, parts = self.ids, {}
+        ids, others, plain, tokenize = self.ids, [], self.plain, self.model.tokenize
         for w in words:
-            if w not in ids:
-                head, tail = (w[:-1], w[-1]) if w[-1] in ".,;:!?|" and w[:-1].isalpha() else (w, "")
-                if "A" <= head[0] <= "Z":
-                    head = head[0].lower() + head[1:]
-                parts[w] = head, tail
-        new = list({x for pair in parts.values() for x in pair}.difference(ids))
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
+            if w in ids:
+                continue
+            sign = w[-1] if w[-1] in SIGNS else ""
+            head = (w[:-1] if sign else w).lower()
+            if not plain or not PLAIN.fullmatch(head):
+                others.append(w)
+                continue
+            known = ids.get(head)
+            if known is None:
+                said = head if head.isascii() else head.encode().decode("latin-1").translate(BYTES)
+                known = ids[head] = array("I", [t.id for t in tokenize(said)]).tobytes()
+            ids[w] = known + self.signs[sign] if sign else known
+        for k in range(0, len(others), 10_000):
+            some = others[k : k + 10_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 ids[w] = array("I", e.ids).tobytes()
-        for w, (head, tail) in parts.items():
-            ids[w] = ids[head] + ids[tail]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
