@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_backward
+from tidemark.plans import typed
 from tidemark.plans.bindings import Model
 from tidemark.plans.store import Spec, Store
 from tidemark.sources import files
@@ -40,3 +41,25 @@ def test_a_written_table_is_shuffled_once_by_its_key_and_reference(spark, tmp_pa
         assert rows == {"": 1000} and not any(n for _, _, n in ledger)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_appearances_of_few_players_lie_in_more_tasks_than_players(spark):
+    """A player of very many appearances is dealt to several tasks, an unknown or missing one too; results are those of the plain join."""
+    for k, v in {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}.items():
+        spark.conf.set(k, v)
+    try:
+        games = spark.range(500).selectExpr("id AS game_key", "'EUROPE' AS competition_key", "1997 AS season_key", "DATE '1997-05-01' AS game_date")
+        raw = spark.range(60_000).selectExpr(
+            "CAST(id AS STRING) AS appearance_id", "CAST(id % 500 AS STRING) AS game_id", "CASE id % 3 WHEN 0 THEN '0' WHEN 1 THEN '7' END AS player_id", "'1' AS player_club_id",
+            "'90' AS minutes_played", "'1' AS goals", "'0' AS assists", "'0' AS yellow_cards", "'0' AS red_cards",
+        )
+        players, club = spark.range(5).withColumnRenamed("id", "player_key"), F.broadcast(spark.range(3).withColumnRenamed("id", "club_key"))
+        lineup = F.broadcast(typed.lineups(spark.createDataFrame([("3", "0", "substitutes")], "game_id string, player_id string, type string")))
+        found = typed.appearances(raw, games, players, club, lineup)
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 60_000 and max(sizes) < 15_000  # with whole keys 20,000 at least
+        said = {tuple(r) for r in found.groupBy("player_key", "is_valid", "data_quality_status").count().collect()}
+        assert said == {(0, True, "valid", 20_000), (None, False, "missing_player_dimension", 40_000)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
