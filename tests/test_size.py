@@ -63,3 +63,15 @@ def test_appearances_of_few_players_lie_in_more_tasks_than_players(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_stints_are_valued_in_more_tasks_not_larger_ones(spark, monkeypatch):
+    few = sorted(map(str, Model(spark, SF).stints().collect()))
+    monkeypatch.setattr(files, "TASK_ROWS", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = Model(spark, SF).stints().select("entity_key", "stint_value")
+        assert many.rdd.getNumPartitions() > 40
+        assert sorted(map(str, Model(spark, SF).stints().collect())) == few
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
