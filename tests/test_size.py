@@ -75,3 +75,10 @@ def test_stints_are_valued_in_more_tasks_not_larger_ones(spark, monkeypatch):
         assert sorted(map(str, Model(spark, SF).stints().collect())) == few
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_valuations_take_more_tasks_not_larger_ones(spark, monkeypatch):
+    few = Model(spark, SF).valuations()
+    monkeypatch.setattr(files, "TASK_ROWS", 100)
+    many = Model(spark, SF).valuations()
+    assert many.rdd.getNumPartitions() > 10 and sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
