@@ -3,8 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranks
 from tidemark.operators.asof import asof_backward
-from tidemark.plans import typed
+from tidemark.plans import dashboard, typed
 from tidemark.plans.bindings import Model
 from tidemark.plans.store import Spec, Store
 from tidemark.sources import files
@@ -82,3 +83,21 @@ def test_valuations_take_more_tasks_not_larger_ones(spark, monkeypatch):
     monkeypatch.setattr(files, "TASK_ROWS", 100)
     many = Model(spark, SF).valuations()
     assert many.rdd.getNumPartitions() > 10 and sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+
+
+def test_medians_of_overviews_gather_no_group(spark, monkeypatch, capsys):
+    """The values of a group are cut into ranges; the figures are those of Spark's own median, of null groups and of no rows too."""
+    monkeypatch.setattr(ranks, "FLOOR", 20)
+    value = F.when(F.col("id") % 50 > 0, F.pmod(F.xxhash64("id"), F.lit(500)))
+    d = spark.range(4000).select((F.col("id") % 700).alias("entity_key"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), value.alias("value"), F.lit("1997-01-01").cast("date").alias("value_date"), F.lit(1997).alias("season_key"))
+    whole, by = dashboard.overview(d, {}), dashboard.overview_by(d, {"season": 1997}, "g")
+    for df in (whole, by):
+        df.explain("extended")
+        plan = capsys.readouterr().out
+        assert "_tm_range" in plan and "percentile(" not in plan
+    want = d.agg(F.count("*"), F.countDistinct("entity_key"), F.sum("value"), F.percentile("value", F.lit(0.5)), F.min("value_date"), F.max("value_date"))
+    assert list(map(tuple, whole.collect())) == list(map(tuple, want.collect()))
+    want = d.groupBy("g").agg(F.count("*"), F.sum("value"), F.percentile("value", F.lit(0.5)))
+    assert sorted(map(str, map(tuple, by.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert [tuple(r) for r in dashboard.overview(d, {"season": 1}).collect()] == [(0, 0, None, None, None, None)]
+    assert dashboard.overview_by(d, {"season": 1}, "g").collect() == []
